@@ -123,7 +123,7 @@ class Model:
         return lang, score.astype(np.float64), ~letters | (score < self.least[at])
 
 
-def fit(train: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 400, clusters: int = 4, reach: float = 0.5) -> Model:
+def fit(train: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 400, clusters: int = 4, reach: float = 0.2) -> Model:
     """Fits on the rows of ``train`` with a language and a letter. ``per_language`` bounds the
     sample that centroids are fitted on (twice that is held at most); ``reach`` is the share of
     a centroid's smallest training cosine that a text needs."""
