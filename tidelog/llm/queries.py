@@ -45,6 +45,12 @@ def op4_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lm
+
+    return lm.score(_table(spark, sf_dir, "documents"), lm.held_out(F.col("doc_id")))
+
+
 def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import near_vectors
 
@@ -57,7 +63,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_topk(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_byte_bpe, op3_pii, op4_best_fit, op9_near_vectors, op10_exact_topk)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_byte_bpe, op3_pii, op4_best_fit, op6_lm_score, op9_near_vectors, op10_exact_topk)}
 
 #: DuckDB SQL for the queries that SQL can express on whole tables.
 SQL: dict[str, str] = {
