@@ -51,6 +51,12 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(_table(spark, sf_dir, "documents"), lm.held_out(F.col("doc_id")))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import html_text
+
+    return html_text.extract(_table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
 def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import near_vectors
 
@@ -63,7 +69,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_topk(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_byte_bpe, op3_pii, op4_best_fit, op6_lm_score, op9_near_vectors, op10_exact_topk)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_byte_bpe, op3_pii, op4_best_fit, op6_lm_score, op7_html_text, op9_near_vectors, op10_exact_topk)}
 
 #: DuckDB SQL for the queries that SQL can express on whole tables.
 SQL: dict[str, str] = {
