@@ -57,6 +57,12 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"), ["page_id", "url"])
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import jaccard
+
+    return jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import near_vectors
 
@@ -69,7 +75,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_topk(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_byte_bpe, op3_pii, op4_best_fit, op6_lm_score, op7_html_text, op9_near_vectors, op10_exact_topk)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_byte_bpe, op3_pii, op4_best_fit, op6_lm_score, op7_html_text, op8_jaccard_join, op9_near_vectors, op10_exact_topk)}
 
 #: DuckDB SQL for the queries that SQL can express on whole tables.
 SQL: dict[str, str] = {
