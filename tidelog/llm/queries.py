@@ -45,6 +45,12 @@ def op4_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import passages
+
+    return passages.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import lm
 
@@ -75,7 +81,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_topk(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_byte_bpe, op3_pii, op4_best_fit, op6_lm_score, op7_html_text, op8_jaccard_join, op9_near_vectors, op10_exact_topk)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_byte_bpe, op3_pii, op4_best_fit, op5_repeated_passages, op6_lm_score, op7_html_text, op8_jaccard_join, op9_near_vectors, op10_exact_topk)}
 
 #: DuckDB SQL for the queries that SQL can express on whole tables.
 SQL: dict[str, str] = {
