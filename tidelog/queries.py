@@ -1,12 +1,412 @@
-"""The registered queries of the change-log engine and their SQL."""
+"""The registered queries of the change-log engine, each beside its SQL.
+
+A change log is derived from ``events`` without outside state: five changes to a transaction,
+400 to a log file; see ``changes`` and ``CHANGES``.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES = {}
+from .functions import codec, convert, digest, render, values
+from .operators import apply, assemble, cursors, project
+from .plans import planner, types
+from .streaming import runner
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+ORDER = ["file_no", "pos"]
+
+CHANGES = """
+    SELECT event_id, ts, user_id, value, props, event_type, event_id // 5 AS tx_id, event_id % 5 + 1 AS sequence,
+      event_id // 400 AS file_no, 4 + (event_id % 400) * 10 AS pos,
+      CASE event_type WHEN 'signup' THEN 'insert' WHEN 'error' THEN 'delete' ELSE 'update' END AS operation,
+      CASE WHEN event_type = 'view' THEN 'unchanged' WHEN event_type = 'error' THEN 'unavailable' ELSE 'value' END AS presence
+    FROM events"""
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, n = table(spark, sf_dir, "events"), F.col("event_id")
+    op = F.when(F.col("event_type") == "signup", "insert").when(F.col("event_type") == "error", "delete").otherwise("update")
+    presence = F.when(F.col("event_type") == "view", "unchanged").when(F.col("event_type") == "error", "unavailable").otherwise("value")
+    div = lambda x, k: ((x - x % k) / k).cast("long")
+    return e.withColumns({"tx_id": div(n, 5), "sequence": n % 5 + 1, "file_no": div(n, 400), "pos": 4 + (n % 400) * 10, "operation": op, "presence": presence})
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql.replace("{changes}", f"({CHANGES})")
+        return f
+
+    return add
+
+
+def values_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+@query("SELECT tx_id, COUNT(*) AS changes, MIN(event_id) AS first_pos, MAX(event_id) AS last_pos, COUNT(*) FILTER (operation = 'insert') AS inserts, COUNT(*) FILTER (operation = 'update') AS updates, COUNT(*) FILTER (operation = 'delete') AS deletes FROM {changes} GROUP BY tx_id")
+def tx_assembly(spark, sf_dir):
+    return assemble.summaries(changes(spark, sf_dir), "tx_id", "operation", F.col("event_id"))
+
+
+@query("SELECT tx_id, COUNT(*) AS changes, 5::BIGINT AS declared FROM (SELECT * FROM {changes} WHERE event_type <> 'signup') GROUP BY tx_id HAVING COUNT(*) <> 5")
+def incomplete_transactions(spark, sf_dir):
+    return assemble.change_count_mismatches(changes(spark, sf_dir).filter("event_type != 'signup'"), "tx_id", F.lit(5))
+
+
+@query("SELECT tx_id, event_id, sequence, expected FROM (SELECT *, COALESCE(LAG(sequence) OVER (PARTITION BY tx_id ORDER BY pos, file_no) + 1, 1) AS expected FROM {changes} WHERE event_type <> 'signup') WHERE sequence <> expected")
+def sequence_violations(spark, sf_dir):
+    rows = changes(spark, sf_dir).filter("event_type != 'signup'")
+    return assemble.sequence_violations(rows, "tx_id", "sequence", ORDER).select("tx_id", "event_id", "sequence", "expected")
+
+
+@query("SELECT tx_id, event_id, user_id, operation FROM {changes} WHERE event_type IN ('signup', 'purchase', 'error')")
+def route_projection(spark, sf_dir):
+    return changes(spark, sf_dir).filter(F.col("event_type").isin("signup", "purchase", "error")).select("tx_id", "event_id", "user_id", "operation")
+
+
+@query("SELECT event_id, operation, presence, CASE WHEN presence = 'value' THEN value END AS written, presence = 'value' AS writable FROM {changes}")
+def writable_columns(spark, sf_dir):
+    datum = lambda name, generated, presence, value: F.struct(F.lit(name).alias("name"), F.lit(generated).alias("generated"), presence.alias("presence"), value.alias("value"))
+    image = F.array(datum("value", False, F.col("presence"), F.col("value")), datum("doubled", True, F.lit("value"), F.col("value") * 2))
+    kept = project.writable(image)
+    return changes(spark, sf_dir).select("event_id", "operation", "presence", F.try_element_at(kept, F.lit(1))["value"].alias("written"), (F.size(kept) > 0).alias("writable"))
+
+
+@query("SELECT user_id, event_id AS last_event_id, value AS last_value, changes FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY file_no DESC, pos DESC) AS rn, COUNT(*) OVER (PARTITION BY user_id) AS changes FROM {changes}) WHERE rn = 1 AND operation <> 'delete'")
+def replay_latest_state(spark, sf_dir):
+    state = apply.latest_state(changes(spark, sf_dir), ["user_id"], ORDER, ["event_id", "value"])
+    return state.select("user_id", F.col("event_id").alias("last_event_id"), F.col("value").alias("last_value"), "changes")
+
+
+@query(
+    """SELECT rule_code, COUNT(*) AS n, SUM(event_id)::BIGINT AS ids FROM (SELECT event_id, CASE WHEN operation = 'insert' AND live = 1 THEN 'duplicate_key' WHEN operation <> 'insert' AND live = 0 THEN 'missing_row' END AS rule_code
+       FROM (SELECT *, COALESCE(LAST_VALUE(CASE operation WHEN 'insert' THEN 1 WHEN 'delete' THEN 0 END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY file_no, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS live FROM {changes}))
+       WHERE rule_code IS NOT NULL GROUP BY rule_code"""
+)
+def strict_apply_violations(spark, sf_dir):
+    bad = apply.strict_violations(changes(spark, sf_dir), ["user_id"], "file_no", ORDER)
+    return bad.groupBy("rule_code").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
+
+
+@query(
+    """SELECT event_id, user_id, CASE WHEN presence = 'unchanged' THEN LAST_VALUE(CASE WHEN presence = 'value' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY file_no, pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) ELSE value END AS carried FROM {changes}"""
+)
+def unchanged_carry(spark, sf_dir):
+    out = apply.unchanged_carry(changes(spark, sf_dir), ["user_id"], "file_no", ORDER, "value", "presence")
+    return out.select("event_id", "user_id", F.col("value").alias("carried"))
+
+
+@query("WITH bound AS (SELECT MAX(event_id) // 2 AS b FROM events) SELECT event_id, tx_id, operation FROM {changes}, bound WHERE (file_no, pos) > (b // 400, 4 + (b % 400) * 10)")
+def exactly_once_dedupe(spark, sf_dir):
+    rows = changes(spark, sf_dir)
+    b = rows.agg(F.max("event_id")).first()[0] // 2
+    # The log is delivered whole again; what the checkpoint covers is skipped.
+    return cursors.beyond(rows, (b // 400, 4 + (b % 400) * 10)).select("event_id", "tx_id", "operation")
+
+
+@query("SELECT event_type AS task, COUNT(DISTINCT tx_id) AS applied_transactions, COUNT(*) AS applied_rows, MAX(file_no) AS file_no, arg_max(pos, file_no * 100000 + pos) AS pos FROM {changes} GROUP BY event_type")
+def checkpoint_counters(spark, sf_dir):
+    per = changes(spark, sf_dir).groupBy("event_type", "tx_id").agg(F.count(F.lit(1)).alias("rows"), F.max(F.struct(*ORDER)).alias("at"))
+    out = per.groupBy(F.col("event_type").alias("task")).agg(F.count(F.lit(1)).alias("applied_transactions"), F.sum("rows").alias("applied_rows"), F.max("at").alias("at"))
+    return out.select("task", "applied_transactions", "applied_rows", "at.file_no", "at.pos")
+
+
+@query(
+    "SELECT COUNT(*) AS emptied, MAX(last) AS observed FROM (SELECT tx_id, MAX(event_id) AS last, COUNT(*) FILTER (event_type = 'signup') AS kept FROM {changes} GROUP BY tx_id) WHERE kept = 0"
+)
+def filtered_observe(spark, sf_dir):
+    per = changes(spark, sf_dir).groupBy("tx_id").agg(F.max("event_id").alias("last"), F.max((F.col("event_type") == "signup").cast("int")).alias("kept"))
+    return per.filter("kept = 0").agg(F.count(F.lit(1)).alias("emptied"), F.max("last").alias("observed"))
+
+
+@query("SELECT event_id, 'binlog.' || lpad(file_no::VARCHAR, 6, '0') AS file, ROW_NUMBER() OVER (ORDER BY file_no, pos) - 1 AS place FROM {changes}")
+def cursor_order(spark, sf_dir):
+    rows = changes(spark, sf_dir).withColumn("file", F.concat(F.lit("binlog."), F.lpad(F.col("file_no").cast("string"), 6, "0")))
+    keyed = rows.withColumn("k", cursors.mysql_key(F.col("file"), F.col("pos")))
+    return apply.ranked(keyed, F.col("k.file_no"), ["k.pos"], "place").select("event_id", "file", F.col("place").cast("long").alias("place"))
+
+
+@query("SELECT o_orderkey, lsn, (('0x' || split_part(lsn, '/', 1))::UBIGINT * 4294967296 + ('0x' || split_part(lsn, '/', 2))::UBIGINT)::DECIMAL(20,0) AS lsn_value FROM (SELECT o_orderkey, printf('%X/%X', o_orderkey % 7, o_orderkey * 16 + o_custkey) AS lsn FROM orders)")
+def lsn_parse(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").withColumn("lsn", cursors.lsn_text(F.col("o_orderkey") % 7, F.col("o_orderkey") * 16 + F.col("o_custkey")))
+    return rows.select("o_orderkey", "lsn", cursors.lsn_value(F.col("lsn")).alias("lsn_value"))
+
+
+@query("SELECT event_type, MIN(event_id) AS interval_start, MAX(event_id) AS interval_end FROM (SELECT event_type, event_id, event_id - ROW_NUMBER() OVER (PARTITION BY event_type ORDER BY event_id) AS island FROM events) GROUP BY event_type, island")
+def gtid_merge(spark, sf_dir):
+    return cursors.gtid_islands(table(spark, sf_dir, "events"), "event_type", "event_id")
+
+
+@query(
+    """WITH i AS (SELECT event_type, MIN(event_id) AS a, MAX(event_id) AS b FROM (SELECT event_type, event_id, event_id - ROW_NUMBER() OVER (PARTITION BY event_type ORDER BY event_id) AS island FROM events) GROUP BY event_type, island)
+       SELECT o_orderkey, event_type FROM orders JOIN i ON o_orderkey BETWEEN a AND b AND event_type = CASE o_orderstatus WHEN 'F' THEN 'view' WHEN 'O' THEN 'click' ELSE 'error' END"""
+)
+def gtid_contains(spark, sf_dir):
+    ids = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", "view").when(F.col("o_orderstatus") == "O", "click").otherwise("error").alias("event_type"))
+    return cursors.contained(ids, gtid_merge(spark, sf_dir), "event_type", "o_orderkey").select("o_orderkey", "event_type")
+
+
+@query(
+    """SELECT page, COUNT(*) AS page_rows, arg_min(l_orderkey, rn) AS first_l_orderkey, arg_min(l_linenumber, rn) AS first_l_linenumber, arg_max(l_orderkey, rn) AS last_l_orderkey, arg_max(l_linenumber, rn) AS last_l_linenumber
+       FROM (SELECT *, (rn - 1) // 256 AS page FROM (SELECT l_orderkey, l_linenumber, ROW_NUMBER() OVER (ORDER BY l_orderkey, l_linenumber) AS rn FROM lineitem)) GROUP BY page"""
+)
+def keyset_pages(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    return apply.keyset_pages(rows, F.floor(F.col("l_orderkey") / 4096), ["l_orderkey", "l_linenumber"])
+
+
+@query(
+    """WITH old AS (SELECT o_orderkey, o_orderstatus, o_custkey FROM orders WHERE o_orderkey % 5 <> 0),
+            new AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'X' WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_orderstatus END AS o_orderstatus, o_custkey FROM orders WHERE o_orderkey % 7 <> 0)
+       SELECT COALESCE(o.o_orderkey, n.o_orderkey) AS o_orderkey, CASE WHEN o.o_orderkey IS NULL THEN 'insert' WHEN n.o_orderkey IS NULL THEN 'delete' ELSE 'update' END AS operation,
+         o.o_orderstatus AS old_o_orderstatus, o.o_custkey AS old_o_custkey, n.o_orderstatus AS new_o_orderstatus, n.o_custkey AS new_o_custkey
+       FROM old o FULL JOIN new n ON o.o_orderkey = n.o_orderkey WHERE o.o_orderkey IS NULL OR n.o_orderkey IS NULL OR o.o_orderstatus IS DISTINCT FROM n.o_orderstatus OR o.o_custkey IS DISTINCT FROM n.o_custkey"""
+)
+def snapshot_diff(spark, sf_dir):
+    o, k = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_custkey"), F.col("o_orderkey")
+    new = o.filter(k % 7 != 0).withColumn("o_orderstatus", F.when(k % 11 == 0, "X").when(k % 13 == 0, None).otherwise(F.col("o_orderstatus")))
+    return apply.snapshot_diff(o.filter(k % 5 != 0), new, ["o_orderkey"], ["o_orderstatus", "o_custkey"])
+
+
+@query("WITH b AS (SELECT MAX(event_id) // 2 AS b FROM events) SELECT event_id, CASE WHEN event_id <= b THEN 'snapshot' ELSE 'incremental' END AS phase FROM events, b")
+def snapshot_handoff(spark, sf_dir):
+    rows = changes(spark, sf_dir)
+    b = rows.agg(F.max("event_id")).first()[0] // 2
+    f, p = b // 400, 4 + (b % 400) * 10
+    behind = (F.col("file_no") > f) | ((F.col("file_no") == f) & (F.col("pos") > p))
+    return apply.handoff(rows.filter(F.col("event_id") <= b), rows, behind).select("event_id", "phase")
+
+
+@query(
+    """SELECT o_orderkey, COUNT(l_orderkey) AS matches, CASE WHEN COUNT(l_orderkey) = 0 THEN 'missing' WHEN COUNT(l_orderkey) = 1 THEN 'one' ELSE 'many' END AS verdict
+       FROM orders LEFT JOIN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 1 OR l_quantity > 45) ON o_orderkey = l_orderkey GROUP BY o_orderkey"""
+)
+def row_locator_probe(spark, sf_dir):
+    target = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1 or l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"))
+    return project.locator_probe(table(spark, sf_dir, "orders").select("o_orderkey"), target, ["o_orderkey"])
+
+
+@query("SELECT n_nationkey, n_name, 'target_capability.plan_missing_for_column' AS rule_code FROM nation WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey)")
+def plan_coverage(spark, sf_dir):
+    plans = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("n_nationkey")).distinct()
+    return planner.uncovered(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), plans, ["n_nationkey"])
+
+
+@query("SELECT lang, COUNT(*) FILTER (n_chars IS NOT DISTINCT FROM length(text)) AS matched, COUNT(*) FILTER (n_chars IS DISTINCT FROM length(text)) AS mismatched FROM documents GROUP BY lang")
+def generated_verification(spark, sf_dir):
+    same = F.col("n_chars").eqNullSafe(F.char_length("text").cast("long"))
+    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.sum(same.cast("long")).alias("matched"), F.sum((~same).cast("long")).alias("mismatched"))
+
+
+@query("SELECT a.s_suppkey AS first_task, b.s_suppkey AS second_task, a.s_nationkey FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey WHERE a.s_acctbal > 5000 AND b.s_acctbal > 5000")
+def target_overlap(spark, sf_dir):
+    # A supplier stands for a task, its nation for the sink table.
+    return project.overlapping(table(spark, sf_dir, "supplier").filter("s_acctbal > 5000"), "s_suppkey", ["s_nationkey"])
+
+
+@query(
+    """SELECT width, COUNT(*) FILTER (x BETWEEN lo AND hi) AS fits, COUNT(*) FILTER (x NOT BETWEEN lo AND hi) AS integer_overflow FROM
+       (SELECT o_orderkey * o_custkey - 20000 AS x FROM orders), (VALUES ('i8', -128, 127), ('i16', -32768, 32767), ('i24', -8388608, 8388607), ('i32', -2147483648, 2147483647), ('u8', 0, 255), ('u16', 0, 65535), ('u32', 0, 4294967295)) w(width, lo, hi) GROUP BY width"""
+)
+def integer_range_check(spark, sf_dir):
+    x = table(spark, sf_dir, "orders").select((F.col("o_orderkey") * F.col("o_custkey") - 20000).alias("x"))
+    widths = [("i8", 8, True), ("i16", 16, True), ("i24", 24, True), ("i32", 32, True), ("u8", 8, False), ("u16", 16, False), ("u32", 32, False)]
+    checks = F.explode(F.array(*(F.struct(F.lit(n).alias("width"), convert.integer_fits(F.col("x"), b, s).alias("ok")) for n, b, s in widths)))
+    return x.select(checks.alias("c")).groupBy("c.width").agg(F.sum(F.col("c.ok").cast("long")).alias("fits"), F.sum((~F.col("c.ok")).cast("long")).alias("integer_overflow"))
+
+
+@query("SELECT COUNT(*) FILTER (TRY_CAST(x AS DECIMAL(7,2)) = x) AS fits, COUNT(*) FILTER (TRY_CAST(x AS DECIMAL(7,2)) IS DISTINCT FROM x) AS rejected FROM (SELECT (l_extendedprice::DECIMAL(18,4) * l_discount::DECIMAL(4,2))::DECIMAL(18,4) AS x FROM lineitem)")
+def decimal_range_check(spark, sf_dir):
+    x = (F.col("l_extendedprice").cast("decimal(18,4)") * F.col("l_discount").cast("decimal(4,2)")).cast("decimal(18,4)")
+    ok = convert.decimal_fits(F.col("x"), 7, 2)
+    return table(spark, sf_dir, "lineitem").select(x.alias("x")).agg(F.sum(ok.cast("long")).alias("fits"), F.sum((~F.coalesce(ok, F.lit(False))).cast("long")).alias("rejected"))
+
+
+@query("SELECT c_custkey, c_acctbal::FLOAT::DOUBLE = c_acctbal AS fits FROM customer")
+def float_narrowing(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", convert.float_fits(F.col("c_acctbal")).alias("fits"))
+
+
+@query("SELECT lang, COUNT(*) FILTER (NOT regexp_matches(text, '[^\\x00-\\x7F]')) AS ascii, COUNT(*) FILTER (NOT regexp_matches(text, '[^\\x00-\\xFF]')) AS latin1, COUNT(*) FILTER (NOT regexp_matches(text, '[^\\x00-\\x{FFFF}]')) AS utf8 FROM documents GROUP BY lang")
+def charset_representable(spark, sf_dir):
+    n = lambda c: F.sum(convert.text_fits(F.col("text"), c).cast("long")).alias(c)
+    return table(spark, sf_dir, "documents").groupBy("lang").agg(n("ascii"), n("latin1"), n("utf8"))
+
+
+@query("SELECT doc_id, length(text) <= 1000 AS chars_ok, strlen(text) <= 1000 AS bytes_ok FROM documents")
+def text_length_bounds(spark, sf_dir):
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", convert.text_fits(t, "utf8mb4", 1000).alias("chars_ok"), convert.text_fits(t, "utf8mb4", 1000, "bytes").alias("bytes_ok"))
+
+
+@query("SELECT p_partkey, CASE WHEN strlen(p_brand) <= 12 THEN rpad(hex(encode(p_brand)), 24, '0') END AS padded FROM part")
+def binary_fixed_pad(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", F.hex(convert.pad_binary(F.col("p_brand").cast("binary"), 12)).alias("padded"))
+
+
+@query("SELECT n_nationkey, ((n_nationkey & 1) << 7) | ((n_nationkey & 2) << 5) | ((n_nationkey & 4) << 3) | ((n_nationkey & 8) << 1) | ((n_nationkey & 16) >> 1) | ((n_nationkey & 32) >> 3) | ((n_nationkey & 64) >> 5) | ((n_nationkey & 128) >> 7) AS reordered FROM nation")
+def bit_reorder(spark, sf_dir):
+    return table(spark, sf_dir, "nation").select("n_nationkey", convert.reverse_bits(F.col("n_nationkey")).alias("reordered"))
+
+
+@query("SELECT o_orderkey, epoch_us(o_orderdate - INTERVAL 8 HOUR) AS instant_us FROM orders")
+def temporal_local_instant(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.unix_micros(convert.local_to_instant(F.col("o_orderdate"), 8 * 3600)).alias("instant_us"))
+
+
+@query("SELECT digits, COUNT(*) FILTER (epoch_us(ts) % (10 ** (6 - digits))::BIGINT = 0) AS exact, COUNT(*) FILTER (epoch_us(ts) % (10 ** (6 - digits))::BIGINT <> 0) AS temporal_precision_loss FROM events, (VALUES (0), (3), (6)) d(digits) GROUP BY digits")
+def temporal_precision(spark, sf_dir):
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    checks = F.explode(F.array(*(F.struct(F.lit(d).alias("digits"), convert.precision_fits(us, d).alias("ok")) for d in (0, 3, 6))))
+    return table(spark, sf_dir, "events").select(checks.alias("c")).groupBy("c.digits").agg(F.sum(F.col("c.ok").cast("long")).alias("exact"), F.sum((~F.col("c.ok")).cast("long")).alias("temporal_precision_loss"))
+
+
+@query("""SELECT event_id, '{"k":' || json_extract_string(props, '$.k') || '}' AS normal FROM events""")
+def json_normalized(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", values.normal_json_text(F.col("props")).alias("normal"))
+
+
+@query("SELECT c_mktsegment, COUNT(*) FILTER (c_mktsegment IN ('BUILDING', 'MACHINERY', 'HOUSEHOLD')) AS known, COUNT(*) FILTER (c_mktsegment NOT IN ('BUILDING', 'MACHINERY', 'HOUSEHOLD')) AS enum_unknown_label FROM customer GROUP BY c_mktsegment")
+def enum_membership(spark, sf_dir):
+    ok = convert.enum_fits(F.col("c_mktsegment"), ["BUILDING", "MACHINERY", "HOUSEHOLD"]).cast("long")
+    return table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.sum(ok).alias("known"), F.sum(1 - ok).alias("enum_unknown_label"))
+
+
+@query("SELECT user_id, string_agg(event_type, ',' ORDER BY list_position(['signup', 'purchase', 'view', 'click', 'error'], event_type)) AS members FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY user_id")
+def set_canonical(spark, sf_dir):
+    per = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("m"))
+    return per.select("user_id", F.array_join(convert.set_members(F.col("m"), ["signup", "purchase", "view", "click", "error"]), ",").alias("members"))
+
+
+@query("SELECT n_nationkey, sha256(strlen(n_nationkey::VARCHAR) || ':' || n_nationkey || '|' || strlen(n_name) || ':' || n_name || '|' || strlen(n_regionkey::VARCHAR) || ':' || n_regionkey) AS digest FROM nation")
+def row_digest(spark, sf_dir):
+    return table(spark, sf_dir, "nation").select("n_nationkey", digest.row_digest(*(F.col(c) for c in ("n_nationkey", "n_name", "n_regionkey"))).alias("digest"))
+
+
+@query("SELECT tx_id, sha256(string_agg(sha256(strlen(event_id::VARCHAR) || ':' || event_id || '|' || strlen(operation) || ':' || operation), ',' ORDER BY sequence)) AS digest, COUNT(*) AS n FROM {changes} GROUP BY tx_id")
+def content_digest_tx(spark, sf_dir):
+    rows = changes(spark, sf_dir).withColumn("d", digest.row_digest(F.col("event_id"), F.col("operation")))
+    return digest.ordered_digest(rows, ["tx_id"], ["sequence"], "d")
+
+
+@query(
+    """SELECT vendor, code, connected, 'target_apply.' || kind AS kind, kind IN ('connection_failed', 'lock_timeout') AS retry FROM (SELECT *, CASE WHEN NOT connected THEN 'connection_failed' WHEN code IN ('1205', '1213', '40001', '40P01', '55P03') THEN 'lock_timeout'
+       WHEN code IN ('1062', '1452', '23505') THEN 'constraint_failed' WHEN code = '08006' THEN 'connection_failed' ELSE 'sql_error' END AS kind
+       FROM (VALUES ('mysql', '1205', true), ('mysql', '1213', true), ('mysql', '1062', true), ('mysql', '1452', true), ('mysql', '1064', true), ('mysql', '2006', false), ('postgresql', '40001', true), ('postgresql', '40P01', true), ('postgresql', '55P03', true), ('postgresql', '23505', true), ('postgresql', '08006', true), ('postgresql', '42601', true)) v(vendor, code, connected))"""
+)
+def retry_classification(spark, sf_dir):
+    rows = [("mysql", "1205", True), ("mysql", "1213", True), ("mysql", "1062", True), ("mysql", "1452", True), ("mysql", "1064", True), ("mysql", "2006", False)]
+    rows += [("postgresql", c, True) for c in ("40001", "40P01", "55P03", "23505", "08006", "42601")]
+    v = values_table(spark, rows, "vendor string, code string, connected boolean").withColumn("kind", runner.classify(F.col("vendor"), F.col("code"), F.col("connected")))
+    return v.withColumn("retry", runner.retryable(F.col("kind")))
+
+
+@query(
+    """SELECT p_partkey, code FROM (SELECT p_partkey, code, ROW_NUMBER() OVER (PARTITION BY p_partkey ORDER BY q, r, code) AS rn FROM part JOIN
+       (VALUES ('exact.int', 0, 0, 1, 50), ('range.int8', 1, 2, 1, 20), ('range.int16', 1, 2, 1, 40), ('carrier', 2, 3, 1, 50), ('exact.small', 0, 1, 1, 10)) c(code, q, r, lo, hi) ON p_size BETWEEN lo AND hi AND NOT (code = 'exact.int' AND p_size % 2 = 0)) WHERE rn = 1"""
+)
+def capability_ranking(spark, sf_dir):
+    rows = [("exact.int", 0, 0, 1, 50), ("range.int8", 1, 2, 1, 20), ("range.int16", 1, 2, 1, 40), ("carrier", 2, 3, 1, 50), ("exact.small", 0, 1, 1, 10)]
+    caps = values_table(spark, rows, "code string, qualification_rank int, risk_rank int, lo int, hi int")
+    # The manifest's size is its release's, so it can go to every task.
+    met = table(spark, sf_dir, "part").join(F.broadcast(caps), F.col("p_size").between(F.col("lo"), F.col("hi")) & ~((F.col("code") == "exact.int") & (F.col("p_size") % 2 == 0)))
+    return planner.best_candidates(met, ["p_partkey"]).select("p_partkey", "code")
+
+
+@query(
+    """SELECT level, key_like, level IN ('EXPLICIT_CONVERSION', 'UNSUPPORTED') AS loses_value, level = 'UNSUPPORTED' OR (level = 'EXPLICIT_CONVERSION' AND key_like) AS loses_comparison, level = 'UNSUPPORTED' OR (level = 'EXPLICIT_CONVERSION' AND key_like) AS loses_ordering, level IN ('EXPLICIT_CONVERSION', 'UNSUPPORTED') AS constraints
+       FROM (VALUES ('EXACT'), ('RANGE_CHECKED'), ('EXPLICIT_CONVERSION'), ('UNSUPPORTED')) l(level), (VALUES (true), (false)) k(key_like)"""
+)
+def loss_assessment(spark, sf_dir):
+    rows = []
+    for level in ("EXACT", "RANGE_CHECKED", "EXPLICIT_CONVERSION", "UNSUPPORTED"):
+        for key in (True, False):
+            x = planner.loss(level, key)
+            rows.append((level, key, x["value"], x["comparison"], x["ordering"], x["constraints"]))
+    return values_table(spark, rows, "level string, key_like boolean, loses_value boolean, loses_comparison boolean, loses_ordering boolean, constraints boolean")
+
+
+@query(
+    """SELECT n_regionkey, 'BEGIN;' || chr(10) || string_agg('INSERT INTO "nation" ("n_nationkey", "n_name") VALUES (' || n_nationkey || ', ''' || replace(n_name, '''', '''''') || ''');', chr(10) ORDER BY n_nationkey) || chr(10) || 'COMMIT;' AS script FROM nation GROUP BY n_regionkey"""
+)
+def sql_script(spark, sf_dir):
+    stmt = render.insert(render.quote_identifier(F.lit("nation"), "postgresql"), {"n_nationkey": F.col("n_nationkey").cast("string"), "n_name": render.quote_text(F.col("n_name"))}, "postgresql")
+    per = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", stmt.alias("s")))).alias("x"))
+    return per.select("n_regionkey", render.script(F.transform("x", lambda s: s["s"])).alias("script"))
+
+
+@query("SELECT n_nationkey, n_name, r_regionkey AS key_ordinal, r_name FROM nation LEFT JOIN (SELECT * FROM region WHERE r_regionkey < 3) ON n_regionkey = r_regionkey")
+def catalog_key_join(spark, sf_dir):
+    keys = table(spark, sf_dir, "region").filter("r_regionkey < 3")
+    return table(spark, sf_dir, "nation").join(keys, F.col("n_regionkey") == F.col("r_regionkey"), "left").select("n_nationkey", "n_name", F.col("r_regionkey").alias("key_ordinal"), "r_name")
+
+
+_TYPES = [("person", "address"), ("person", "text"), ("address", "text"), ("address", "postcode"), ("postcode", "integer"), ("mood", None), ("team", "person"), ("orphan", "team")]
+
+
+@query(
+    """WITH RECURSIVE t(type_name, uses) AS (VALUES ('person', 'address'), ('person', 'text'), ('address', 'text'), ('address', 'postcode'), ('postcode', 'integer'), ('mood', NULL), ('team', 'person'), ('orphan', 'team')),
+       c(type_name, depth) AS (SELECT 'team', 0 UNION SELECT t.uses, depth + 1 FROM c JOIN t USING (type_name) WHERE t.uses IS NOT NULL) SELECT type_name, MIN(depth)::INTEGER AS depth FROM c GROUP BY type_name"""
+)
+def type_closure(spark, sf_dir):
+    return types.type_closure(values_table(spark, _TYPES, "type_name string, uses string"), values_table(spark, [("team",)], "type_name string"))
+
+
+@query("SELECT operation, COUNT(*) FILTER (presence = 'value') AS n_value, COUNT(*) FILTER (presence = 'unchanged') AS n_unchanged, COUNT(*) FILTER (presence = 'unavailable') AS n_unavailable FROM {changes} GROUP BY operation")
+def presence_profile(spark, sf_dir):
+    n = lambda p: F.sum((F.col("presence") == p).cast("long")).alias(f"n_{p}")
+    return changes(spark, sf_dir).groupBy("operation").agg(n("value"), n("unchanged"), n("unavailable"))
+
+
+@query("SELECT o_orderkey, epoch_us(TRY_CAST(raw AS TIMESTAMP)) AS value_us, CASE WHEN TRY_CAST(raw AS TIMESTAMP) IS NULL THEN raw END AS invalid FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN '0000-00-00 00:00:00' WHEN o_orderkey % 10 = 0 THEN '2024-02-30 01:02:03' ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END AS raw FROM orders)")
+def invalid_temporal(spark, sf_dir):
+    k = F.col("o_orderkey")
+    raw = F.when(k % 9 == 0, "0000-00-00 00:00:00").when(k % 10 == 0, "2024-02-30 01:02:03").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
+    t = codec.temporal(F.col("raw"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", raw.alias("raw")).select("o_orderkey", F.unix_micros(t["value"].cast("timestamp")).alias("value_us"), t["invalid"].alias("invalid"))
+
+
+@query("SELECT o_orderkey, ltrim(split_part(t, '.', 1) || split_part(t, '.', 2), '0') AS unscaled, 2 AS scale, t AS rendered FROM (SELECT o_orderkey, o_totalprice::DECIMAL(15,2)::VARCHAR AS t FROM orders)")
+def decimal_codec(spark, sf_dir):
+    p = codec.decimal_parts(F.col("o_totalprice").cast("decimal(15,2)").cast("string"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", p["unscaled"].alias("unscaled"), p["scale"].alias("scale"))
+    return rows.withColumn("rendered", codec.decimal_text(F.col("unscaled"), F.col("scale")))
+
+
+@query("SELECT event_id, file, pos FROM (SELECT event_id, 'binlog.' || lpad(file_no::VARCHAR, 6, '0') AS file, pos FROM {changes})")
+def cursor_codec(spark, sf_dir):
+    """Positions through their encoded form and back."""
+    file = F.concat(F.lit("binlog."), F.lpad(F.col("file_no").cast("string"), 6, "0"))
+    d = cursors.mysql_decode(cursors.mysql_encode(file, F.col("pos")))
+    return changes(spark, sf_dir).select("event_id", d["file"].alias("file"), d["position"].alias("pos"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE ordinal WHEN 0 THEN '' WHEN 1 THEN 'alpha' WHEN 2 THEN 'beta' WHEN 3 THEN 'gamma' END AS label, array_to_string(list_filter(['a', 'b', 'c'], lambda m: (mask >> (list_position(['a', 'b', 'c'], m) - 1)::INTEGER) & 1 = 1), ',') AS members FROM (SELECT l_orderkey, l_linenumber, (l_orderkey % 5)::INTEGER AS ordinal, (l_partkey % 8)::INTEGER AS mask FROM lineitem)")
+def enum_set_decode(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_orderkey") % 5).alias("ordinal"), (F.col("l_partkey") % 8).alias("mask"))
+    return rows.select("l_orderkey", "l_linenumber", codec.enum_label(F.col("ordinal"), ["alpha", "beta", "gamma"]).alias("label"), F.array_join(codec.set_labels(F.col("mask"), ["a", "b", "c"]), ",").alias("members"))
+
+
+@query("SELECT user_id, event_id AS event_id, value FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM {changes}) WHERE rn = 1 AND operation <> 'delete'")
+def fold_into_target(spark, sf_dir):
+    """The first half of the log makes the target; the second is folded into it."""
+    rows = changes(spark, sf_dir)
+    b = rows.agg(F.max("event_id")).first()[0] // 2
+    target = apply.fold(None, rows.filter(F.col("event_id") <= b), ["user_id"], ["event_id", "value"], ORDER)
+    return apply.fold(target, rows.filter(F.col("event_id") > b), ["user_id"], ["event_id", "value"], ORDER)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    """Scan, assembly, projection and replay in one: the last live row of each user."""
+    return replay_latest_state(spark, sf_dir)
