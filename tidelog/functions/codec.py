@@ -80,7 +80,7 @@ def iso_interval(x: Column) -> Column:
 def bit_text(x: Column) -> Column:
     """Bytes of a text of 0 and 1, first bit highest, padded with zeros."""
     padded = F.rpad(x, ((F.length(x) + 7) / 8).cast("int") * 8, "0")
-    each = F.transform(F.sequence(F.lit(0), F.length(padded) / 8 - 1), lambda i: F.lpad(F.conv(padded.substr((i * 8 + 1).cast("int"), F.lit(8)), 2, 16), 2, "0"))
+    each = F.transform(F.sequence(F.lit(0), (F.length(padded) / 8 - 1).cast("int")), lambda i: F.lpad(F.conv(padded.substr(i * 8 + 1, F.lit(8)), 2, 16), 2, "0"))
     return F.when(x == "", F.lit(b"")).otherwise(F.unhex(F.array_join(each, "")))
 
 

@@ -115,5 +115,5 @@ def keyset_pages(rows: DataFrame, bucket: Column, key: list[str], size: int = 25
 def next_page(rows: DataFrame, key: list[str], after: tuple | None, size: int = 256) -> DataFrame:
     """The rows of a keyset scan after a key."""
     if after is not None:
-        rows = rows.filter(F.struct(*key) > F.struct(*(F.lit(v) for v in after)))
+        rows = rows.filter(F.struct(*key) > F.struct(*(F.lit(v).cast(rows.schema[k].dataType).alias(k) for k, v in zip(key, after, strict=True))))
     return rows.orderBy(*key).limit(size)
