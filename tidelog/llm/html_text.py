@@ -7,8 +7,8 @@ that k of them share is worth 1 - log k / log m: 1 if no page shares it, 0 if al
 A container's presentation (its sequence of child tags) is weighed alike, and the two are
 joined as (1 - g**l) * presentation + g**l * content, for l presentations and g = 0.9. Branches
 of low importance are removed from each page; inside an article only those that nearly
-all pages of the host share. Pages with one headline count once, so copies of a page don't
-make its text look like a template.
+all pages of the host share. Pages with one headline (or, without one, one text) count once, so copies
+of a page don't make its text look like a template.
 
 What a page itself says comes first: elements for menus, headers, footers, sidebars, forms,
 scripts and styles, and elements whose class, id or role names a notice, advert,
@@ -181,43 +181,33 @@ def _hash(text: str) -> int:
     return zlib.crc32(data) << 31 ^ zlib.adler32(data)
 
 
+FEATURES = ("host", "page", "kind", "node", "parent", "content")
+
+
 def _features(batch: pa.RecordBatch) -> pa.RecordBatch:
     """A row for each block that could be text, and for each container's presentation."""
-    cols = {k: [] for k in ("host", "page", "place", "kind", "node", "parent", "content")}
-    for host, row, page in zip(batch.column("host").to_pylist(), batch.column("row").to_pylist(), batch.column("html").to_pylist(), strict=True):
+    rows: list[tuple] = []
+    for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
         found = blocks(page or "")
-        head = next((b.text for b in found if b.tag == "h1" and not b.off), None) or (found[0].text if found else "")
-        key = _hash(head)
+        head = next((b.text for b in found if b.tag == "h1" and not b.off), None)
+        key = _hash(head if head is not None else "\n".join(b.text for b in found))
         shapes: dict[int, list[Block]] = {}
-        for i, b in enumerate(found):
+        for b in found:
             if b.off:
                 continue
             shapes.setdefault(b.parent, []).append(b)
-            rows = ((row, i, 0, _hash(b.path), _hash(b.path.rpartition("/")[0]), _hash(b.text)),)
-            for r in rows:
-                cols["host"].append(host)
-                cols["page"].append(key)
-                cols["place"].append(i)
-                cols["kind"].append(0)
-                cols["node"].append(r[3])
-                cols["parent"].append(r[4])
-                cols["content"].append(r[5])
+            rows.append((host, key, 0, _hash(b.path), _hash(b.path.rpartition("/")[0]), _hash(b.text)))
         for of in shapes.values():
             node = _hash(of[0].path.rpartition("/")[0])
-            cols["host"].append(host)
-            cols["page"].append(key)
-            cols["place"].append(-1)
-            cols["kind"].append(1)
-            cols["node"].append(node)
-            cols["parent"].append(node)
-            cols["content"].append(_hash(" ".join(b.tag for b in of)))
-    kinds = {"host": pa.string(), "kind": pa.int32(), "place": pa.int32()}
+            rows.append((host, key, 1, node, node, _hash(" ".join(b.tag for b in of))))
+    kinds = {"host": pa.string(), "kind": pa.int32()}
+    cols = dict(zip(FEATURES, zip(*rows, strict=True), strict=True)) if rows else {k: [] for k in FEATURES}
     return pa.record_batch({k: pa.array(v, kinds.get(k, pa.int64())) for k, v in cols.items()})
 
 
 def style_tree(pages: DataFrame, least: float = 0.3, sure: float = 0.05, decay: float = 0.9, pages_needed: int = 4) -> DataFrame:
     """host, node, content, importance of the contents of low importance; ``pages`` has host, row and html."""
-    fields = "host string, page long, place int, kind int, node long, parent long, content long"
+    fields = "host string, page long, kind int, node long, parent long, content long"
     rows = pages.filter("host != ''").mapInArrow(by_slice("html", _features), fields)
     # One row for each distinct page (headline) with a content at a node.
     once = rows.groupBy("host", "kind", "node", "parent", "content", "page").agg(F.lit(1).alias("one"))

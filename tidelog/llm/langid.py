@@ -168,16 +168,17 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", key: str = "do
     return Model(idf, np.stack(centroids).astype(np.float32) if centroids else np.empty((0, DIMS), np.float32), langs, np.array(least))
 
 
-def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
-    """The ``keep`` columns of each row, and lang_pred, score, rejected."""
+def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text", prefix: str = "") -> DataFrame:
+    """The ``keep`` columns of each row, and lang_pred, score, rejected, their names after ``prefix``."""
 
     def label(batch: pa.RecordBatch) -> pa.RecordBatch:
         lang, score, out = model.predict(batch.column("__text"))
-        return pa.record_batch([*(batch.column(c) for c in keep), pa.array(lang, pa.string()), pa.array(score), pa.array(out)], names=[*keep, "lang_pred", "score", "rejected"])
+        return pa.record_batch([*(batch.column(c) for c in keep), pa.array(lang, pa.string()), pa.array(score), pa.array(out)], names=[*keep, *names])
 
+    names = [prefix + n for n in ("lang_pred", "score", "rejected")]
     frame = docs.select(*keep, F.col(text).alias("__text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return frame.mapInArrow(by_slice("__text", label, 400_000), f"{kinds}, lang_pred string, score double, rejected boolean")
+    return frame.mapInArrow(by_slice("__text", label, 400_000), f"{kinds}, `{names[0]}` string, `{names[1]}` double, `{names[2]}` boolean")
 
 
 def held_out(key: Column) -> Column:
