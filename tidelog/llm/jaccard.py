@@ -13,15 +13,18 @@ Two documents link when 100 * |A & B| >= 90 * |A | B|, a Jaccard distance of at
   equal in at least 1 + SPARE of them. Each distinct sub-set is the pivot of a cell
   of radius 0: documents that share one meet there. (An empty sub-set is a pivot only for
   documents with more than SPARE empty sub-spaces.)
-* Documents. A cell's members are compared with a first pivot, its smallest member. A cell
-  whose members are then all in one component is settled, since only components are
-  asked for. A small cell compares its members across components. A larger one takes pivots
-  among its members; each member belongs to the Voronoi region of its nearest pivot p
-  and is replicated to pivot q where d(x, q) <= d(x, p) + 0.2, and the regions are joined
-  alike, recursively. A region that pivots no longer shrink is compared in full.
-
-Pairs are verified on whole sets of 64-bit shingle hashes, so results are exact but
-for hash collisions. Documents with equal sets are one until the end. A document
+* Documents. Each cell's smallest member is its pivot p, and the members of all cells of one
+  pivot are its region. A member x is known by its difference E(x) from p, and by the triangle
+  inequality x and y lie |E(x)| + |E(y)| - 2 |E(x) & E(y)| shingles apart. If their
+  differences are disjoint and they link, both link with p and are one component. So
+  only pairs that share a part of their difference are left, and one of them lies outside
+  p's radius. As for them the overlap is bounded from below, they share one of the first
+  elements of their differences in a fixed order (what p lacks first): those elements are
+  the cells of the next level, where regions are joined in the same way. Cells of one
+  component are settled, and cells of at most SMALL members are compared across components.
+
+Pairs are verified on whole sets of 64-bit shingle hashes, so results are exact but for
+hash collisions; documents with equal sets are one, known by a 64-bit hash of the set. A document
 without words links with nothing. Rows without doc_id are left out, and of several rows
 with one doc_id each counts; the id is returned once with its largest set size.
 """
@@ -37,8 +40,8 @@ from . import graph, shared
 from .text import Words, by_slice, combine, lists, mix
 
 SPARE = 2
-SMALL = 24
-PIVOTS = 4
+SMALL = 8
+LEVELS = 12
 
 
 def ladder(most: int = 1 << 40) -> np.ndarray:
@@ -106,15 +109,12 @@ def _prints(k: int):
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         h, doc = unique_sets(batch.column("text"), k)
         n = np.bincount(doc, minlength=batch.num_rows)
-        a, b = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.uint64)
+        whole = np.zeros(batch.num_rows, np.uint64)
         with np.errstate(over="ignore"):
-            np.add.at(a, doc, mix(h))
-            np.add.at(b, doc, mix(h ^ np.uint64(0xC3C3C3C3C3C3C3C3)))
+            np.add.at(whole, doc, mix(h))
+            whole = mix(whole + n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         sig, of = signatures(h, doc, n)
-        return pa.record_batch(
-            [batch.column("id"), pa.array(n, pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), lists(sig.view(np.int64), of, batch.num_rows, pa.int64())],
-            names=["id", "n", "a", "b", "sigs"],
-        )
+        return pa.record_batch([batch.column("id"), pa.array(n, pa.int64()), pa.array(whole.view(np.int64)), lists(sig.view(np.int64), of, batch.num_rows, pa.int64())], names=["id", "n", "rep", "sigs"])
 
     return by_slice("text", make)
 
@@ -124,57 +124,84 @@ def _sets(k: int):
         h, doc = unique_sets(batch.column("text"), k)
         at = np.searchsorted(doc, np.arange(batch.num_rows + 1))
         raw = h.astype("<u8").tobytes()
-        return pa.record_batch([batch.column("id"), pa.array([raw[8 * a : 8 * b] for a, b in zip(at, at[1:], strict=False)], pa.binary())], names=["id", "set"])
+        return pa.record_batch([batch.column("rep"), pa.array([raw[8 * a : 8 * b] for a, b in zip(at, at[1:], strict=False)], pa.binary())], names=["rep", "set"])
 
     return by_slice("text", make)
 
 
-def _measure(batches):
-    """mapInArrow: sizes of intersection and union of each pair's sets."""
-    for b in batches:
-        inter, union = [], []
-        for x, y in zip(b.column("set_a"), b.column("set_b"), strict=True):
-            p, q = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-            i = int(np.count_nonzero(q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p)) if len(q) else 0
-            inter.append(i)
-            union.append(len(p) + len(q) - i)
-        yield pa.record_batch([b.column("a"), b.column("b"), pa.array(inter, pa.int64()), pa.array(union, pa.int64())], names=["a", "b", "inter", "uni"])
+def first_differences(x: np.ndarray, p: np.ndarray, linked: bool) -> np.ndarray:
+    """The elements of x's difference from p under which x meets whom it may link with beyond p: what p
+    lacks first, then what it has, each in order of their hash. If x doesn't link with p, a partner
+    shares all but |x| // 9 of its elements or more; if it does, its partner doesn't, and they
+    share more than 9 / 19 of them."""
+    new, gone = np.setdiff1d(x, p, assume_unique=True), np.setdiff1d(p, x, assume_unique=True)
+    size = len(new) + len(gone)
+    take = size - 9 * size // 19 if linked else min(size, len(x) // 9 + 1)
+    return np.concatenate([new, gone])[:take]
+
+
+def _measure(percent: int):
+    """mapInArrow: whether each pair links and, where it is asked for, the first differences of b from a."""
+
+    def run(batches):
+        for b in batches:
+            linked, first = [], []
+            for x, y, region in zip(b.column("set_a"), b.column("set_b"), b.column("region").to_pylist(), strict=True):
+                p, q = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+                both = int(np.count_nonzero(q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p)) if len(q) else 0
+                linked.append(100 * both >= percent * (len(p) + len(q) - both))
+                first.append(first_differences(q, p, linked[-1]).view(np.int64) if region else None)
+            yield pa.record_batch([b.column("a"), b.column("b"), b.column("region"), pa.array(linked), pa.array(first, pa.list_(pa.int64()))], names=["a", "b", "region", "linked", "first"])
+
+    return run
 
 
 class Join:
-    """The state of one join: sets on disk, pairs measured so far, and links."""
+    """One join: the sets on disk and the links found so far."""
 
     def __init__(self, sets: DataFrame, percent: int):
         self.sets, self.percent = sets, percent
-        self.done: DataFrame | None = None
-
-    def measure(self, pairs: DataFrame) -> None:
-        """Measures the pairs (a < b) that were not measured before."""
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
-        if self.done is not None:
-            pairs = pairs.join(self.done.select("a", "b"), ["a", "b"], "left_anti")
-        left = self.sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
-        right = self.sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
-        got = pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b")
-        got = shared.settle(got.mapInArrow(_measure, "a long, b long, inter long, uni long"), "measured")
-        self.done = got if self.done is None else self.done.union(got)
+        self.links: DataFrame | None = None
+
+    def measure(self, pairs: DataFrame) -> DataFrame:
+        """a, b, region, linked, first for pairs (a, b, region); with region, a is b's pivot."""
+        left = self.sets.select(F.col("rep").alias("a"), F.col("set").alias("set_a"))
+        right = self.sets.select(F.col("rep").alias("b"), F.col("set").alias("set_b"))
+        both = pairs.join(left, "a").join(right, "b").select("a", "b", "region", "set_a", "set_b")
+        got = shared.settle(both.mapInArrow(_measure(self.percent), "a long, b long, region boolean, linked boolean, first array<long>"), "measured")
+        links = got.filter("linked").select("a", "b")
+        self.links = links if self.links is None else self.links.union(links)
+        return got
 
     def components(self) -> DataFrame:
-        links = self.done.filter(F.col("inter") * 100 >= F.col("uni") * self.percent)
-        return shared.settle(graph.components(links.select("a", "b")).withColumnRenamed("node", "rep"), "components")
-
-    def distances(self, pairs: DataFrame) -> DataFrame:
-        """``pairs`` (cell, rep, pivot) with their distance."""
-        d = self.done.select("a", "b", (1 - F.col("inter") / F.col("uni")).alias("d"))
-        return pairs.withColumns({"a": F.least("rep", "pivot"), "b": F.greatest("rep", "pivot")}).join(d, ["a", "b"]).select("cell", "rep", "pivot", "d")
-
-
-def _open_cells(members: DataFrame, comp: DataFrame) -> DataFrame:
-    """Members of the cells whose members are of several components; with c and the cell's size."""
-    known = members.join(comp, "rep", "left").withColumn("c", F.coalesce("component", "rep")).select("cell", "rep", "c")
-    known = shared.settle(known, "known")
-    mixed = known.groupBy("cell").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo != hi")
-    return shared.settle(known.join(shared.settle(mixed.select("cell", "n"), "mixed"), "cell"), "open")
+        comp = shared.settle(graph.components(self.links).withColumnRenamed("node", "rep"), "components")
+        # The forest stands for all links before it.
+        self.links = comp.filter("rep != component").select(F.col("component").alias("a"), F.col("rep").alias("b"))
+        return comp
+
+    def level(self, members: DataFrame, comp: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """Joins cells (cell, rep, far), far: the member lay outside its last pivot's radius. Returns the
+        cells of the next level and the components."""
+        if comp is None:
+            known = members.withColumn("c", F.col("rep"))
+        else:
+            known = members.join(comp, "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
+        known = shared.settle(known, "known")
+        cells = known.groupBy("cell").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("rep").alias("lo"), F.count(F.lit(1)).alias("n"), F.max("far").alias("far"))
+        cells = shared.settle(cells.filter("c0 != c1 and far").select("cell", "lo", "n"), "cells")
+        open_ = known.join(cells, "cell")
+        small, large = open_.filter(F.col("n") <= SMALL), open_.filter(F.col("n") > SMALL)
+        x = small.select("cell", F.col("rep").alias("a"), F.col("c").alias("ca"), F.col("far").alias("fa"))
+        y = small.select("cell", F.col("rep").alias("b"), F.col("c").alias("cb"), F.col("far").alias("fb"))
+        near = x.join(y, "cell").filter("a < b and ca != cb and (fa or fb)").select("a", "b", F.lit(False).alias("region"))
+        star = large.filter("rep != lo").select(F.col("lo").alias("a"), F.col("rep").alias("b"), F.lit(True).alias("region"))
+        got = self.measure(shared.settle(near.union(star).groupBy("a", "b").agg(F.max("region").alias("region")), "pairs"))
+        comp = self.components()
+        first = got.filter("region").select(F.col("a").alias("pivot"), F.col("b").alias("rep"), (~F.col("linked")).alias("far"), "first")
+        # A region whose members all link with its pivot is settled.
+        live = shared.settle(first.groupBy("pivot").agg(F.max("far").alias("f")).filter("f").select("pivot"), "live")
+        spread = first.join(live, "pivot").select("pivot", F.explode("first").alias("element"), "rep", "far")
+        return shared.settle(spread.select(F.xxhash64("pivot", "element").alias("cell"), "rep", "far"), "next"), comp
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3, percent: int = 90) -> DataFrame:
@@ -182,64 +209,37 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     if percent < 90:
         raise ValueError("the windows are laid out for a similarity of 0.9 or more")
     rows = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    prints = shared.settle(rows.mapInArrow(_prints(k), "id long, n long, a long, b long, sigs array<long>"), "prints")
-    heads = prints.filter("n > 0").groupBy("n", "a", "b").agg(F.min("id").alias("rep"))
-    heads = shared.settle(heads, "heads")
-    # One row's signatures for each distinct set.
-    own = prints.filter("n > 0").select("id", "n", "a", "b", "sigs").join(heads.withColumnRenamed("rep", "id"), ["id", "n", "a", "b"], "left_semi")
-    spread = own.dropDuplicates(["id", "n", "a", "b"]).select(F.explode("sigs").alias("cell"), F.col("id").alias("rep"))
-    cells = spread.groupBy("cell").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo != hi")
-    cells = shared.settle(cells, "cells")
-    members = shared.settle(spread.join(cells.filter("n > 2").select("cell", "lo"), "cell"), "members")
-    pairs = cells.filter("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).union(members.filter("rep != lo").select(F.col("lo").alias("a"), F.col("rep").alias("b")))
-    pairs = shared.settle(pairs.distinct(), "pairs")
-    needed = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = shared.settle(rows.join(needed, "id", "left_semi").mapInArrow(_sets(k), "id long, set binary").dropDuplicates(["id"]), "sets")
-    join = Join(sets, percent)
-    join.measure(pairs)
-    comp = join.components()
-    # The first pivot has met all members of its cell.
-    left = members.filter("rep != lo").select("cell", "rep")
-    while not (live := _open_cells(left, comp)).isEmpty():
-        small, large = live.filter(F.col("n") <= SMALL), live.filter(F.col("n") > SMALL)
-        x, y = small.select("cell", F.col("rep").alias("a"), F.col("c").alias("ca")), small.select("cell", F.col("rep").alias("b"), F.col("c").alias("cb"))
-        pairs = x.join(y, "cell").filter("a < b and ca != cb").select("a", "b")
-        drawn = F.array(*(F.min(F.struct(F.xxhash64("rep", F.lit(i)), F.col("rep").alias("p"))) for i in range(PIVOTS)))
-        pivots = large.groupBy("cell", "n").agg(F.array_distinct(F.transform(drawn, lambda s: s["p"])).alias("pivots"))
-        pivots = shared.settle(pivots, "pivots")
-        met = shared.settle(large.select("cell", "rep").join(pivots, "cell").select("cell", "rep", "n", F.explode("pivots").alias("pivot")), "met")
-        join.measure(pairs.union(met.select(F.col("rep").alias("a"), F.col("pivot").alias("b"))))
-        comp = join.components()
-        if met.isEmpty():
+    prints = shared.settle(rows.mapInArrow(_prints(k), "id long, n long, rep long, sigs array<long>"), "prints")
+    spread = prints.select(F.explode("sigs").alias("cell"), "rep")
+    cells = shared.settle(spread.groupBy("cell").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo != hi").select("cell"), "cells")
+    members = shared.settle(spread.join(cells, "cell").groupBy("cell", "rep").agg(F.lit(True).alias("far")), "members")
+    # One row's text for each distinct set that shares a cell.
+    ids = shared.settle(prints.select("id", "n", "rep"), "ids")
+    shared.drop(docs.sparkSession, prints)
+    heads = ids.filter("n > 0").groupBy("rep").agg(F.min("id").alias("head"))
+    needed = shared.settle(heads.join(members.select("rep").distinct(), "rep", "left_semi").withColumnRenamed("head", "id"), "needed")
+    texts = rows.join(needed, "id").join(ids.select("id", "rep"), ["id", "rep"], "left_semi")
+    sets = shared.settle(texts.select("rep", "text").mapInArrow(_sets(k), "rep long, set binary").dropDuplicates(["rep"]), "sets")
+    join, comp = Join(sets, percent), None
+    for _ in range(LEVELS):
+        members, comp = join.level(members, comp)
+        if members.isEmpty():
             break
-        ranged = shared.settle(join.distances(met.select("cell", "rep", "pivot").filter("rep != pivot")), "ranged")
-        home = ranged.groupBy("cell", "rep").agg(F.min("d").alias("home"))
-        # Pivots have met all members and leave; the others go to their region and its neighbours.
-        stay = home.join(met.filter("rep = pivot").select("cell", "rep"), ["cell", "rep"], "left_anti")
-        dealt = ranged.join(stay, ["cell", "rep"]).filter(F.col("d") <= F.col("home") + 0.2 + 1e-9)
-        dealt = dealt.select(F.xxhash64("cell", "pivot").alias("next"), "cell", "rep")
-        dealt = shared.settle(dealt, "dealt")
-        size = dealt.groupBy("cell", "next").agg(F.count(F.lit(1)).alias("k")).join(pivots.select("cell", "n"), "cell")
-        size = shared.settle(size, "size")
-        # Where a region keeps nearly all of its cell, pivots don't cut: it is compared in full.
-        full = size.groupBy("cell").agg(F.max(F.col("k") / F.col("n")).alias("share"), F.first("n").alias("n")).filter("share > 0.9").select("cell")
-        stuck = stay.select("cell", "rep").join(shared.settle(full, "full"), "cell")
-        rest = shared.settle(_open_cells(stuck, comp), "rest")
-        if not rest.isEmpty():
-            join.measure(_across(rest))
-            comp = join.components()
-        left = dealt.join(full, "cell", "left_anti").select(F.col("next").alias("cell"), "rep")
-    member = prints.select("id", "n", "a", "b").join(heads, ["n", "a", "b"], "left")
-    out = member.join(comp, "rep", "left").withColumn("c", F.coalesce("component", "rep", "id"))
-    out = out.groupBy("id").agg(F.max("n").alias("n_shingles"), F.min("c").alias("component_id"))
+    else:
+        rest = members.join(comp, "rep", "left").withColumn("c", F.coalesce("component", "rep"))
+        join.measure(_across(rest))
+        comp = join.components()
+    # A component by set hashes becomes the smallest id of its documents.
+    named = ids.join(comp, "rep", "left").withColumn("c", F.when(F.col("n") > 0, F.coalesce("component", "rep")))
+    lowest = shared.settle(named.filter("c is not null").groupBy("c").agg(F.min("id").alias("low")), "lowest")
+    out = named.join(lowest, "c", "left").groupBy("id").agg(F.max("n").alias("n_shingles"), F.min(F.coalesce("low", "id")).alias("component_id"))
     return out.select(F.col("id").alias(key), "n_shingles", "component_id")
 
 
 def _across(cells: DataFrame, parts: int = 16) -> DataFrame:
-    """Pairs of members of different components of a cell, in a grid of parts so that no task
-    holds a cell; a component that is whole in the cell sends one row for each of its members."""
+    """Pairs of a cell's members of different components, in a grid of parts so that no task holds a cell."""
     part = F.pmod(F.xxhash64("rep", F.lit(7)), F.lit(parts)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     x = cells.select("cell", F.col("rep").alias("a"), F.col("c").alias("ca"), part.alias("pa"), every.alias("pb"))
     y = cells.select("cell", F.col("rep").alias("b"), F.col("c").alias("cb"), every.alias("pa"), part.alias("pb"))
-    return x.join(y, ["cell", "pa", "pb"]).filter("a < b and ca != cb").select("a", "b")
+    return x.join(y, ["cell", "pa", "pb"]).filter("a < b and ca != cb").select("a", "b", F.lit(False).alias("region")).distinct()

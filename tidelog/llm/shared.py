@@ -13,12 +13,21 @@ def folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+#: Shuffle files of a finished write are of no more use; Spark then deletes them at once.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def settle(df: DataFrame, tag: str = "t") -> DataFrame:
     """The rows of df, written to the shared folder and read again: a lost executor
     then costs the tasks it ran, never the work before the table."""
     spark = df.sparkSession
     path = f"{folder(spark)}-{tag}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -28,7 +37,3 @@ def drop(spark: SparkSession, *tables: DataFrame) -> None:
         for file in df.inputFiles()[:1]:
             path = spark._jvm.org.apache.hadoop.fs.Path(file.rsplit("/", 1)[0])
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def count_rows(df: DataFrame) -> int:
-    return df.count()
