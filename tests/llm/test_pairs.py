@@ -146,9 +146,7 @@ def passage_texts():
     return texts
 
 
-@pytest.mark.parametrize("small", [24, 2])
-def test_repeated_passages_are_all_found(spark, monkeypatch, small):
-    monkeypatch.setattr(passages, "SMALL", small)
+def test_repeated_passages_are_all_found(spark):
     texts = list(enumerate(passage_texts()))
     got = passages.repeated_passages(frame(spark, [t for _, t in texts])).collect()
     want, have = repeats(texts), defaultdict(set)
@@ -161,6 +159,15 @@ def test_repeated_passages_are_all_found(spark, monkeypatch, small):
     assert set(have) == set(want)  # clean documents are left alone
 
 
+def test_a_first_document_that_shares_too_little(spark):
+    """Document 0 holds 30 words of the passage that the others share as a whole."""
+    p = prose(77, 60, 5000).split()
+    texts = [prose(1, 60, 5000) + " " + " ".join(p[15:45]) + " " + prose(2, 60, 5000)]
+    texts += [prose(10 + i, 60, 5000) + " " + " ".join(p) + " " + prose(50 + i, 60, 5000) for i in range(6)]
+    got = {(r["doc_id"], r["of_doc_id"]): (r["first_word"], r["last_word"]) for r in passages.repeated_passages(frame(spark, texts)).collect()}
+    assert got == {(i, 1): (60, 120) for i in range(2, 7)}
+
+
 def test_near_copies_of_a_passage(spark):
     p = prose(77, 90, 5000)
     texts = [prose(10 + i, 60, 5000) + " " + edited(i, p, i % 3) + " " + prose(50 + i, 60, 5000) for i in range(12)]
