@@ -83,16 +83,17 @@ def test_jaccard_join_of_many_sizes(spark):
     assert len(check_jaccard(frame(spark, texts))) > 30
 
 
-@pytest.mark.parametrize("small, levels", [(8, 12), (1, 12), (1, 1)])
-def test_jaccard_join_of_one_large_group(spark, monkeypatch, small, levels):
-    """A chain of edits and a cloud of near misses around one text: cells that pivots must cut."""
-    monkeypatch.setattr(jaccard, "SMALL", small)
-    monkeypatch.setattr(jaccard, "LEVELS", levels)
+@pytest.mark.parametrize("edits", [1, 2, 3])
+def test_jaccard_join_of_one_large_group(spark, edits):
+    """A chain of edits and clouds of near misses around one text and around a copy far from it."""
     texts, last = [], BASES[6]
     for i in range(40):
-        last = edited(i, last, 3)
+        last = edited(i, last, edits)
         texts.append(last)
-    texts += [edited(1000 + i, BASES[6], 4 + i % 4) for i in range(50)]
+    far = edited(999, BASES[6], 12)
+    for base in (BASES[6], far):
+        texts += [edited(1000 + i, base, edits + i % 4) for i in range(50)]
+    random.Random(edits).shuffle(texts)
     assert check_jaccard(frame(spark, texts))
 
 

@@ -16,12 +16,11 @@ Two documents link when 100 * |A & B| >= 90 * |A | B|, a Jaccard distance of at
 * Documents. Each cell's smallest member is its pivot p, and the members of all cells of one
   pivot are its region. A member x is known by its difference E(x) from p, and by the triangle
   inequality x and y lie |E(x)| + |E(y)| - 2 |E(x) & E(y)| shingles apart. If their
-  differences are disjoint and they link, both link with p and are one component. So
-  only pairs that share a part of their difference are left, and one of them lies outside
-  p's radius. As for them the overlap is bounded from below, they share one of the first
-  elements of their differences in a fixed order (what p lacks first): those elements are
-  the cells of the next level, where regions are joined in the same way. Cells of one
-  component are settled, and cells of at most SMALL members are compared across components.
+  differences are disjoint and they link, both link with p and are one component. So only pairs
+  that share a part of their difference are left, one of them outside p's radius, and the part
+  they share is bounded from below. The region is cut once more, by the elements of the
+  differences: x and y must share one of the first elements of their differences, rarest
+  first, at places that leave room for the part they share. Pairs of one component are settled.
 
 Pairs are verified on whole sets of 64-bit shingle hashes, so results are exact but for
 hash collisions; documents with equal sets are one, known by a 64-bit hash of the set. A document
@@ -40,8 +39,6 @@ from . import graph, shared
 from .text import Words, by_slice, combine, lists, mix
 
 SPARE = 2
-SMALL = 8
-LEVELS = 12
 
 
 def ladder(most: int = 1 << 40) -> np.ndarray:
@@ -129,79 +126,59 @@ def _sets(k: int):
     return by_slice("text", make)
 
 
-def first_differences(x: np.ndarray, p: np.ndarray, linked: bool) -> np.ndarray:
-    """The elements of x's difference from p under which x meets whom it may link with beyond p: what p
-    lacks first, then what it has, each in order of their hash. If x doesn't link with p, a partner
-    shares all but |x| // 9 of its elements or more; if it does, its partner doesn't, and they
-    share more than 9 / 19 of them."""
-    new, gone = np.setdiff1d(x, p, assume_unique=True), np.setdiff1d(p, x, assume_unique=True)
-    size = len(new) + len(gone)
-    take = size - 9 * size // 19 if linked else min(size, len(x) // 9 + 1)
-    return np.concatenate([new, gone])[:take]
-
-
 def _measure(percent: int):
-    """mapInArrow: whether each pair links and, where it is asked for, the first differences of b from a."""
+    """mapInArrow: whether each pair links, b's size and, where it is asked for, b's difference from a."""
 
     def run(batches):
         for b in batches:
-            linked, first = [], []
+            linked, size, diff = [], [], []
             for x, y, region in zip(b.column("set_a"), b.column("set_b"), b.column("region").to_pylist(), strict=True):
                 p, q = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
                 both = int(np.count_nonzero(q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p)) if len(q) else 0
                 linked.append(100 * both >= percent * (len(p) + len(q) - both))
-                first.append(first_differences(q, p, linked[-1]).view(np.int64) if region else None)
-            yield pa.record_batch([b.column("a"), b.column("b"), b.column("region"), pa.array(linked), pa.array(first, pa.list_(pa.int64()))], names=["a", "b", "region", "linked", "first"])
+                size.append(len(q))
+                diff.append(np.setxor1d(p, q, assume_unique=True).view(np.int64) if region else None)
+            yield pa.record_batch([b.column("a"), b.column("b"), pa.array(linked), pa.array(size, pa.int64()), pa.array(diff, pa.list_(pa.int64()))], names=["a", "b", "linked", "n", "diff"])
 
     return run
 
 
-class Join:
-    """One join: the sets on disk and the links found so far."""
-
-    def __init__(self, sets: DataFrame, percent: int):
-        self.sets, self.percent = sets, percent
-        self.links: DataFrame | None = None
-
-    def measure(self, pairs: DataFrame) -> DataFrame:
-        """a, b, region, linked, first for pairs (a, b, region); with region, a is b's pivot."""
-        left = self.sets.select(F.col("rep").alias("a"), F.col("set").alias("set_a"))
-        right = self.sets.select(F.col("rep").alias("b"), F.col("set").alias("set_b"))
-        both = pairs.join(left, "a").join(right, "b").select("a", "b", "region", "set_a", "set_b")
-        got = shared.settle(both.mapInArrow(_measure(self.percent), "a long, b long, region boolean, linked boolean, first array<long>"), "measured")
-        links = got.filter("linked").select("a", "b")
-        self.links = links if self.links is None else self.links.union(links)
-        return got
-
-    def components(self) -> DataFrame:
-        comp = shared.settle(graph.components(self.links).withColumnRenamed("node", "rep"), "components")
-        # The forest stands for all links before it.
-        self.links = comp.filter("rep != component").select(F.col("component").alias("a"), F.col("rep").alias("b"))
-        return comp
-
-    def level(self, members: DataFrame, comp: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        """Joins cells (cell, rep, far), far: the member lay outside its last pivot's radius. Returns the
-        cells of the next level and the components."""
-        if comp is None:
-            known = members.withColumn("c", F.col("rep"))
-        else:
-            known = members.join(comp, "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
-        known = shared.settle(known, "known")
-        cells = known.groupBy("cell").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("rep").alias("lo"), F.count(F.lit(1)).alias("n"), F.max("far").alias("far"))
-        cells = shared.settle(cells.filter("c0 != c1 and far").select("cell", "lo", "n"), "cells")
-        open_ = known.join(cells, "cell")
-        small, large = open_.filter(F.col("n") <= SMALL), open_.filter(F.col("n") > SMALL)
-        x = small.select("cell", F.col("rep").alias("a"), F.col("c").alias("ca"), F.col("far").alias("fa"))
-        y = small.select("cell", F.col("rep").alias("b"), F.col("c").alias("cb"), F.col("far").alias("fb"))
-        near = x.join(y, "cell").filter("a < b and ca != cb and (fa or fb)").select("a", "b", F.lit(False).alias("region"))
-        star = large.filter("rep != lo").select(F.col("lo").alias("a"), F.col("rep").alias("b"), F.lit(True).alias("region"))
-        got = self.measure(shared.settle(near.union(star).groupBy("a", "b").agg(F.max("region").alias("region")), "pairs"))
-        comp = self.components()
-        first = got.filter("region").select(F.col("a").alias("pivot"), F.col("b").alias("rep"), (~F.col("linked")).alias("far"), "first")
-        # A region whose members all link with its pivot is settled.
-        live = shared.settle(first.groupBy("pivot").agg(F.max("far").alias("f")).filter("f").select("pivot"), "live")
-        spread = first.join(live, "pivot").select("pivot", F.explode("first").alias("element"), "rep", "far")
-        return shared.settle(spread.select(F.xxhash64("pivot", "element").alias("cell"), "rep", "far"), "next"), comp
+def _measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b, linked, n, diff for pairs (a, b, region); with region, a is b's pivot."""
+    left = sets.select(F.col("rep").alias("a"), F.col("set").alias("set_a"))
+    right = sets.select(F.col("rep").alias("b"), F.col("set").alias("set_b"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "region", "set_a", "set_b")
+    return shared.settle(both.mapInArrow(_measure(percent), "a long, b long, linked boolean, n long, diff array<long>"), "measured")
+
+
+def _components(links: DataFrame) -> DataFrame:
+    return shared.settle(graph.components(links.select("a", "b")).withColumnRenamed("node", "rep"), "components")
+
+
+def _within_regions(first: DataFrame, comp: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members of a region that may link though not both do with its pivot."""
+    named = first.select(F.col("a").alias("pivot"), F.col("b").alias("rep"), (~F.col("linked")).alias("far"), "n", "diff")
+    named = named.join(comp, "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
+    named = shared.settle(named.withColumn("size", F.size("diff")), "region")
+    # A region whose members all link with its pivot, or are one component, is settled.
+    live = named.groupBy("pivot").agg(F.max("far").alias("far"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("far and c0 != c1").select("pivot")
+    spread = named.join(shared.settle(live, "live"), "pivot").select("pivot", "rep", "far", "n", "c", "size", F.explode("diff").alias("element"))
+    often = spread.groupBy("pivot", "element").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
+    met = spread.join(shared.settle(often, "often"), ["pivot", "element"])
+    # Elements of one member alone come first in its order; they only take up places.
+    per = met.groupBy("pivot", "rep", "far", "n", "c", "size").agg(F.sort_array(F.collect_list(F.struct("often", "element"))).alias("order"))
+    per = per.withColumn("alone", F.col("size") - F.size("order"))
+    place = F.col("alone") + F.col("i")
+    # Beyond the radius a partner shares all but n // 9 elements or more, within it more than 9 / 19 of them.
+    most = F.when(F.col("far"), F.least(F.col("size"), F.floor(F.col("n") / 9) + 1)).otherwise(F.col("size") - F.floor(9 * F.col("size") / 19))
+    rows = per.select("pivot", "rep", "far", "n", "c", "size", "alone", F.posexplode("order").alias("i", "o")).withColumn("place", place).filter(F.col("place") < most)
+    rows = shared.settle(rows.select("pivot", F.col("o.element").alias("element"), "rep", "far", "n", "c", "size", "place"), "places")
+    x = rows.select("pivot", "element", *(F.col(c).alias(f"{c}_a") for c in ("rep", "far", "n", "c", "size", "place")))
+    y = rows.select("pivot", "element", *(F.col(c).alias(f"{c}_b") for c in ("rep", "far", "n", "c", "size", "place")))
+    room = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
+    needed = F.col("size_a") + F.col("size_b") - F.floor((F.col("n_a") + F.col("n_b")) / 19)
+    may = (F.col("rep_a") < F.col("rep_b")) & (F.col("far_a") | F.col("far_b")) & (F.col("c_a") != F.col("c_b")) & (2 * room >= needed)
+    return x.join(y, ["pivot", "element"]).filter(may).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), F.lit(False).alias("region")).distinct()
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3, percent: int = 90) -> DataFrame:
@@ -212,34 +189,25 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     prints = shared.settle(rows.mapInArrow(_prints(k), "id long, n long, rep long, sigs array<long>"), "prints")
     spread = prints.select(F.explode("sigs").alias("cell"), "rep")
     cells = shared.settle(spread.groupBy("cell").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo != hi").select("cell"), "cells")
-    members = shared.settle(spread.join(cells, "cell").groupBy("cell", "rep").agg(F.lit(True).alias("far")), "members")
-    # One row's text for each distinct set that shares a cell.
+    members = shared.settle(spread.join(cells, "cell").select("cell", "rep").distinct(), "members")
     ids = shared.settle(prints.select("id", "n", "rep"), "ids")
     shared.drop(docs.sparkSession, prints)
+    # One row's text for each distinct set that shares a cell.
     heads = ids.filter("n > 0").groupBy("rep").agg(F.min("id").alias("head"))
     needed = shared.settle(heads.join(members.select("rep").distinct(), "rep", "left_semi").withColumnRenamed("head", "id"), "needed")
     texts = rows.join(needed, "id").join(ids.select("id", "rep"), ["id", "rep"], "left_semi")
     sets = shared.settle(texts.select("rep", "text").mapInArrow(_sets(k), "rep long, set binary").dropDuplicates(["rep"]), "sets")
-    join, comp = Join(sets, percent), None
-    for _ in range(LEVELS):
-        members, comp = join.level(members, comp)
-        if members.isEmpty():
-            break
-    else:
-        rest = members.join(comp, "rep", "left").withColumn("c", F.coalesce("component", "rep"))
-        join.measure(_across(rest))
-        comp = join.components()
+    pivots = members.groupBy("cell").agg(F.min("rep").alias("lo"), F.count(F.lit(1)).alias("n"))
+    star = members.join(shared.settle(pivots, "pivots"), "cell").filter("rep != lo")
+    star = star.groupBy(F.col("lo").alias("a"), F.col("rep").alias("b")).agg((F.max("n") > 2).alias("region"))
+    first = _measured(star, sets, percent)
+    links = first.filter("linked").select("a", "b")
+    comp = _components(links)
+    more = _measured(_within_regions(first.filter("diff is not null"), comp), sets, percent).filter("linked").select("a", "b")
+    if not more.isEmpty():
+        comp = _components(links.union(more))
     # A component by set hashes becomes the smallest id of its documents.
     named = ids.join(comp, "rep", "left").withColumn("c", F.when(F.col("n") > 0, F.coalesce("component", "rep")))
     lowest = shared.settle(named.filter("c is not null").groupBy("c").agg(F.min("id").alias("low")), "lowest")
     out = named.join(lowest, "c", "left").groupBy("id").agg(F.max("n").alias("n_shingles"), F.min(F.coalesce("low", "id")).alias("component_id"))
     return out.select(F.col("id").alias(key), "n_shingles", "component_id")
-
-
-def _across(cells: DataFrame, parts: int = 16) -> DataFrame:
-    """Pairs of a cell's members of different components, in a grid of parts so that no task holds a cell."""
-    part = F.pmod(F.xxhash64("rep", F.lit(7)), F.lit(parts)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    x = cells.select("cell", F.col("rep").alias("a"), F.col("c").alias("ca"), part.alias("pa"), every.alias("pb"))
-    y = cells.select("cell", F.col("rep").alias("b"), F.col("c").alias("cb"), every.alias("pa"), part.alias("pb"))
-    return x.join(y, ["cell", "pa", "pb"]).filter("a < b and ca != cb").select("a", "b", F.lit(False).alias("region")).distinct()
