@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from . import shared
 from .text import by_slice
 
-KEEP = 500_000
+KEEP = 1_000_000
 _PIECE = "piece int, start long, length long, ids_crc32 long"
 # GPT-2 style pieces of texts below U+0250, by the Unicode categories L* and N* (fixed values).
 _L = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
