@@ -6,7 +6,7 @@ The document frequencies behind idf cover every training document. Spherical k-m
 gives each language several centroids, fitted on a bounded sample: the rows whose hash
 of doc_id falls below a rate set so that about ``per_language`` rows of each language
 remain. A text gets the language of the centroid of largest cosine, and is rejected
-where its distance passes that centroid's radius or it has no letter.
+where its distance passes its language's radius or it has no letter.
 
 Null and empty texts, and texts without a letter, get ``und``, score 0 and are rejected.
 Without training rows every text is ``und``. Of equally near centroids the first language
@@ -123,10 +123,10 @@ class Model:
         return lang, score.astype(np.float64), ~letters | (score < self.least[at])
 
 
-def fit(train: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 400, clusters: int = 4, reach: float = 0.2) -> Model:
+def fit(train: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 400, clusters: int = 4, reach: float = 0.15) -> Model:
     """Fits on the rows of ``train`` with a language and a letter. ``per_language`` bounds the
     sample that centroids are fitted on (twice that is held at most); ``reach`` is the share of
-    a centroid's smallest training cosine that a text needs."""
+    the smallest training cosine of its language that a text needs."""
     train = train.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.col(key).alias("key")).filter(F.col("lang").isNotNull() & F.col("text").rlike(_LETTER))
     counts = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     df = np.zeros(DIMS)
@@ -158,13 +158,12 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", key: str = "do
             continue
         x = np.frombuffer(b"".join(sorted(seen[name])), "<f2").astype(np.float32).reshape(-1, DIMS)
         c = cluster(x, clusters)
-        near = x @ c.T
-        of = np.argmax(near, axis=1)
-        for i in range(len(c)):
-            own = near[of == i, i]
-            centroids.append(c[i])
-            langs.append(name)
-            least.append(reach * float(own.min()) if len(own) else 0.0)
+        # The widest of a language's clusters sets the radius of all: a small tight one says
+        # nothing about how far a short text may lie.
+        widest = float((x @ c.T).max(axis=1).min())
+        centroids += list(c)
+        langs += [name] * len(c)
+        least += [reach * widest] * len(c)
     return Model(idf, np.stack(centroids).astype(np.float32) if centroids else np.empty((0, DIMS), np.float32), langs, np.array(least))
 
 
