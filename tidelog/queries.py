@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import model
 from .functions import codec, convert, digest, render, values
-from .operators import apply, assemble, cursors, project
+from .operators import apply, assemble, contracts, cursors, project, validate
 from .plans import planner, types
 from .streaming import runner
 
@@ -407,6 +408,74 @@ def fold_into_target(spark, sf_dir):
     return apply.fold(target, rows.filter(F.col("event_id") > b), ["user_id"], ["event_id", "value"], ORDER)
 
 
+def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived log as whole transactions with images. Events break rules by their number: 3 modulo 7
+    has no schema, 5 modulo 11 no native type, 6 modulo 13 a value out of range, 8 modulo 17 an
+    insert with a before-image."""
+    n, op = F.col("event_id"), F.col("operation")
+    native = F.when(n % 11 == 5, "").otherwise("decimal(12,2)")
+    integer = F.when(n % 13 == 6, '{"type":"integer","signed":true,"bits":8,"value":"300"}').otherwise(F.concat(F.lit('{"type":"integer","signed":true,"bits":64,"value":"'), F.col("user_id").cast("string"), F.lit('"}')))
+    decimal = F.concat(F.lit('{"type":"decimal","unscaled":"'), F.round(F.col("value") * 100).cast("long").cast("string"), F.lit('","scale":2}'))
+
+    def datum(ordinal, name, type_, key, presence, value):
+        parts = {"ordinal": F.lit(ordinal).cast("long"), "name": F.lit(name), "native_type": type_, "primary_key_ordinal": F.lit(key).cast("long"), "generated": F.lit(False), "collation": F.lit(None).cast("string"), "presence": presence, "value": value}
+        return F.struct(*(v.alias(k) for k, v in parts.items()))
+
+    key = datum(0, "id", F.lit("bigint"), 0, F.lit("value"), integer)
+    image = lambda presence: F.array(key, datum(1, "value", native, None, presence, F.when(presence == "value", decimal)))
+    none = F.lit(None).cast(model.IMAGE)
+    before = F.when(op != "insert", image(F.lit("unavailable"))).when(n % 17 == 8, image(F.lit("value"))).otherwise(none)
+    after = F.when(op == "insert", image(F.lit("value"))).when(op == "update", image(F.col("presence"))).otherwise(none)
+    cursor = lambda x: F.struct(F.lit("mysql").alias("format"), x.cast("string").alias("value"), F.concat_ws(":", "file_no", x).alias("display"))
+    fields = {"type": F.lit(model.ROW), "operation": op, "schema": F.when(n % 7 == 3, "").otherwise("shop"), "table": F.lit("users"), "source_cursor": cursor(F.col("pos")), "source_timestamp": F.unix_seconds(F.col("ts").cast("timestamp")), "schema_basis": F.lit("catalog"), "before": before, "after": after}
+    payload = F.struct(*(fields.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in model.PAYLOAD))
+    rows = changes(spark, sf_dir).select("tx_id", "sequence", payload.alias("c"))
+    per = rows.groupBy("tx_id").agg(F.array_sort(F.collect_list(F.struct("sequence", "c"))).alias("s"))
+    source = F.struct(F.lit("mysql").alias("kind"), F.lit("8.0.36").alias("version"), F.lit("3e11fa47-71ca-11e1-9e33-c80aa9429562").alias("id"))
+    out = per.select(F.col("tx_id").cast("string").alias("id"), F.transform("s", lambda x: x["c"]).alias("changes"), source.alias("source"))
+    return out.withColumns({"begin_cursor": F.col("changes")[0]["source_cursor"], "commit_cursor": F.element_at("changes", -1)["source_cursor"]})
+
+
+@query(
+    """WITH c AS (SELECT *, CASE operation WHEN 'insert' THEN (event_id % 17 = 8)::INT ELSE 1 END AS b, (operation <> 'delete')::INT AS a FROM {changes}),
+       v AS (SELECT 'table_name_invalid' AS rule_code, (event_id % 7 = 3)::INT AS n FROM c
+         UNION ALL SELECT 'before_native_type_missing', b * (event_id % 11 = 5)::INT FROM c UNION ALL SELECT 'after_native_type_missing', a * (event_id % 11 = 5)::INT FROM c
+         UNION ALL SELECT 'operation_images_mismatch', (operation = 'insert' AND event_id % 17 = 8)::INT FROM c UNION ALL SELECT 'logical_value.integer_range', (a + b) * (event_id % 13 = 6)::INT FROM c)
+       SELECT rule_code, SUM(n)::BIGINT AS n FROM v GROUP BY rule_code HAVING SUM(n) > 0"""
+)
+def validation_rules(spark, sf_dir):
+    return validate.violations(transactions(spark, sf_dir)).groupBy("rule_code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT tx_id::VARCHAR AS id, COUNT(*) FILTER (event_id % 7 <> 3) AS kept, COUNT(*) FILTER (event_id % 7 <> 3 AND operation <> 'delete') AS after_columns FROM {changes} GROUP BY tx_id")
+def image_projection(spark, sf_dir):
+    """One mapped table with one column of its images; transactions stay even if emptied."""
+    out = project.project(transactions(spark, sf_dir), {("shop", "users"): ["id"]})
+    columns = F.aggregate("changes", F.lit(0).cast("long"), lambda n, c: n + F.coalesce(F.size(F.when(c["after"].isNotNull(), c["after"])), F.lit(0)) * F.when(c["after"].isNull(), 0).otherwise(1))
+    return out.select("id", F.size("changes").cast("long").alias("kept"), columns.alias("after_columns"))
+
+
+@query("SELECT tx_id, COUNT(*) FILTER (event_id % 50 = 49) AS bad FROM {changes} GROUP BY tx_id HAVING COUNT(*) FILTER (event_id % 50 = 49) > 0")
+def position_contract(spark, sf_dir):
+    """Row positions between begin and commit; every tenth transaction's last row lies behind its commit."""
+    rows = changes(spark, sf_dir).withColumns({"begin": F.col("tx_id") % 80 * 50 + 3, "commit": F.col("tx_id") % 80 * 50 + F.when(F.col("tx_id") % 10 == 9, 44).otherwise(45)})
+    bad = contracts.position_violations(rows, "tx_id", "file_no", "pos", "begin", "commit")
+    return bad.groupBy("tx_id").agg(F.count(F.lit(1)).alias("bad"))
+
+
+@query(
+    """SELECT version, id, CASE WHEN version NOT IN ('5.7', '8.0', '8.4') THEN 'version_unsupported' WHEN kind = 'tagged' AND version <> '8.4' THEN 'tagged_gtid_unsupported' WHEN kind = 'none' THEN 'transaction_id_invalid' ELSE '' END AS rule_code
+       FROM (VALUES ('5.7'), ('8.0'), ('8.4'), ('9.1')) v(version), (VALUES ('3e11fa47-71ca-11e1-9e33-c80aa9429562:42', 'gtid'), ('3e11fa47-71ca-11e1-9e33-c80aa9429562:tag:42', 'tagged'), ('binlog.000001:4', 'anonymous'), ('x', 'none')) t(id, kind)
+       WHERE NOT (version = '9.1' AND kind <> 'gtid')"""
+)
+def identity_contract(spark, sf_dir):
+    uuid = "3e11fa47-71ca-11e1-9e33-c80aa9429562"
+    rows = [(v, i) for v in ("5.7", "8.0", "8.4") for i in (f"{uuid}:42", f"{uuid}:tag:42", "binlog.000001:4", "x")] + [("9.1", f"{uuid}:42")]
+    v = values_table(spark, rows, "version string, id string")
+    source = F.struct(F.lit("mysql").alias("kind"), F.col("version"), F.lit(uuid).alias("id"))
+    return v.select("version", "id", F.array_join(contracts.mysql_identity(source, F.col("id")), ",").alias("rule_code"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scan, assembly, projection and replay in one: the last live row of each user."""
     return replay_latest_state(spark, sf_dir)
