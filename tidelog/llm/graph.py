@@ -20,24 +20,24 @@ def components(edges: DataFrame) -> DataFrame:
     spark = edges.sparkSession
     edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
     edges = shared.settle(edges, "edges")
-    while not edges.isEmpty():
-        # Large star: each neighbour above a node links to the smallest around that node.
+    tangled = not edges.isEmpty()
+    while tangled:
+        # Large star: each neighbour of a node links to the smallest around that node.
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         lowest = shared.settle(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low")), "low")
-        up = edges.join(lowest, "a").select(F.col("b").alias("hi"), F.col("low").alias("lo"))
+        up = both.join(lowest, "a").select(F.col("b").alias("hi"), F.col("low").alias("lo"))
         up = shared.settle(up.filter("hi != lo").distinct(), "up")
         # Small star: a node and all its neighbours below it link to the smallest of these.
         least = shared.settle(up.groupBy("hi").agg(F.min("lo").alias("low"), F.count(F.lit(1)).alias("n")), "least")
         side = up.join(least.filter("n > 1"), "hi").select(F.col("lo").alias("hi"), F.col("low").alias("lo"))
-        next_edges = side.union(least.select("hi", F.col("low").alias("lo"))).filter("hi != lo")
-        next_edges = shared.settle(next_edges.select(F.col("lo").alias("a"), F.col("hi").alias("b")).distinct(), "edges")
-        # Every edge goes from a root to a leaf: no root is a leaf and no leaf has two roots.
-        leaf = next_edges.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("b").alias("k")).first()
-        tangled = leaf["n"] != leaf["k"] or not next_edges.join(next_edges.select(F.col("a").alias("b")).distinct(), "b", "left_semi").isEmpty()
+        after = side.union(least.select("hi", F.col("low").alias("lo"))).filter("hi != lo")
+        after = shared.settle(after.select(F.col("lo").alias("a"), F.col("hi").alias("b")).distinct(), "edges")
+        # Done once every edge goes from a root to a leaf: no leaf has two roots or is one.
+        ends = after.select(F.col("a").alias("node"), F.lit(1).alias("root"), F.lit(0).alias("leaf")).union(after.select("b", F.lit(0), F.lit(1)))
+        roles = ends.groupBy("node").agg(F.max("root").alias("root"), F.sum("leaf").alias("leaf"))
+        tangled = not roles.filter("leaf > 1 or (root = 1 and leaf = 1)").isEmpty()
         shared.drop(spark, edges, lowest, up, least)
-        edges = next_edges
-        if not tangled:
-            break
+        edges = after
     return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).union(
         edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
     )

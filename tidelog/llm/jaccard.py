@@ -102,16 +102,21 @@ def signatures(h: np.ndarray, doc: np.ndarray, n: np.ndarray) -> tuple[np.ndarra
     return sig[emit], of[owner][emit]
 
 
+def set_hashes(h: np.ndarray, doc: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A hash of each document's whole set."""
+    whole = np.zeros(len(n), np.uint64)
+    with np.errstate(over="ignore"):
+        np.add.at(whole, doc, mix(h))
+        return mix(whole + n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+
+
 def _prints(k: int):
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         h, doc = unique_sets(batch.column("text"), k)
         n = np.bincount(doc, minlength=batch.num_rows)
-        whole = np.zeros(batch.num_rows, np.uint64)
-        with np.errstate(over="ignore"):
-            np.add.at(whole, doc, mix(h))
-            whole = mix(whole + n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        whole = set_hashes(h, doc, n)
         sig, of = signatures(h, doc, n)
-        return pa.record_batch([batch.column("id"), pa.array(n, pa.int64()), pa.array(whole.view(np.int64)), lists(sig.view(np.int64), of, batch.num_rows, pa.int64())], names=["id", "n", "rep", "sigs"])
+        return pa.record_batch([batch.column("id"), pa.array(n, pa.int64()), pa.array(whole), lists(sig.view(np.int64), of, batch.num_rows, pa.int64())], names=["id", "n", "rep", "sigs"])
 
     return by_slice("text", make)
 
@@ -121,7 +126,9 @@ def _sets(k: int):
         h, doc = unique_sets(batch.column("text"), k)
         at = np.searchsorted(doc, np.arange(batch.num_rows + 1))
         raw = h.astype("<u8").tobytes()
-        return pa.record_batch([batch.column("rep"), pa.array([raw[8 * a : 8 * b] for a, b in zip(at, at[1:], strict=False)], pa.binary())], names=["rep", "set"])
+        out = pa.record_batch([batch.column("rep"), pa.array([raw[8 * a : 8 * b] for a, b in zip(at, at[1:], strict=False)], pa.binary())], names=["rep", "set"])
+        # An id may stand on rows of several texts; one of them has the set.
+        return out.filter(pa.array(set_hashes(h, doc, np.diff(at)) == batch.column("rep").to_numpy()))
 
     return by_slice("text", make)
 
@@ -195,8 +202,9 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     # One row's text for each distinct set that shares a cell.
     heads = ids.filter("n > 0").groupBy("rep").agg(F.min("id").alias("head"))
     needed = shared.settle(heads.join(members.select("rep").distinct(), "rep", "left_semi").withColumnRenamed("head", "id"), "needed")
-    texts = rows.join(needed, "id").join(ids.select("id", "rep"), ["id", "rep"], "left_semi")
-    sets = shared.settle(texts.select("rep", "text").mapInArrow(_sets(k), "rep long, set binary").dropDuplicates(["rep"]), "sets")
+    # The list of ids grows with the corpus, so it is never broadcast.
+    texts = rows.withColumn("h", F.xxhash64("text")).join(needed.hint("merge"), "id").dropDuplicates(["id", "h"])
+    sets = shared.settle(texts.select("rep", "text").mapInArrow(_sets(k), "rep long, set binary"), "sets")
     pivots = members.groupBy("cell").agg(F.min("rep").alias("lo"), F.count(F.lit(1)).alias("n"))
     star = members.join(shared.settle(pivots, "pivots"), "cell").filter("rep != lo")
     star = star.groupBy(F.col("lo").alias("a"), F.col("rep").alias("b")).agg((F.max("n") > 2).alias("region"))
