@@ -13,8 +13,9 @@ def folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-#: Shuffle files of a finished write are of no more use; Spark then deletes them at once.
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: shuffle files of the finished write are deleted at once, and batches
+#: of texts given to Python are small enough for executors of a few gigabytes.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
 def settle(df: DataFrame, tag: str = "t") -> DataFrame:
@@ -22,12 +23,14 @@ def settle(df: DataFrame, tag: str = "t") -> DataFrame:
     then costs the tasks it ran, never the work before the table."""
     spark = df.sparkSession
     path = f"{folder(spark)}-{tag}"
-    before = spark.conf.get(_CLEAN, None)
-    spark.conf.set(_CLEAN, "true")
+    before = {k: spark.conf.get(k, None) for k in _WRITING}
     try:
+        for k, v in _WRITING.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
