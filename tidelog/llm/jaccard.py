@@ -192,6 +192,13 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """doc_id, n_shingles, component_id. ``percent`` is at least 90; regions are cut for 90."""
     if percent < 90:
         raise ValueError("the windows are laid out for a similarity of 0.9 or more")
+    with shared.scratch(docs.sparkSession) as keep:
+        out = shared.settle(_joined(docs, key, text, k, percent), "joined")
+        keep(out)
+    return out
+
+
+def _joined(docs: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
     rows = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     prints = shared.settle(rows.mapInArrow(_prints(k), "id long, n long, rep long, sigs array<long>"), "prints")
     spread = prints.select(F.explode("sigs").alias("cell"), "rep")

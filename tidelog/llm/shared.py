@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,12 +32,32 @@ def settle(df: DataFrame, tag: str = "t") -> DataFrame:
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    for made in _scratch[-1:]:
+        made.append(out)
+    return out
 
 
 def drop(spark: SparkSession, *tables: DataFrame) -> None:
     """Deletes settled tables that no later plan reads."""
     for df in tables:
-        for file in df.inputFiles()[:1]:
-            path = spark._jvm.org.apache.hadoop.fs.Path(file.rsplit("/", 1)[0])
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.settled_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_scratch: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Deletes the tables settled inside it at its end, but for those given to the function it yields."""
+    made, kept = [], []
+    _scratch.append(made)
+    try:
+        yield kept.append
+    finally:
+        _scratch.pop()
+        drop(spark, *(t for t in made if not any(t is k for k in kept)))
+        for outer in _scratch[-1:]:
+            outer += kept
