@@ -105,6 +105,34 @@ def test_jaccard_join_of_nothing(spark):
         jaccard.jaccard_components(nulls, percent=80)
 
 
+@pytest.mark.parametrize("k, percent", [(5, 80), (5, 85), (3, 80), (3, 93)])
+def test_near_join_of_other_thresholds(spark, k, percent):
+    """Chains and clouds of edits; at 5 words and 0.8 some pairs lie below 0.9 on 3 words."""
+    texts = ODD + ODD[3:5]
+    for i, b in enumerate(BASES):
+        texts += [b, b.upper(), b + " end"] + [edited(100 * i + j, b, max(1, len(b.split()) // 60) * (1 + j % 4)) for j in range(12)]
+    last = BASES[6]
+    for i in range(30):
+        last = edited(i, last, 1 + i % 3)
+        texts.append(last)
+    random.Random(1).shuffle(texts)
+    grams = lambda t: {tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if (w := words(t)) else set()
+    s = {i: grams(t) for i, t in enumerate(texts)}
+    links = [(a, b) for b in s for a in range(b) if s[a] and s[b] and 100 * len(s[a] & s[b]) >= percent * len(s[a] | s[b])]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_components(frame(spark, texts), k=k, percent=percent).collect()}
+    comp = roots(s, links)
+    assert len(links) > 30 and got == {i: (len(s[i]), comp[i]) for i in s}
+
+
+def test_sub_spaces_leave_few_sets_out():
+    r = np.random.default_rng(2)
+    for percent in (80, 90):
+        for n in (100, 400, 2000):
+            h, doc = r.integers(0, 2**63, 40 * n).astype(np.uint64), np.repeat(np.arange(40), n)
+            sig, _ = jaccard.signatures(h, doc, np.full(40, n), percent)
+            assert len(np.unique(sig)) >= 0.98 * len(sig)  # unrelated sets meet in no empty sub-set
+
+
 def test_windows_are_the_cartesian_tree():
     r = np.random.default_rng(1)
     for n, width in ((200, 10), (90, 46), (50, 46), (45, 46), (300, 7)):

@@ -1,18 +1,20 @@
 """Operator 8: exact Jaccard join of n-gram sets by pivots and triangle-inequality windows.
 
-Two documents link when 100 * |A & B| >= 90 * |A | B|, a Jaccard distance of at most
-0.1. The join splits the metric space until its regions are small or settled:
+Two documents link when 100 * |A & B| >= percent * |A | B|; below, t = percent / 100 (0.9 in the
+operator's query, 0.8 on 5-word shingles in the pipeline). The join splits the metric space until
+its regions are small or settled:
 
 * Sizes. The distance to the empty set's neighbourhood is a set's size, so pivots on a
-  geometric ladder of sizes cut the space into regions, and the window 0.9 <= |A| / |B|
+  geometric ladder of sizes cut the space into regions, and the window t <= |A| / |B|
   replicates a boundary document into the region below its own.
 * Sub-spaces. Pivots that are documents can't cut further by themselves: distances between
   unrelated documents are all near 1, which puts every document into every window of
-  width 0.2. So a region of sizes up to h, where linked sets differ in at most d = h // 9
-  shingles, is cut into d + 1 + SPARE sub-spaces by the hash of a shingle. Linked sets are
-  equal in at least 1 + SPARE of them. Each distinct sub-set is the pivot of a cell
+  width 2 * (1 - t). So a region of sizes up to h, where linked sets differ in at most
+  d = h * (1 - t) / t shingles, is cut into d + 1 + s sub-spaces by the hash of a shingle. Linked
+  sets are equal in at least 1 + s of them. Each distinct sub-set is the pivot of a cell
   of radius 0: documents that share one meet there. (An empty sub-set is a pivot only for
-  documents with more than SPARE empty sub-spaces.)
+  documents with more than s empty sub-spaces; s is SPARE, or more where sub-spaces are so many
+  that a set would often leave more of them empty.)
 * Documents. Each cell's smallest member is its pivot p, and the members of all cells of one
   pivot are its region. A member x is known by its difference E(x) from p, and by the triangle
   inequality x and y lie |E(x)| + |E(y)| - 2 |E(x) & E(y)| shingles apart. If their
@@ -30,6 +32,9 @@ with one doc_id each counts; the id is returned once with its largest set size.
 
 from __future__ import annotations
 
+import math
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -52,15 +57,26 @@ def ladder(most: int = 1 << 40) -> np.ndarray:
 _LADDER = ladder()
 
 
-def regions(n: int) -> range:
+def regions(n: int, percent: int) -> range:
     """The regions in which a set of size n meets sets of its size or below, within the window."""
-    low = -(-9 * n // 10)
+    low = -(-percent * n // 100)
     return range(int(np.searchsorted(_LADDER, low, side="right")) - 1, int(np.searchsorted(_LADDER, n, side="right")))
 
 
-def differ(region: int) -> int:
+def differ(region: int, percent: int) -> int:
     """The most shingles in which two linked sets differ if the smaller is of this region."""
-    return int(_LADDER[region + 1] - 1) // 9
+    return (100 - percent) * int(_LADDER[region + 1] - 1) // percent
+
+
+@lru_cache(maxsize=None)
+def spare(region: int, percent: int) -> int:
+    """Sub-spaces beyond one more than differences: as many as the region's smallest sets seldom leave empty."""
+    least, d = int(_LADDER[region]), differ(region, percent)
+    for s in range(SPARE, d + 1):
+        empty = (d + 1 + s) * math.exp(-least / (d + 1 + s))
+        if empty + 2 * math.sqrt(empty) <= s:
+            return s
+    return SPARE
 
 
 def unique_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,13 +89,14 @@ def unique_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     return h[keep], doc[keep]
 
 
-def signatures(h: np.ndarray, doc: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def signatures(h: np.ndarray, doc: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """(signature, document) for the sub-sets of each document in each of its regions."""
-    rows = [(i, r) for i in np.flatnonzero(n) for r in regions(int(n[i])) if differ(r)]
+    rows = [(i, r) for i in np.flatnonzero(n) for r in regions(int(n[i]), percent) if differ(r, percent)]
     if not rows:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     of, region = (np.array(x, np.int64) for x in zip(*rows, strict=True))
-    cells = np.array([differ(int(r)) + 1 + SPARE for r in region], np.int64)
+    spares = np.array([spare(int(r), percent) for r in region], np.int64)
+    cells = np.array([differ(int(r), percent) + 1 for r in region], np.int64) + spares
     begin = np.cumsum(n) - n
     size = n[of]
     stop = np.cumsum(size)
@@ -96,7 +113,7 @@ def signatures(h: np.ndarray, doc: np.ndarray, n: np.ndarray) -> tuple[np.ndarra
     used[place] = True
     owner = np.repeat(np.arange(len(of)), cells)
     empty = np.bincount(owner, ~used, len(of))
-    emit = used | (empty > SPARE)[owner]
+    emit = used | (empty > spares)[owner]
     index = np.arange(len(total)) - base[owner]
     sig = combine([region[owner].astype(np.uint64), index.astype(np.uint64), total], 0x8A8A)
     return sig[emit], of[owner][emit]
@@ -110,12 +127,12 @@ def set_hashes(h: np.ndarray, doc: np.ndarray, n: np.ndarray) -> np.ndarray:
         return mix(whole + n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
-def _prints(k: int):
+def _prints(k: int, percent: int):
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         h, doc = unique_sets(batch.column("text"), k)
         n = np.bincount(doc, minlength=batch.num_rows)
         whole = set_hashes(h, doc, n)
-        sig, of = signatures(h, doc, n)
+        sig, of = signatures(h, doc, n, percent)
         return pa.record_batch([batch.column("id"), pa.array(n, pa.int64()), pa.array(whole), lists(sig.view(np.int64), of, batch.num_rows, pa.int64())], names=["id", "n", "rep", "sigs"])
 
     return by_slice("text", make)
@@ -162,7 +179,7 @@ def _components(links: DataFrame) -> DataFrame:
     return shared.settle(graph.components(links.select("a", "b")).withColumnRenamed("node", "rep"), "components")
 
 
-def _within_regions(first: DataFrame, comp: DataFrame) -> DataFrame:
+def _within_regions(first: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of members of a region that may link though not both do with its pivot."""
     named = first.select(F.col("a").alias("pivot"), F.col("b").alias("rep"), (~F.col("linked")).alias("far"), "n", "diff")
     named = named.join(comp, "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
@@ -176,22 +193,30 @@ def _within_regions(first: DataFrame, comp: DataFrame) -> DataFrame:
     per = met.groupBy("pivot", "rep", "far", "n", "c", "size").agg(F.sort_array(F.collect_list(F.struct("often", "element"))).alias("order"))
     per = per.withColumn("alone", F.col("size") - F.size("order"))
     place = F.col("alone") + F.col("i")
-    # Beyond the radius a partner shares all but n // 9 elements or more, within it more than 9 / 19 of them.
-    most = F.when(F.col("far"), F.least(F.col("size"), F.floor(F.col("n") / 9) + 1)).otherwise(F.col("size") - F.floor(9 * F.col("size") / 19))
+    # Beyond the radius a partner shares all but n * (1 - t) / t elements or more, within it more than t / (1 + t) of them.
+    most = F.when(F.col("far"), F.least(F.col("size"), F.floor((100 - percent) * F.col("n") / percent) + 1)).otherwise(F.col("size") - F.floor(percent * F.col("size") / (100 + percent)))
     rows = per.select("pivot", "rep", "far", "n", "c", "size", "alone", F.posexplode("order").alias("i", "o")).withColumn("place", place).filter(F.col("place") < most)
     rows = shared.settle(rows.select("pivot", F.col("o.element").alias("element"), "rep", "far", "n", "c", "size", "place"), "places")
     x = rows.select("pivot", "element", *(F.col(c).alias(f"{c}_a") for c in ("rep", "far", "n", "c", "size", "place")))
     y = rows.select("pivot", "element", *(F.col(c).alias(f"{c}_b") for c in ("rep", "far", "n", "c", "size", "place")))
     room = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
-    needed = F.col("size_a") + F.col("size_b") - F.floor((F.col("n_a") + F.col("n_b")) / 19)
+    needed = F.col("size_a") + F.col("size_b") - F.floor((100 - percent) * (F.col("n_a") + F.col("n_b")) / (100 + percent))
     may = (F.col("rep_a") < F.col("rep_b")) & (F.col("far_a") | F.col("far_b")) & (F.col("c_a") != F.col("c_b")) & (2 * room >= needed)
     return x.join(y, ["pivot", "element"]).filter(may).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), F.lit(False).alias("region")).distinct()
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles, component_id. ``percent`` is at least 90; regions are cut for 90."""
+    """doc_id, n_shingles, component_id of the operator's query. ``percent`` is at least 90;
+    ``near_components`` goes lower."""
     if percent < 90:
-        raise ValueError("the windows are laid out for a similarity of 0.9 or more")
+        raise ValueError("the query links at a similarity of 0.9 or more")
+    return near_components(docs, key, text, k, percent)
+
+
+def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id for k-word shingles and a similarity of ``percent``, 80 to 100."""
+    if not 80 <= percent <= 100:
+        raise ValueError("the windows are laid out for a similarity of 0.8 or more")
     with shared.scratch(docs.sparkSession) as keep:
         out = shared.settle(_joined(docs, key, text, k, percent), "joined")
         keep(out)
@@ -200,7 +225,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 def _joined(docs: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
     rows = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    prints = shared.settle(rows.mapInArrow(_prints(k), "id long, n long, rep long, sigs array<long>"), "prints")
+    prints = shared.settle(rows.mapInArrow(_prints(k, percent), "id long, n long, rep long, sigs array<long>"), "prints")
     spread = prints.select(F.explode("sigs").alias("cell"), "rep")
     cells = shared.settle(spread.groupBy("cell").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo != hi").select("cell"), "cells")
     members = shared.settle(spread.join(cells, "cell").select("cell", "rep").distinct(), "members")
@@ -218,7 +243,7 @@ def _joined(docs: DataFrame, key: str, text: str, k: int, percent: int) -> DataF
     first = _measured(star, sets, percent)
     links = first.filter("linked").select("a", "b")
     comp = _components(links)
-    more = _measured(_within_regions(first.filter("diff is not null"), comp), sets, percent).filter("linked").select("a", "b")
+    more = _measured(_within_regions(first.filter("diff is not null"), comp, percent), sets, percent).filter("linked").select("a", "b")
     if not more.isEmpty():
         comp = _components(links.union(more))
     # A component by set hashes becomes the smallest id of its documents.
