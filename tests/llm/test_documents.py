@@ -205,3 +205,17 @@ def test_lm_probabilities_sum_to_one(spark):
     history = 10 ** score[100 + len(known) + 1]  # P(w0) P(end | w0)
     end = lambda w: 10 ** score[w]
     assert history > 0 and all(end(100 + i) < 1 for i in range(len(probe)))
+
+
+def test_junk_and_a_language_left_out_are_rejected(spark):
+    import random
+
+    r = random.Random(4)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").filter("text is not null and lang is not null")
+    junk = [" ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 10))) for _ in range(80)) for _ in range(20)]
+    junk += [base64.b64encode(r.randbytes(400)).decode() for _ in range(20)] + [r.randbytes(300).hex() for _ in range(20)]
+    model = langid.fit(docs.filter("lang != 'fr'").filter(~langid.held_out(F.col("doc_id"))))
+    out = langid.predict(docs.filter("length(text) > 200"), model, ["doc_id", "lang"]).collect()
+    left, known = ([x["rejected"] for x in out if (x["lang"] == "fr") == f] for f in (True, False))
+    assert sum(left) >= 0.95 * len(left) > 50 and sum(known) <= 0.01 * len(known)
+    assert all(x["rejected"] for x in langid.predict(frame(spark, junk), model, ["doc_id"]).collect())

@@ -6,7 +6,9 @@ The document frequencies behind idf cover every training document. Spherical k-m
 gives each language several centroids, fitted on a bounded sample: the rows whose hash
 of doc_id falls below a rate set so that about ``per_language`` rows of each language
 remain. A text gets the language of the centroid of largest cosine, and is rejected
-where its distance passes its language's radius or it has no letter.
+where its distance passes its language's radius or it has no letter. The radius comes from a low
+quantile of the cosines of labelled rows held back from the centroids; as a short text has a small
+cosine in any language, texts of fewer than ``FULL`` distinct n-grams need less of it, by the square root.
 
 Null and empty texts, and texts without a letter, get ``und``, score 0 and are rejected.
 Without training rows every text is ``und``. Of equally near centroids the first language
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 from .text import by_slice
 
 DIMS = 8192
+FULL = 100
 _LETTER = r"\p{L}"
 _KEEP = np.full(256, 32, np.uint8)
 _KEEP[97:123] = np.arange(97, 123)
@@ -116,17 +119,19 @@ class Model:
         letters = pc.fill_null(pc.match_substring_regex(texts, _LETTER), False).to_numpy(zero_copy_only=False)
         if not len(self.langs):
             return ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-        near = _weights(texts, self.idf) @ self.centroids.T
+        w = _weights(texts, self.idf)
+        near = w @ self.centroids.T
+        share = np.sqrt(np.minimum(1, (w > 0).sum(axis=1) / FULL))
         at = np.argmax(near, axis=1)
         score = np.where(letters, np.clip(near[np.arange(len(at)), at], 0, 1), 0.0)
         lang = [self.langs[i] if ok else "und" for i, ok in zip(at, letters, strict=True)]
-        return lang, score.astype(np.float64), ~letters | (score < self.least[at])
+        return lang, score.astype(np.float64), ~letters | (score < self.least[at] * share)
 
 
-def fit(train: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 400, clusters: int = 4, reach: float = 0.15) -> Model:
+def fit(train: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 400, clusters: int = 4, reach: float = 0.7, low: float = 0.01) -> Model:
     """Fits on the rows of ``train`` with a language and a letter. ``per_language`` bounds the
-    sample that centroids are fitted on (twice that is held at most); ``reach`` is the share of
-    the smallest training cosine of its language that a text needs."""
+    sample that centroids are fitted on (twice that is held at most), a fifth of which is held back for
+    the radius if there are 200 rows; a text needs ``reach`` of the cosine that a share ``low`` of them stays below."""
     train = train.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.col(key).alias("key")).filter(F.col("lang").isNotNull() & F.col("text").rlike(_LETTER))
     counts = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     df = np.zeros(DIMS)
@@ -157,13 +162,16 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", key: str = "do
         if not seen[name]:
             continue
         x = np.frombuffer(b"".join(sorted(seen[name])), "<f2").astype(np.float32).reshape(-1, DIMS)
-        c = cluster(x, clusters)
-        # The widest of a language's clusters sets the radius of all: a small tight one says
-        # nothing about how far a short text may lie.
-        widest = float((x @ c.T).max(axis=1).min())
+        back = np.arange(len(x)) % 5 == 0 if len(x) >= 200 else np.zeros(len(x), bool)
+        c = cluster(x[~back], clusters)
+        # One radius for a language's clusters: a small tight one says nothing about how far a
+        # text may lie. Short rows count as far as they are asked for.
+        share = np.sqrt(np.minimum(1, (x > 0).sum(axis=1) / FULL))
+        like = (x @ c.T).max(axis=1) / np.maximum(share, 1e-6)
+        radius = float(np.quantile(like[back] if back.any() else like, low))
         centroids += list(c)
         langs += [name] * len(c)
-        least += [reach * widest] * len(c)
+        least += [reach * radius] * len(c)
     return Model(idf, np.stack(centroids).astype(np.float32) if centroids else np.empty((0, DIMS), np.float32), langs, np.array(least))
 
 
