@@ -219,3 +219,11 @@ def test_junk_and_a_language_left_out_are_rejected(spark):
     left, known = ([x["rejected"] for x in out if (x["lang"] == "fr") == f] for f in (True, False))
     assert sum(left) >= 0.95 * len(left) > 50 and sum(known) <= 0.01 * len(known)
     assert all(x["rejected"] for x in langid.predict(frame(spark, junk), model, ["doc_id"]).collect())
+
+
+@pytest.mark.parametrize("number", ["ES91 2100 0418 4502 0005 1332", "AT61 1904 3002 3457 3201", "DE89370400440532013000", "ES9121000418450200051332"])
+@pytest.mark.parametrize("after", ["", " EUR 500", " BIC X", " A B", ".", " DE89 3704 0044 0532 0130 00"])
+def test_words_after_an_iban(number, after):
+    t = f"to {number}{after}"
+    got = [t[a:b] for k, a, b, _ in pii.find(t) if k == "iban"]
+    assert got == [number] + [after.strip()] * after.startswith(" DE")

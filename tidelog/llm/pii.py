@@ -2,8 +2,8 @@
 
 Patterns propose spans; a validator confirms them (Luhn for cards, mod-97 for IBANs, ranges
 for addresses and digit groups); words near a span raise or lower its score, and a kind
-whose pattern alone proves little (social security and passport-like numbers, IBAN-like
-strings failing their check) is taken only at ``least`` or more. Spans of the four base kinds
+whose pattern alone proves little (social security numbers, card numbers of 13 to 15 digits) is
+taken only at ``least`` or more. An IBAN ends at the last word end at which its check holds. Spans of the four base kinds
 (email, ip, card, phone) are taken leftmost and without overlap within their kind, and
 a proposal that fails its check is dropped without a retry; context never removes them.
 
@@ -76,6 +76,18 @@ def emails(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def ibans(text: str) -> list[tuple[int, int]]:
+    """Proposals, each cut at the last word end at which it holds; upper-case words may follow a number."""
+    out, m = [], _IBAN.search(text)
+    while m:
+        ends = (e for e in range(m.end(), m.start(), -1) if e == m.end() or text[e] == " ")
+        end = next((e for e in ends if mod97(text[m.start() : e])), None)
+        if end:
+            out.append((m.start(), end))
+        m = _IBAN.search(text, end or m.start() + 1)
+    return out
+
+
 def _near(text: str, start: int, end: int, words: tuple[str, ...], reach: int = 40) -> bool:
     around = text[max(0, start - reach) : start].lower() + " " + text[end : end + reach].lower()
     return any(w in words for w in _WORD.findall(around))
@@ -96,7 +108,7 @@ def find(text: str | None, least: float = 0.6) -> list[tuple[str, int, int, floa
             (raw if len(digits) >= 16 else short).append(("card" if len(digits) >= 16 else "card_short", m.start(), m.end()))
     if "+" in text:
         raw += [("phone", m.start(), m.end()) for m in _PHONE.finditer(text) if 8 <= sum("0" <= c <= "9" for c in m[0]) <= 15]
-    raw += [("iban", m.start(), m.end()) for m in _IBAN.finditer(text) if mod97(m[0])]
+    raw += [("iban", a, b) for a, b in ibans(text)]
     raw += short
     raw += [("ssn", m.start(), m.end()) for m in _SSN.finditer(text) if m[0][:3] not in ("000", "666") and m[0][0] != "9" and m[0][4:6] != "00" and m[0][7:] != "0000"]
     out = []
