@@ -266,3 +266,12 @@ def test_exact_topk_of_few_and_huge(spark):
     assert [(r[0], r[1], r[2]) for r in got] == [(0, 1, 50), (0, 2, 51), (50, 1, 0), (50, 2, 51)]
     assert got[3][3] == 512 * 256 + 768 * 256 and got[0][3] == 2**63 - 1
     assert topk.exact_topk(df.limit(0), F.lit(True)).count() == 0
+
+
+def test_exact_topk_of_a_repeated_query_row(spark):
+    rows, df = vectors(spark, 3)
+    once = topk.exact_topk(df, F.col("vec_id") % 50 == 0).collect()
+    more = df.union(df.filter("vec_id = 50")).union(df.filter("vec_id = 50"))
+    got = topk.exact_topk(more, F.col("vec_id") % 50 == 0).collect()
+    mine = lambda x: sorted((r["rank"], r["vec_id"], r["score"]) for r in x if r["query_id"] == 50)
+    assert len(mine(once)) == 5 and mine(got) == mine(once)

@@ -108,7 +108,8 @@ def exact_topk(vectors: DataFrame, queries: Column, k: int = 5, parts: int = 4,
     cbs, qbs = max(1, -(-n["n"] // block)), max(1, -(-n["q"] // query_block))
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     cand = ints(flat).select(F.lit(0).alias("side"), F.pmod(F.xxhash64("vec_id"), F.lit(cbs)).cast("int").alias("cb"), every(qbs).alias("qb"), "vec_id", "width", "vec", F.lit(None).cast("long").alias("cutoff"))
-    query = ints(flat.filter("is_query"))
+    # A query id on several rows is one query with one cutoff: twice in phase 1, it would list each candidate twice.
+    query = ints(flat.filter("is_query")).transform(lambda d: shared.settle(d.dropDuplicates(["vec_id"]), "queries"))
 
     def scored(query: DataFrame, final: bool) -> DataFrame:
         query = query.select(F.lit(1).alias("side"), every(cbs).alias("cb"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(qbs)).cast("int").alias("qb"), "vec_id", "width", "vec", "cutoff")
@@ -118,5 +119,4 @@ def exact_topk(vectors: DataFrame, queries: Column, k: int = 5, parts: int = 4,
 
     first = scored(query.withColumn("cutoff", F.lit(None).cast("long")), False)
     cutoff = shared.settle(first.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("cutoff")), "cutoff")
-    # A query id on several rows is one query with one cutoff.
-    return scored(query.dropDuplicates(["vec_id"]).join(cutoff, "vec_id", "left"), True).select("query_id", "rank", "vec_id", "score")
+    return scored(query.join(cutoff, "vec_id", "left"), True).select("query_id", "rank", "vec_id", "score")
