@@ -275,3 +275,20 @@ def test_exact_topk_of_a_repeated_query_row(spark):
     got = topk.exact_topk(more, F.col("vec_id") % 50 == 0).collect()
     mine = lambda x: sorted((r["rank"], r["vec_id"], r["score"]) for r in x if r["query_id"] == 50)
     assert len(mine(once)) == 5 and mine(got) == mine(once)
+
+
+@pytest.mark.parametrize("before", [False, True])
+def test_a_common_phrase_beside_a_near_copy(before):
+    """60 words with one edit in the middle are 51 / 61 alike; with 8 other words and 5 shared ones, 52 / 86."""
+    p, phrase = prose(5, 60, 10**6).split(), "all rights reserved by us".split()
+    a = p + prose(6, 8, 10**6).split() + phrase
+    b = p[:30] + ["edit"] + p[31:] + prose(7, 8, 10**6).split() + phrase
+    if before:
+        a, b = a[::-1], b[::-1]
+    ids = {w: n for n, w in enumerate(dict.fromkeys(a + b))}
+    a, b = (np.array([ids[w] for w in x], np.uint64) for x in (a, b))
+    at = 13 if before else 0
+    anchors = np.array([[c, at, at + 55, c, at, at + 55] for c in (at + 10, at + 40)])
+    want = (at, at + 60, at, at + 60)
+    assert [f[:4] for f in passages.verify(a, b, anchors, 5, 50, 0.8)] == [want]
+    assert passages.similarity(a, b, 5) < 0.8 <= passages.similarity(a[at : at + 60], b[at : at + 60], 5)
