@@ -59,3 +59,15 @@ def test_odd_rows(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     out = queries.op7_html_text(spark, sf_dir).collect()
     assert len(out) == pages.count() and all(r["n_chars"] == len(r["text"]) > 0 for r in out)
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<main><h1>Title</h1><p>Lead</p><article><p>" + "long body " * 20 + "</p></article></main>", "Title\nLead\n" + ("long body " * 20).strip()),
+        ("<article>" + "first " * 20 + "</article><article>short</article>", ("first " * 20).strip() + "\nshort"),
+        ("<article>" + "first " * 20 + "</article><article><a href=x>linked teaser</a></article>", ("first " * 20).strip()),
+    ],
+)
+def test_smaller_parts_of_unlinked_text_stay(page, text):
+    assert main(page) == text

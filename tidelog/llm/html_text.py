@@ -164,14 +164,15 @@ def choose(found: list[Block], low: frozenset[int] = frozenset(), lower: frozens
     """The texts of a page's main part. ``low`` are the positions of blocks of low importance
     for a page without an article, ``lower`` for one with."""
     size: dict[int, int] = {}
+    linked: dict[int, float] = {}
     for b in found:
         if not b.off and b.part >= 0:
             size[b.part] = size.get(b.part, 0) + len(b.text)
+            linked[b.part] = linked.get(b.part, 0) + b.linked * len(b.text)
     if size:
         most = max(size.values())
-        parts = {p for p, n in size.items() if 2 * n >= most}
-        # Parts nested in or around the largest belong with it when they are of its size; smaller ones
-        # count if they hold text that no link makes.
+        # A part of the largest one's size counts whatever it holds, a smaller one unless links make most of it.
+        parts = {p for p, n in size.items() if 2 * n >= most or 2 * linked[p] <= n}
         return [b.text for i, b in enumerate(found) if not b.off and b.part in parts and i not in lower]
     return [b.text for i, b in enumerate(found) if not b.off and i not in low and b.linked <= 0.5]
 
