@@ -291,4 +291,5 @@ def test_a_common_phrase_beside_a_near_copy(before):
     anchors = np.array([[c, at, at + 55, c, at, at + 55] for c in (at + 10, at + 40)])
     want = (at, at + 60, at, at + 60)
     assert [f[:4] for f in passages.verify(a, b, anchors, 5, 50, 0.8)] == [want]
-    assert passages.similarity(a, b, 5) < 0.8 <= passages.similarity(a[at : at + 60], b[at : at + 60], 5)
+    pair = passages.Pair(a, b, 5)
+    assert pair.similarity(0, len(a), 0, len(b)) < 0.8 <= pair.similarity(*want)
