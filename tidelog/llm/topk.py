@@ -1,23 +1,26 @@
 """Operator 10: exact top-k inner products by a three-phase uniform threshold.
 
-Each component x becomes floor(256 * x); a score is the integer inner product.
-Candidates and queries are dealt into a grid of blocks, and a block sees each
-score as the sum of ``parts`` partial scores, one for each range of dimensions.
-
-1. Every block lists, for each query and part, its k best partial scores, resolves
-   the totals of the rows listed, and reports the k best; the k-th best total over
-   all blocks is a safe cutoff T: k rows at least reach it.
-2. The cutoff goes to the blocks with the queries. A row of total T or more has a
-   part of T / parts or more (the mean can't exceed the largest), so collecting all
-   rows with such a part collects every row of the result.
-3. The collected rows' totals are resolved; those of T or more are the only ones
-   shuffled, and the k best of each query are its result.
+Each component x becomes floor(256 * x); a score is the integer inner product. Vectors are
+cut into ``parts`` ranges of dimensions, and each range is scored by tasks of its own, in a grid
+of blocks of candidates and of queries: such a task knows partial scores only.
+
+1. Every range lists, for each query, the k candidates of the best partial scores. The scores
+   of the candidates listed, and of no others, are resolved; the k-th best is the query's cutoff
+   T, which is safe, as k candidates reach it.
+2. T goes to the ranges. A candidate of score T or more has a range of T / parts or more (the
+   mean can't exceed the largest), so the entries from T / parts on hold the whole result; they alone
+   leave their tasks, as pairs of row keys.
+3. The scores of these pairs are resolved on whole vectors, those below T go, and the k best of
+   each query are its result. How many pairs are left depends on how far a query's neighbours
+   stand out; no case is dropped, and a block bounds what a task holds.
 
 Null vectors and vectors holding null or non-finite components take no part; only
 vectors of a query's length are its candidates; rows that share the query's id are its
-own. Repeated rows count as rows. Equal scores go to the smaller id. Products are exact:
-in double while no sum can pass 2**53, in Python integers beyond, and scores outside
-the long range are held at its ends. An empty table gives no rows.
+own. Repeated rows count as rows, but a query id on several rows is one query, with the row of the
+smallest vector. Equal scores go to the smaller id. Products are exact: in double while no sum can
+pass 2**53, in Python integers beyond, and scores outside the long range are held at its ends.
+Rows without id are left out; an empty table gives no rows. Only ids and vectors are read, so other
+columns may have any names.
 """
 
 from __future__ import annotations
@@ -30,7 +33,6 @@ from pyspark.sql import functions as F
 from . import shared
 from .vectors import matrices
 
-SIDE = "side int, cb int, qb int, vec_id long, width int, vec binary, cutoff long"
 _LONG = (-(2**63), 2**63 - 1)
 
 
@@ -42,7 +44,32 @@ def _integers(ids: str, vector: str):
             for at, m in matrices(b.column(ids), b.column(vector)):
                 m = np.floor(256.0 * m)
                 rows = [b"i" + x.astype("<i8").tobytes() if np.abs(x).max() < 2**62 else b"t" + ",".join(str(int(y)) for y in x).encode() for x in m]
-                yield pa.record_batch([b.column(ids).take(pa.array(at)), pa.array([m.shape[1]] * len(at), pa.int32()), pa.array(rows, pa.binary())], names=["vec_id", "width", "vec"])
+                flag = b.column("is_query").take(pa.array(at))
+                yield pa.record_batch([b.column(ids).take(pa.array(at)), flag, pa.array([m.shape[1]] * len(at), pa.int32()), pa.array(rows, pa.binary())], names=["vec_id", "is_query", "width", "vec"])
+
+    return run
+
+
+def ranges(width: int, parts: int) -> list[tuple[int, int]]:
+    """The ranges of dimensions, as equal as can be; none is empty."""
+    cuts = np.linspace(0, width, min(parts, width) + 1).astype(int)
+    return list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+
+
+def _sliced(parts: int):
+    """mapInArrow: a row for each range of a vector."""
+
+    def run(batches):
+        for b in batches:
+            which, part, out = [], [], []
+            for i, (raw, width) in enumerate(zip(b.column("vec").to_pylist(), b.column("width").to_pylist(), strict=True)):
+                words = None if raw[:1] == b"i" else raw[1:].split(b",")
+                for p, (lo, hi) in enumerate(ranges(width, parts)):
+                    which.append(i)
+                    part.append(p)
+                    out.append(b"i" + raw[1 + 8 * lo : 1 + 8 * hi] if words is None else b"t" + b",".join(words[lo:hi]))
+            names = [n for n in b.schema.names if n != "vec"]
+            yield pa.record_batch([*(b.column(n).take(pa.array(which, pa.int32())) for n in names), pa.array(part, pa.int32()), pa.array(out, pa.binary())], names=[*names, "part", "vec"])
 
     return run
 
@@ -52,71 +79,142 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     rows = column.to_pylist()
     if all(r[:1] == b"i" for r in rows):
         m = np.frombuffer(b"".join(r[1:] for r in rows), "<i8").reshape(len(rows), -1)
-        if float(np.abs(m.astype(np.float64)).max()) ** 2 * m.shape[1] < 2**51:
+        if float(np.abs(m.astype(np.float64)).max()) ** 2 * m.shape[1] < 2**49:
             return m.astype(np.float64)
         return m.astype(object)
     return np.array([np.frombuffer(r[1:], "<i8").tolist() if r[:1] == b"i" else [int(y) for y in r[1:].split(b",")] for r in rows], object)
 
 
-def _block(k: int, parts: int, final: bool):
-    """Scores one block of the grid: candidates (side 0) against queries (side 1)."""
+def _matrices(cand: pa.Table, query: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    c, q = _matrix(cand.column("vec")), _matrix(query.column("vec"))
+    if c.dtype != q.dtype:
+        c, q = (np.array([[int(y) for y in x] for x in m], object) for m in (c, q))
+    return c, q
+
+
+def _side(table: pa.Table, n: int) -> pa.Table:
+    return table.filter(pa.array(table.column("side").to_numpy() == n))
+
+
+ENTRY = "query_id long, row long, part long, partial long"
+
+
+def _entries(k: int, parts: int):
+    """One range's partial scores of a block of candidates (side 0) for a block of queries (side 1): the k best for a
+    query without cutoff (phase 1), all from cutoff / parts on for one with (phase 2)."""
 
     def run(table: pa.Table) -> pa.Table:
-        side = table.column("side").to_numpy()
-        cand, query = table.filter(pa.array(side == 0)), table.filter(pa.array(side == 1))
-        out_q, out_v, out_s = [], [], []
+        cand, query = _side(table, 0), _side(table, 1)
+        out_q, out_r, out_s = [np.empty(0, np.int64)], [np.empty(0, np.int64)], []
         if cand.num_rows and query.num_rows:
-            c, q = _matrix(cand.column("vec")), _matrix(query.column("vec"))
-            if c.dtype != q.dtype:
-                c, q = (np.array([[int(y) for y in x] for x in m], object) for m in (c, q))
-            cid, qid = cand.column("vec_id").to_numpy(), query.column("vec_id").to_numpy()
-            cuts = [r for r in np.array_split(np.arange(c.shape[1]), parts) if len(r)]
-            cutoff = query.column("cutoff").to_pylist()
+            c, q = _matrices(cand, query)
+            cid, qid, row = cand.column("vec_id").to_numpy(), query.column("vec_id").to_numpy(), cand.column("row").to_numpy()
+            m = len(ranges(table.column("width")[0].as_py(), parts))
+            cutoff, wanted = query.column("cutoff").to_pylist(), query.column("listing")[0].as_py()
             step = max(1, 500_000 // len(c))
             for lo in range(0, len(q), step):
-                part = [np.dot(q[lo : lo + step, r], c[:, r].T) for r in cuts]
-                total = sum(part)
+                part = np.dot(q[lo : lo + step], c.T)
                 own = qid[lo : lo + step, None] == cid[None, :]
-                for i in range(len(total)):
-                    if final and cutoff[lo + i] is not None:
-                        found = np.zeros(len(c), bool)
-                        for p in part:  # phase 2: T / parts, without rounding
-                            found |= p[i] * len(cuts) >= cutoff[lo + i]
-                        at = np.flatnonzero(found & ~own[i])
-                        at = at[total[i][at] >= cutoff[lo + i]]  # phase 3
-                    else:
-                        free = np.flatnonzero(~own[i])
-                        if len(free) > k and not final:
-                            at = np.unique(np.concatenate([free[np.argpartition(-p[i][free], k - 1)[:k]] if p.dtype != object else free[np.argsort(-p[i][free], kind="stable")[:k]] for p in part]))
-                        else:
-                            at = free
-                    s = total[i][at]
-                    best = np.lexsort((cid[at], -s))[:k]
-                    out_q += [int(qid[lo + i])] * len(best)
-                    out_v += cid[at][best].tolist()
-                    out_s += [min(max(int(x), _LONG[0]), _LONG[1]) for x in s[best]]
-        return pa.table({"query_id": pa.array(out_q, pa.int64()), "vec_id": pa.array(out_v, pa.int64()), "score": pa.array(out_s, pa.int64())})
+                for i in range(len(part)):
+                    at = np.flatnonzero(~own[i])
+                    p = part[i][at]
+                    if wanted:
+                        best = np.argsort(-p, kind="stable")[:k] if p.dtype == object else np.argpartition(-p, k - 1)[:k] if len(at) > k else np.arange(len(at))
+                        out_s += [min(max(int(x), _LONG[0]), _LONG[1]) for x in p[best]]
+                        at = at[best]
+                    elif cutoff[lo + i] is not None:
+                        at = at[(p * m >= cutoff[lo + i]).astype(bool)]
+                    out_q.append(np.full(len(at), qid[lo + i]))
+                    out_r.append(row[at])
+        q, r = np.concatenate(out_q), np.concatenate(out_r)
+        return pa.table({"query_id": pa.array(q, pa.int64()), "row": pa.array(r, pa.int64()), "part": pa.array(np.full(len(q), table.column("part")[0].as_py()), pa.int64()), "partial": pa.array(out_s, pa.int64()) if out_s else pa.nulls(len(q), pa.int64())})
 
     return run
 
 
-def exact_topk(vectors: DataFrame, queries: Column, k: int = 5, parts: int = 4, ids: str = "vec_id", vector: str = "embedding", block: int = 4096, query_block: int = 1024) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best candidates for the rows where ``queries`` holds."""
-    flat = vectors.filter(F.col(ids).isNotNull()).select(F.col(ids).cast("long").alias("vec_id"), F.col(vector).alias("vec"), F.coalesce(queries, F.lit(False)).alias("is_query"))
-    ints = lambda d: d.select("vec_id", "vec").mapInArrow(_integers("vec_id", "vec"), "vec_id long, width int, vec binary")
-    n = flat.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("is_query").cast("int")), F.lit(0)).alias("q")).first()
-    cbs, qbs = max(1, -(-n["n"] // block)), max(1, -(-n["q"] // query_block))
-    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    cand = ints(flat).select(F.lit(0).alias("side"), F.pmod(F.xxhash64("vec_id"), F.lit(cbs)).cast("int").alias("cb"), every(qbs).alias("qb"), "vec_id", "width", "vec", F.lit(None).cast("long").alias("cutoff"))
-    # A query id on several rows is one query with one cutoff: twice in phase 1, it would list each candidate twice.
-    query = ints(flat.filter("is_query")).transform(lambda d: shared.settle(d.dropDuplicates(["vec_id"]), "queries"))
-
-    def scored(query: DataFrame, final: bool) -> DataFrame:
-        query = query.select(F.lit(1).alias("side"), every(cbs).alias("cb"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(qbs)).cast("int").alias("qb"), "vec_id", "width", "vec", "cutoff")
-        out = cand.union(query).groupBy("cb", "qb", "width").applyInArrow(_block(k, parts, final), "query_id long, vec_id long, score long")
+def _resolve(table: pa.Table) -> pa.Table:
+    """The whole scores of the pairs (side 2) of one block of the grid."""
+    cand, query, pairs = (_side(table, n) for n in range(3))
+    score = []
+    if cand.num_rows and query.num_rows and pairs.num_rows:
+        c, q = _matrices(cand, query)
+        keys = cand.column("row").to_numpy()
+        names = query.column("vec_id").to_numpy()
+        by_row, by_id = np.argsort(keys), np.argsort(names)
+        i = by_row[np.searchsorted(keys, pairs.column("row").to_numpy(), sorter=by_row)]
+        j = by_id[np.searchsorted(names, pairs.column("vec_id").to_numpy(), sorter=by_id)]
+        for lo in range(0, len(i), 20_000):
+            score += [min(max(int(x), _LONG[0]), _LONG[1]) for x in (c[i[lo : lo + 20_000]] * q[j[lo : lo + 20_000]]).sum(axis=1)]
+        ids, copies = cand.column("vec_id").take(pa.array(i)), cand.column("copies").take(pa.array(i))
+    else:
+        ids = copies = pa.array([], pa.int64())
+        pairs = pairs.slice(0, 0)
+    return pa.table({"query_id": pairs.column("vec_id"), "vec_id": ids, "score": pa.array(score, pa.int64()), "copies": copies})
+
+
+class TopK:
+    """The three phases over one table; ``listed``, ``cutoff`` and ``entries`` are what each leaves."""
+
+    def __init__(self, vectors: DataFrame, queries: Column, k: int, parts: int, ids: str, vector: str, block: int, query_block: int):
+        self.k, self.parts = k, parts
+        flat = vectors.filter(F.col(ids).isNotNull()).select(F.col(ids).cast("long").alias("vec_id"), F.col(vector).alias("vec"), F.coalesce(queries, F.lit(False)).alias("is_query"))
+        flat = flat.mapInArrow(_integers("vec_id", "vec"), "vec_id long, is_query boolean, width int, vec binary")
+        # Equal rows are one with a count.
+        once = flat.groupBy("vec_id", "width", "vec").agg(F.max("is_query").alias("is_query"), F.count(F.lit(1)).alias("copies"))
+        self.rows = shared.settle(once.withColumn("row", F.xxhash64("vec_id", "vec")), "vectors")
+        n = self.rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("is_query").cast("int")), F.lit(0)).alias("q")).first()
+        self.cbs, self.qbs = max(1, -(-n["n"] // block)), max(1, -(-n["q"] // query_block))
+        least = self.rows.filter("is_query").groupBy("vec_id").agg(F.min(F.struct("vec", "width")).alias("v"))
+        self.queries = shared.settle(least.select("vec_id", "v.width", "v.vec"), "queries")
+
+    def _cb(self, row: str) -> Column:
+        return F.pmod(F.col(row), F.lit(self.cbs)).cast("int")
+
+    def _qb(self, query: str) -> Column:
+        return F.pmod(F.xxhash64(query), F.lit(self.qbs)).cast("int")
+
+    def _grid(self, cand: DataFrame, query: DataFrame, listing: bool) -> DataFrame:
+        every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+        c = cand.select(F.lit(0).alias("side"), self._cb("row").alias("cb"), every(self.qbs).alias("qb"), "vec_id", "row", "width", "vec", "copies", F.lit(None).cast("long").alias("cutoff"))
+        q = query.select(F.lit(1).alias("side"), every(self.cbs).alias("cb"), self._qb("vec_id").alias("qb"), "vec_id", F.lit(0).cast("long").alias("row"), "width", "vec", F.lit(0).cast("long").alias("copies"), "cutoff")
+        return c.union(q).withColumn("listing", F.lit(listing))
+
+    def _parted(self, query: DataFrame, listing: bool) -> DataFrame:
+        grid = self._grid(self.rows, query, listing)
+        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in grid.schema if f.name != "vec") + ", part int, vec binary"
+        parted = grid.mapInArrow(_sliced(self.parts), kinds)
+        return parted.groupBy("part", "cb", "qb", "width").applyInArrow(_entries(self.k, self.parts), ENTRY)
+
+    def _ranked(self, scored: DataFrame) -> DataFrame:
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= self.k)
+
+    def resolved(self, pairs: DataFrame) -> DataFrame:
+        """query_id, vec_id, score, copies of the pairs (query_id, row); no other scores are computed."""
+        cand = self.rows.join(pairs.select("row").distinct(), "row", "left_semi")
+        query = self.queries.join(pairs.select(F.col("query_id").alias("vec_id")).distinct(), "vec_id", "left_semi").withColumn("cutoff", F.lit(None).cast("long"))
+        widths = self.queries.select(F.col("vec_id").alias("query_id"), "width")
+        asked = pairs.join(widths, "query_id").select(F.lit(2).alias("side"), self._cb("row").alias("cb"), self._qb("query_id").alias("qb"), F.col("query_id").alias("vec_id"), "row", "width", F.lit(None).cast("binary").alias("vec"), F.lit(0).cast("long").alias("copies"), F.lit(None).cast("long").alias("cutoff"), F.lit(False).alias("listing"))
+        return self._grid(cand, query, False).union(asked).groupBy("cb", "qb", "width").applyInArrow(_resolve, "query_id long, vec_id long, score long, copies long")
+
+    def run(self) -> DataFrame:
+        blank = self.queries.withColumn("cutoff", F.lit(None).cast("long"))
+        lists = self._parted(blank, True)
+        # Each block lists k, so the k best of a range are among them.
+        best = Window.partitionBy("query_id", "part").orderBy(F.desc("partial"), "row")
+        self.listed = shared.settle(lists.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= self.k).select("query_id", "row").distinct(), "listed")
+        kth = self._ranked(self.resolved(self.listed)).filter(F.col("rank") == self.k)
+        self.cutoff = shared.settle(kth.select(F.col("query_id").alias("vec_id"), F.col("score").alias("cutoff")), "cutoff")
+        entries = self._parted(self.queries.join(self.cutoff, "vec_id", "left"), False)
+        self.entries = shared.settle(entries.select("query_id", "row").distinct(), "entries")
+        scored = self.resolved(self.entries).join(self.cutoff.withColumnRenamed("vec_id", "query_id"), "query_id", "left").filter(F.col("cutoff").isNull() | (F.col("score") >= F.col("cutoff")))
+        each = scored.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least(F.col("copies"), F.lit(self.k)).cast("int"))))
+        return self._ranked(each).select("query_id", "rank", "vec_id", "score")
+
 
-    first = scored(query.withColumn("cutoff", F.lit(None).cast("long")), False)
-    cutoff = shared.settle(first.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("cutoff")), "cutoff")
-    return scored(query.join(cutoff, "vec_id", "left"), True).select("query_id", "rank", "vec_id", "score")
+def exact_topk(vectors: DataFrame, queries: Column, k: int = 5, parts: int = 4, ids: str = "vec_id", vector: str = "embedding", block: int = 4096, query_block: int = 1024) -> DataFrame:
+    """query_id, rank, vec_id, score: the k best candidates for the rows where ``queries`` holds."""
+    with shared.scratch(vectors.sparkSession) as keep:
+        out = shared.settle(TopK(vectors, queries, k, parts, ids, vector, block, query_block).run(), "topk")
+        keep(out)
+    return out
