@@ -2,21 +2,26 @@
 
 The model is an n-gram model with Dirichlet smoothing, P(w | h) = (c(hw) + mu * P(w | h')) /
 (c(h) + mu), where h' drops the first word of h and, without a history, P(w) = (c(w) + 1) /
-(N + V + 1). As an automaton: every n-gram seen in training is a state, reached by an
-arc that weighs log P; a state's failure arc leads to its longest proper suffix and weighs
-log(mu / (c(h) + mu)). Reading a text from left to right, the automaton takes the arc of
-the next word if its state has one, else failure arcs until a state does.
+(N + V + 1). As an automaton: every n-gram of less than ``order`` words seen in training is a state, and
+every n-gram hw seen is an arc from state h that reads w, weighs log P(w | h) and leads to the
+longest suffix of hw that is a state. A state's failure arc reads nothing, leads to the state of h'
+and weighs log(mu / (c(h) + mu)). The root has an arc for every word. A text is read once from
+left to right: the state before a word is all that is carried, the word's arc is taken, after as many
+failure arcs as lead to a state that has one, and the weights add up to the text's score.
 
 No task holds the model. Documents are dealt into chunks; a chunk asks for the counts of
 the n-grams in it, bucketed by their hash, with its own training counts; each bucket sums
 what the chunks sent and answers each; a chunk then builds the part of the automaton that its
-texts can reach and runs them over it. What travels is each chunk's distinct n-grams
-twice, packed; a chunk and a bucket are bounded by ``chunk_bytes`` while there are fewer
-than ``most_buckets`` chunks (beyond, a bucket grows and ``chunk_bytes`` should be raised).
+texts can reach, states, arcs and failure arcs, and runs it. What travels is each chunk's distinct
+n-grams twice, packed. Chunks and buckets are both as many as ``chunk_bytes`` and the size of the
+corpus give, so neither grows with it; messages get smaller as there are more of them.
 
 Words fold A-Z and end at ASCII white space. Every text has one more token, its end; null
 and empty texts have that alone. Words are known by 64-bit hashes. Without training
-documents every count is 0. Repeated rows count and are scored each.
+documents every count is 0. Repeated rows count and are scored each; rows of one key and text share a
+chunk. A very long text is one chunk's; nothing of it is cut. Rows without key are training rows. Only
+the key, the text and what ``held_out`` reads are read, so other columns may have any names. There
+are no ties to decide.
 """
 
 from __future__ import annotations
@@ -130,37 +135,80 @@ def _answer(table: pa.Table) -> pa.Table:
 
 
 class Automaton:
-    """The states that a chunk's texts can reach. For each n: sorted n-grams and their counts."""
-
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]], tokens: int, words: int, mu: float):
-        self.levels, self.mu = levels, mu
-        self.floor = np.log(tokens + words + 1.0)
-
-    def count(self, n: int, g: np.ndarray) -> np.ndarray:
-        known, count = self.levels[n - 1]
-        return count[np.searchsorted(known, g)]
-
-    def run(self, by_order: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """The natural log-probability of the token at each position. The state before a
-        position is the longest history seen, so all positions read their states at once;
-        arcs go up a level where the longer n-gram was seen, failure arcs weigh in elsewhere."""
-        c = self.count(1, by_order[0][0])
-        weight = np.log(c + 1.0) - self.floor
-        for n in range(2, len(by_order) + 1):
-            g, there = by_order[n - 1]
-            state = np.zeros(len(g))
-            state[1:] = self.count(n - 1, by_order[n - 2][0][:-1]) if n == 2 else np.where(by_order[n - 2][1][:-1], self._safe(n - 1, by_order[n - 2], 1), 0)
-            seen = self._safe(n, (g, there), 0)
-            fail = np.log(self.mu) - np.log(state + self.mu)
-            arc = np.log(seen + self.mu * np.exp(weight)) - np.log(state + self.mu)
-            weight = np.where(there, np.where(seen > 0, arc, weight + fail), weight)
-        return weight
-
-    def _safe(self, n: int, level: tuple[np.ndarray, np.ndarray], short: int) -> np.ndarray:
-        g, there = level
-        out = np.zeros(len(g))
-        out[there] = self.count(n, g[there])
-        return out[: len(g) - short]
+    """The states, arcs and failure arcs that a chunk's texts can reach.
+
+    ``levels[n - 1]`` describes the chunk's distinct n-grams: their training counts, and for each the numbers of
+    its last word, of its suffix and of its history (the n-grams of one word less at its end and its start).
+    State 0 is the root."""
+
+    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], tokens: int, words: int, mu: float):
+        self.floor = float(np.log(tokens + words + 1.0))
+        order, states = len(levels), 1
+        self.failure, self.backoff = [np.zeros(1, np.int64)], [np.zeros(1)]
+        keys, weights, targets = [], [], []
+        state_of = logp = below = None
+        for n, (count, word, suffix, history) in enumerate(levels, 1):
+            count = count.astype(np.float64)
+            if n == 1:
+                logp = np.log(count + 1.0) - self.floor
+                source, there = np.zeros(len(count), np.int64), np.ones(len(count), bool)
+            else:
+                logp = np.log(count + mu * np.exp(logp[suffix])) - np.log(below[history] + mu)
+                source, there = state_of[history], count > 0
+            # Only a seen n-gram is a state; any other leads where its suffix does.
+            lead = np.zeros(len(count), np.int64) if n == 1 else state_of[suffix]
+            if n < order:
+                real = np.flatnonzero(count > 0)
+                self.failure.append(lead[real])
+                self.backoff.append(np.log(mu) - np.log(count[real] + mu))
+                lead = lead.copy()
+                lead[real] = states + np.arange(len(real))
+                states += len(real)
+            keys.append((source << 32 | word)[there])
+            weights.append(logp[there])
+            targets.append(lead[there])
+            state_of, below = lead, count
+        self.states = states
+        self.failure, self.backoff = np.concatenate(self.failure).tolist(), np.concatenate(self.backoff).tolist()
+        self.weight, self.target = np.concatenate(weights).tolist(), np.concatenate(targets).tolist()
+        self.arc = dict(zip(np.concatenate(keys).tolist(), range(len(self.weight)), strict=True))
+
+    def step(self, state: int, word: int) -> tuple[int, float]:
+        """The state after a word, and the word's natural log-probability."""
+        (weight, state) = self.run(state, [word])
+        return state, weight
+
+    def run(self, state: int, text: list[int]) -> tuple[float, int]:
+        """Reads words from a state on; the log-probability of them all, and the state behind them."""
+        arc, weight, target, failure, backoff = self.arc.get, self.weight, self.target, self.failure, self.backoff
+        total = 0.0
+        for word in text:
+            at = arc(state << 32 | word)
+            while at is None:
+                total += backoff[state]
+                state = failure[state]
+                at = arc(state << 32 | word)
+            total += weight[at]
+            state = target[at]
+        return total, state
+
+
+def machine(by_order: list[tuple[np.ndarray, np.ndarray]], counts: list[np.ndarray], tokens: int, words: int, mu: float) -> tuple[Automaton, np.ndarray]:
+    """The automaton of a chunk's n-grams, and its texts as numbers of words. ``counts`` go by ascending n-gram."""
+    levels, number = [], None
+    for (g, there), count in zip(by_order, counts, strict=True):
+        at = np.flatnonzero(there)
+        uniq, first, of = np.unique(g[at], return_index=True, return_inverse=True)
+        place = at[first]  # a place where each stands
+        before = number
+        number = np.full(len(g), -1, np.int64)
+        number[at] = of
+        if before is None:
+            word, none = number, np.zeros(len(uniq), np.int64)
+            levels.append((count, word[place], none, none))
+        else:
+            levels.append((count, word[place], before[place], before[place - 1]))
+    return Automaton(levels, tokens, words, mu), word
 
 
 def _score(order: int, tokens: int, words: int, mu: float):
@@ -168,40 +216,51 @@ def _score(order: int, tokens: int, words: int, mu: float):
         seq, first = sequences(docs.column("text"))
         by_order = grams(seq, first, order)
         level, bucket, packed = answers.column("n").to_numpy(), answers.column("bucket").to_numpy(), answers.column("counts").to_pylist()
-        levels = []
-        for n, (g, there) in enumerate(by_order, 1):
+        counts = []
+        for n in range(1, order + 1):
             at = np.flatnonzero(level == n)
-            counts = [unpack(packed[i]) for i in at[np.argsort(bucket[at])]]
-            levels.append((np.unique(g[there]), np.concatenate(counts).astype(np.float64) if counts else np.empty(0)))
-        machine = Automaton(levels, tokens, words, mu)
+            parts = [unpack(packed[i]) for i in at[np.argsort(bucket[at])]]
+            counts.append(np.concatenate(parts) if parts else np.empty(0, np.uint64))
+        auto, word = machine(by_order, counts, tokens, words, mu)
         real = np.ones(len(seq), bool)
         real[first[:-1]] = False  # START is read, not predicted
-        c = machine.count(1, seq)
+        c = counts[0][word].astype(np.float64)
         sums = lambda x: np.add.reduceat(np.where(real, x, 0.0), first[:-1]) if len(seq) else np.empty(0)
-        base = sums((np.log(c + 1.0) - machine.floor) / LN10)
-        score = sums(machine.run(by_order) / LN10)
+        base = sums((np.log(c + 1.0) - auto.floor) / LN10)
         known = sums((c > 0).astype(float)).astype(np.int64)
+        score = []
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+            text = word[a:b].tolist()
+            start = auto.target[auto.arc[text[0]]]
+            score.append(auto.run(start, text[1:])[0] / LN10)
         n = docs.num_rows
-        return pa.table({"key": docs.column("key"), "held_out": docs.column("held_out"), "n_tokens": pa.array(np.diff(first) - 1, pa.int64()), "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array([tokens] * n, pa.int64()), "base_score": pa.array(base), "score": pa.array(score)})
+        return pa.table({"key": docs.column("key"), "held_out": docs.column("held_out"), "n_tokens": pa.array(np.diff(first) - 1, pa.int64()), "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array([tokens] * n, pa.int64()), "base_score": pa.array(base), "score": pa.array(score, pa.float64())})
 
     return run
 
 
-def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", order: int = 2, mu: float = 20.0, chunk_bytes: int = 4_000_000, most_buckets: int = 2048) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", order: int = 2, mu: float = 20.0, chunk_bytes: int = 4_000_000) -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score, score for every row; the model learns from the rows where ``held_out`` is not true."""
     kind = docs.schema[key].dataType.simpleString()
     total = docs.agg(F.sum(F.octet_length(F.col(text)) + F.lit(20))).first()[0] or 0
     chunks = max(1, -(-total // chunk_bytes))
-    buckets = min(chunks, most_buckets)
+    buckets = chunks
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("key", "text"), F.lit(chunks)).cast("int"))
     asked = rows.groupBy("chunk").applyInArrow(_ask(order, buckets), "bucket int, chunk int, n int, grams binary, counts binary")
     answered = asked.groupBy("bucket").applyInArrow(_answer, "chunk int, bucket int, n int, counts binary, tokens long, words long")
-    answered = shared.settle(answered, "counts")
-    n = answered.filter("chunk < 0").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("t"), F.coalesce(F.sum("words"), F.lit(0)).alias("w")).first()
-    out = rows.groupBy("chunk").cogroup(answered.filter("chunk >= 0").groupBy("chunk")).applyInArrow(_score(order, n["t"], n["w"], mu), f"key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    spark = docs.sparkSession
+    with shared.scratch(spark) as keep:
+        answered = shared.settle(answered, "counts")
+        out = shared.settle(_scored(rows, answered, kind, order, mu), "scores")
+        keep(out)
     return out.withColumnRenamed("key", key)
 
 
+def _scored(rows: DataFrame, answered: DataFrame, kind: str, order: int, mu: float) -> DataFrame:
+    n = answered.filter("chunk < 0").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("t"), F.coalesce(F.sum("words"), F.lit(0)).alias("w")).first()
+    return rows.groupBy("chunk").cogroup(answered.filter("chunk >= 0").groupBy("chunk")).applyInArrow(_score(order, n["t"], n["w"], mu), f"key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
 def held_out(key: Column) -> Column:
     return F.pmod(F.crc32(key.cast("string")), F.lit(7)) == 2
