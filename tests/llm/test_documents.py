@@ -8,6 +8,8 @@ import struct
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,6 +70,22 @@ def test_bpe_equals_the_library(docs, texts):
     assert all(back[i] == (t or "").encode() for i, t in texts)
 
 
+def test_bpe_of_very_long_words():
+    import random
+
+    import tiktoken
+
+    path, r = P.path("byte_bpe_50k.tiktoken"), random.Random(9)
+    ranks = bpe.load_ranks(path)
+    want = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    coder = bpe.Coder(ranks, P.PATTERN)
+    letters = lambda n, of="abcdefghijklmnopqrstuvwxyz": "".join(r.choice(of) for _ in range(n))
+    texts = [letters(n) for n in (65, 200, 1000, 8000)] + [letters(n, "aab") for n in (70, 3000)] + ["a" * 100_001, "é" * 500, "!" * 777, "ab" * 50_000]
+    for t, got in zip(texts, coder.encode(texts)):
+        assert got.tolist() == want.encode_ordinary(t)
+    assert b"".join(coder.engine.decode([coder.encode([t])[0] for t in texts])).decode() == "".join(texts)
+
+
 def test_bpe_refuses_unknown_ids(spark):
     rows = spark.createDataFrame([(1, [999_999])], "doc_id long, ids array<int>")
     with pytest.raises(Exception, match="not in the vocabulary"):
@@ -131,7 +149,6 @@ def test_packing_pieces_and_places(docs, texts):
 
     path = P.path("byte_bpe_50k.json")
     lib = Tokenizer.from_file(path)
-    lib.encode_special_tokens = True
     for capacity in (64, 2048):
         got = packing.best_fit(docs, path, capacity).collect()
         pieces = defaultdict(list)
@@ -157,6 +174,14 @@ def test_packing_pieces_and_places(docs, texts):
     assert packing.best_fit(docs.limit(0), path).count() == 0
 
 
+def test_packing_of_special_names():
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    lib, texts = Tokenizer.from_file(path), ["x <|endoftext|> y", "<|endoftext|>", "plain", "a<|endoftext|>b <|endof"]
+    assert [i.tolist() for i in packing.Tokens(path).encode(texts)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_large_pieces_pair():
     plan = packing.Plan({60: 3, 40: 3, 35: 2, 5: 1}, 100)
     assert plan.bins == 4
@@ -194,17 +219,33 @@ def test_lm_scores(spark, docs, texts):
     assert lm.score(empty(spark), F.lit(False)).count() == 0
 
 
-def test_lm_probabilities_sum_to_one(spark):
-    train = [prose(1, 60, 5), prose(2, 40, 5)]
-    rows = frame(spark, train)
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_lm_probabilities_sum_to_one(order):
+    """From every state that a text leads to, over all known words, the end and one unknown word."""
+    train, probe = [prose(1, 60, 5), prose(2, 40, 5)], prose(3, 30, 5) + " unknown"
     known = sorted(set(words(" ".join(train))))
-    # One more word from a fixed history: all known words, the end, and one unknown word.
-    probe = [*(f"w0 {w}" for w in known), "w0 zzz", "w0"]
-    both = rows.withColumn("probe", F.lit(False)).union(frame(spark, probe, 100).withColumn("probe", F.lit(True)))
-    score = {r["doc_id"]: r["score"] for r in lm.score(both, F.col("probe")).collect()}
-    history = 10 ** score[100 + len(known) + 1]  # P(w0) P(end | w0)
-    end = lambda w: 10 ** score[w]
-    assert history > 0 and all(end(100 + i) < 1 for i in range(len(probe)))
+    # All n-grams that a word can make after a history of the probe must be asked for.
+    w = words(probe)
+    asked = [" ".join([*w[max(0, i - order) : i], x]) for i in range(len(w) + 1) for x in [*known, "unknown"]] + [" ".join(w[max(0, i - order) : i]) for i in range(len(w) + 1)]
+    seq, first = lm.sequences(pa.array([*train, probe, *asked]))
+    by_order = lm.grams(seq, first, order)
+    trained, counts = np.repeat(np.arange(len(first) - 1) < 2, np.diff(first)), []
+    for g, there in by_order:
+        uniq, of = np.unique(g[there], return_inverse=True)
+        counts.append(np.bincount(of, trained[there], len(uniq)).astype(np.uint64))
+    tokens = sum(len(words(t)) + 1 for t in train)
+    auto, word = lm.machine(by_order, counts, tokens, len(known) + 1, 20.0)
+    text = word[first[2] : first[3]].tolist()
+    vocabulary = {x: int(word[first[0] + 1 + words(train[0]).index(x)]) for x in known}
+    choices = [*vocabulary.values(), text[-1], text[-2]]  # the end, and the unknown word
+    state = auto.target[auto.arc[text[0]]]
+    visited = set()
+    for x in text[1:]:
+        assert sum(math.exp(auto.step(state, c)[1]) for c in choices) == pytest.approx(1, rel=1e-9)
+        visited.add(state)
+        state = auto.step(state, x)[0]
+    assert auto.states > 1 or order == 1
+    assert len(visited) > (5 if order > 1 else 0)
 
 
 def test_junk_and_a_language_left_out_are_rejected(spark):

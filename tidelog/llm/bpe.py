@@ -8,8 +8,16 @@ piece has a pair that merges. Decoding joins token rows with the vocabulary and
 concatenates their bytes in order. A piece that is a token by itself is that token.
 Pieces don't depend on each other, so a text's ids are those of its pieces in turn.
 
-A null text is an empty one: no ids and no bytes. Any text is encodable. A task keeps at
-most ``KEEP`` pieces between batches. Ids that the vocabulary lacks fail to decode.
+A recursion keeps the rows of all its turns. Pieces of up to LONG bytes are encoded in parts whose rows
+over all turns are bounded by ROWS. A longer piece contracts all leftmost disjoint places of its least
+rank in a turn, which is the same as one after the other where no pair made by it ranks below
+it (``eager``; else one), and its recursion ends after the turns that ROWS allow and goes on from its last
+rows: memory is linear in the longest piece.
+
+A null text is an empty one: no ids and no bytes. Any text is encodable, whatever its length. A task keeps at
+most ``KEEP`` pieces between batches, less after some that are very long. Ids that the vocabulary lacks fail to
+decode. Repeated rows are encoded each; there are no ties but equal ranks, of which the leftmost goes first.
+Only the key and the text are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -17,7 +25,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import itertools
-import re
 from collections import defaultdict
 from collections.abc import Callable
 
@@ -27,10 +34,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import by_slice
+from .text import BEYOND, LATIN, by_slice
 
 KEEP = 250_000
-PART = 60_000  # pieces to a recursive query, which bounds its rows
+PART = 60_000  # pieces to a recursive query
+LONG = 64  # bytes of a piece that is encoded with others, one pair a turn
+ROWS = 4_000_000  # of a recursive query over all turns
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -38,22 +47,13 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-# The splitting pattern restated for `re` where a text has only characters below U+0250:
-# there the letters and numbers are these (fixed values, from the Unicode categories L* and N*).
-_L = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
-_N = "0-9²³¹¼-¾"
-_S = r"\t-\r \x85\xa0"
-_LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
-_BEYOND = re.compile("[^\0-ɏ]")
-
-
 def splitter(pattern: str) -> Callable[[str], list[str]]:
     import regex
 
     whole = regex.compile(pattern.replace(r"[^\s\p{L}\p{N}]", r"[^\p{White_Space}\p{L}\p{N}]").replace(r"\s+(?!\S)|\s+", r"\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"))
 
     def split(text: str) -> list[str]:
-        return (whole if _BEYOND.search(text) else _LATIN).findall(text)
+        return (whole if BEYOND.search(text) else LATIN).findall(text)
 
     return split
 
@@ -74,15 +74,20 @@ class Engine:
                     left.append(a)
                     right.append(b)
                     merged.append(rank)
-        merges = pa.table({"l": pa.array(left, pa.int32()), "r": pa.array(right, pa.int32()), "m": pa.array(merged, pa.int32())})
+        # A rank is eager if no pair that its token is part of ranks below it.
+        least = np.full(max(ranks.values(), default=0) + 1, np.iinfo(np.int64).max)
+        for side in (left, right):
+            np.minimum.at(least, np.array(side, np.int64), np.array(merged, np.int64))
+        eager = least[np.array(merged, np.int64)] > np.array(merged, np.int64)
+        merges = pa.table({"l": pa.array(left, pa.int32()), "r": pa.array(right, pa.int32()), "m": pa.array(merged, pa.int32()), "eager": pa.array(eager, pa.bool_())})
         vocab = pa.table({"tok": pa.array(list(ranks.values()), pa.int32()), "hex": pa.array([t.hex() for t in ranks], pa.string())})
         self.sql.register("merges_in", merges)
-        self.sql.execute("CREATE TABLE merges AS SELECT l::BIGINT * 1048576 + r AS pair, m::BIGINT AS m FROM merges_in")
+        self.sql.execute("CREATE TABLE merges AS SELECT l::BIGINT * 1048576 + r AS pair, m::BIGINT AS m, eager FROM merges_in")
         self.sql.register("vocab_in", vocab)
         self.sql.execute("CREATE TABLE vocab AS SELECT * FROM vocab_in")
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
 
-    # cell: piece * 2**24 + position, so that one number orders all token rows. A piece leaves
+    # cell: piece * 2**32 + position, so that one number orders all token rows. A piece leaves
     # the working table once no pair of it merges; its rows of the last turn are its tokens.
     ENCODE = """
         WITH RECURSIVE step(turn, cell, tok) AS (
@@ -91,15 +96,38 @@ class Engine:
             (WITH pairs AS (
                 SELECT turn, cell, tok, lead(cell) OVER w AS next_cell, lead(tok) OVER w AS next_tok FROM step WINDOW w AS (ORDER BY cell)
              ), best AS (
-                SELECT cell >> 24 AS piece, min(m.m * 16777216 + (cell & 16777215)) AS b, arg_min(next_cell, m.m * 16777216 + (cell & 16777215)) AS eaten
+                SELECT cell >> 32 AS piece, min(m.m * 256 + (cell & 255)) AS b, arg_min(next_cell, m.m * 256 + (cell & 255)) AS eaten
                 FROM pairs p JOIN merges m ON m.pair = p.tok::BIGINT * 1048576 + p.next_tok
-                WHERE p.next_cell >> 24 = p.cell >> 24 GROUP BY ALL
+                WHERE p.next_cell >> 32 = p.cell >> 32 GROUP BY ALL
+             )
+             SELECT turn + 1, cell, CASE WHEN cell & 4294967295 = b & 255 THEN (b >> 8)::INTEGER ELSE tok END
+             FROM step JOIN best ON cell >> 32 = piece WHERE cell <> eaten
+            )
+        )
+        SELECT cell >> 32 AS piece, tok FROM step JOIN (SELECT cell >> 32 AS p, max(turn) AS t FROM step GROUP BY ALL) ON cell >> 32 = p AND turn = t ORDER BY cell
+    """
+    # One long piece, by position alone. Places of its least rank that follow each other are a run (aaaa), of
+    # which every other one, from the left, is contracted.
+    ENCODE_LONG = """
+        WITH RECURSIVE step(turn, cell, tok) AS (
+            SELECT 0, cell, tok FROM rows_in
+            UNION ALL
+            (WITH pairs AS (
+                SELECT cell, tok, lead(cell) OVER w AS next_cell, lead(tok) OVER w AS next_tok FROM step WHERE turn < {turns} WINDOW w AS (ORDER BY cell)
+             ), ranked AS (
+                SELECT p.cell, p.next_cell, m.m, m.eager FROM pairs p JOIN merges m ON m.pair = p.tok::BIGINT * 1048576 + p.next_tok
+             ), least AS (
+                SELECT cell, next_cell, m, eager, lag(next_cell) OVER (ORDER BY cell) IS DISTINCT FROM cell AS begins FROM ranked WHERE m = (SELECT min(m) FROM ranked)
+             ), runs AS (
+                SELECT *, sum(begins::INT) OVER (ORDER BY cell) AS run, row_number() OVER (ORDER BY cell) AS n FROM least
+             ), taken AS (
+                SELECT cell, next_cell, m FROM (SELECT *, n - min(n) OVER (PARTITION BY run) AS place FROM runs) WHERE CASE WHEN eager THEN place % 2 = 0 ELSE n = 1 END
              )
-             SELECT turn + 1, cell, CASE WHEN cell & 16777215 = b & 16777215 THEN (b >> 24)::INTEGER ELSE tok END
-             FROM step JOIN best ON cell >> 24 = piece WHERE cell <> eaten
+             SELECT s.turn + 1, s.cell, coalesce(t.m::INTEGER, s.tok) FROM step s LEFT JOIN taken t ON s.cell = t.cell
+             WHERE s.turn < {turns} AND EXISTS (FROM taken) AND s.cell NOT IN (SELECT next_cell FROM taken)
             )
         )
-        SELECT cell >> 24 AS piece, tok FROM step JOIN (SELECT cell >> 24 AS p, max(turn) AS t FROM step GROUP BY ALL) ON cell >> 24 = p AND turn = t ORDER BY cell
+        SELECT turn, cell, tok FROM step WHERE turn = (SELECT max(turn) FROM step) ORDER BY cell
     """
     DECODE = "SELECT row, string_agg(hex, '' ORDER BY pos) AS hex, count(hex) AS n FROM tokens_in LEFT JOIN vocab USING (tok) GROUP BY row"
 
@@ -113,12 +141,20 @@ class Engine:
                 out[i] = np.array([rank], np.int32)
             else:
                 todo.append(i)
-        for at in range(0, len(todo), PART):
-            part = todo[at : at + PART]
-            size = np.array([len(pieces[i]) for i in part], np.int64)
-            which = np.repeat(np.arange(len(part), dtype=np.int64), size)
-            pos = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
-            rows = pa.table({"cell": which << 24 | pos, "tok": self.byte[np.frombuffer(b"".join(pieces[i] for i in part), np.uint8)]})
+        size = np.array([len(pieces[i]) for i in todo], np.int64)
+        for i in np.flatnonzero(size > LONG).tolist():
+            out[todo[i]] = self._long(pieces[todo[i]])
+        todo, size = [todo[i] for i in np.flatnonzero(size <= LONG).tolist()], size[size <= LONG]
+        # A piece has a row for each byte and turn at most.
+        cost = np.cumsum(size * size)
+        at = 0
+        while at < len(todo):
+            stop = max(at + 1, min(at + PART, int(np.searchsorted(cost, cost[at] + ROWS, side="right"))))
+            part, n = todo[at:stop], size[at:stop]
+            at = stop
+            which = np.repeat(np.arange(len(part), dtype=np.int64), n)
+            pos = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+            rows = pa.table({"cell": which << 32 | pos, "tok": self.byte[np.frombuffer(b"".join(pieces[i] for i in part), np.uint8)]})
             self.sql.register("bytes_in", rows)
             got = self.sql.execute(self.ENCODE).fetchnumpy()
             piece, tok = got["piece"], got["tok"]
@@ -128,6 +164,19 @@ class Engine:
             self.sql.unregister("bytes_in")
         return out
 
+    def _long(self, piece: bytes) -> np.ndarray:
+        cell, tok = np.arange(len(piece), dtype=np.int64), self.byte[np.frombuffer(piece, np.uint8)]
+        self.sql.execute(f"SET memory_limit = '{max(300, len(piece) // 2000)}MB'")
+        done = False
+        while not done:
+            turns = max(1, ROWS // len(cell))
+            self.sql.register("rows_in", pa.table({"cell": cell, "tok": tok}))
+            got = self.sql.execute(self.ENCODE_LONG.format(turns=turns)).fetchnumpy()
+            self.sql.unregister("rows_in")
+            cell, tok, done = got["cell"], got["tok"], int(got["turn"][0]) < turns
+        self.sql.execute("SET memory_limit = '300MB'")
+        return tok
+
     def decode(self, rows: list[np.ndarray]) -> list[bytes]:
         """The bytes of each row of ids."""
         size = np.array([len(r) for r in rows], np.int64)
@@ -152,6 +201,7 @@ class Coder:
         self.forget()
 
     def forget(self) -> None:
+        self.long = False
         self.number = defaultdict(itertools.count().__next__)
         self.ids: list[np.ndarray] = []
         self.joined: list[str] = []
@@ -159,7 +209,7 @@ class Coder:
 
     def learn(self, texts: list[str]) -> list[np.ndarray]:
         """The piece numbers of each text; pieces met for the first time are encoded and decoded."""
-        if len(self.number) > KEEP:
+        if len(self.number) > KEEP or self.long:
             self.forget()
         of = self.number.__getitem__
         out = []
@@ -167,6 +217,7 @@ class Coder:
             pieces = self.split(t)
             out.append(np.fromiter(map(of, pieces), np.int32, len(pieces)))
         fresh = [p.encode() for p in itertools.islice(self.number, len(self.ids), None)]
+        self.long = sum(len(p) for p in fresh if len(p) > LONG) > KEEP
         ids = self.engine.encode(fresh)
         for at in range(0, len(ids), PART):
             self.bytes += self.engine.decode(ids[at : at + PART])

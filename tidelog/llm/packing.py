@@ -12,8 +12,10 @@ corpus) into groups of like bins, and a piece finds its bin from its rank among
 of its length. Ranks are counted within salted parts of a length and shifted by the counts
 before them, so no task holds a length as a whole.
 
-A null text is an empty document: its end id alone. Repeated rows are packed each. An
-empty table gives no rows.
+A null text is an empty document: its end id alone. A special token's name in a text becomes its id, as
+the library has it. Repeated rows are packed each, and ties between them are open to any of their
+places. A very long text is cut into many pieces, none left out. An empty table gives no rows. Only the
+key and the text are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -31,28 +33,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
-from .text import by_slice
+from .text import BEYOND, LATIN, by_slice
 
 KEEP = 1_000_000
 _PIECE = "piece int, start long, length long, ids_crc32 long"
-# GPT-2 style pieces of texts below U+0250, by the Unicode categories L* and N* (fixed values).
-_L = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
-_N = "0-9²³¹¼-¾"
-_S = r"\t-\r \x85\xa0"
-_LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
-_BEYOND = re.compile("[^\0-ɏ]")
-
 
 class Tokens:
     """Token ids by the tokenizers library. A byte-level tokenizer treats the pieces that its
-    pattern finds apart from each other, so a text below U+0250 is split here and only
-    pieces not met before are given to the library; any other text is given whole."""
+    pattern finds apart from each other, so a text below U+0250 without a special token's name is
+    split here and only pieces not met before are given to the library; any other text is given whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        special = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
+        #: A text that holds a special token's name has its id there, so the library gets it whole.
+        self.special = re.compile("|".join(special) or "(?!)")
         self.forget()
 
     def forget(self) -> None:
@@ -65,11 +62,11 @@ class Tokens:
             self.forget()
         of, out, odd = self.number.__getitem__, [], {}
         for i, t in enumerate(texts):
-            if _BEYOND.search(t):
+            if BEYOND.search(t) or self.special.search(t):
                 odd[i] = np.array(self.library.encode(t, add_special_tokens=False).ids, np.int32)
                 out.append(None)
             else:
-                pieces = _LATIN.findall(t)
+                pieces = LATIN.findall(t)
                 out.append(np.fromiter(map(of, pieces), np.int32, len(pieces)))
         fresh = list(itertools.islice(self.number, len(self.ends) - 1, None))
         flat, sizes = [self.flat], []

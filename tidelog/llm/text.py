@@ -9,6 +9,7 @@ different words share one with probability about 2**-64.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -100,6 +101,15 @@ class Words:
         return out, of
 
 
+# A byte-level tokenizer's splitting pattern restated for `re` where a text has only characters below U+0250:
+# there the letters and numbers are these (fixed values, from the Unicode categories L* and N*).
+_L = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
+_N = "0-9²³¹¼-¾"
+_S = r"\t-\r \x85\xa0"
+LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+BEYOND = re.compile("[^\0-ɏ]")
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``most`` bytes of text each; a longer text stands alone."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
