@@ -9,10 +9,10 @@ concatenates their bytes in order. A piece that is a token by itself is that tok
 Pieces don't depend on each other, so a text's ids are those of its pieces in turn.
 
 A recursion keeps the rows of all its turns. Pieces of up to LONG bytes are encoded in parts whose rows
-over all turns are bounded by ROWS. A longer piece contracts all leftmost disjoint places of its least
-rank in a turn, which is the same as one after the other where no pair made by it ranks below
-it (``eager``; else one), and its recursion ends after the turns that ROWS allow and goes on from its last
-rows: memory is linear in the longest piece.
+over all turns are bounded by ROWS. A longer piece contracts the leftmost disjoint places of its least
+rank in one turn, up to the first that makes a pair of smaller rank, which is the same as one after the
+other; its recursion ends after the turns that ROWS allow and goes on from its last rows, so memory is
+linear in the longest piece.
 
 A null text is an empty one: no ids and no bytes. Any text is encodable, whatever its length. A task keeps at
 most ``KEEP`` pieces between batches, less after some that are very long. Ids that the vocabulary lacks fail to
@@ -74,15 +74,10 @@ class Engine:
                     left.append(a)
                     right.append(b)
                     merged.append(rank)
-        # A rank is eager if no pair that its token is part of ranks below it.
-        least = np.full(max(ranks.values(), default=0) + 1, np.iinfo(np.int64).max)
-        for side in (left, right):
-            np.minimum.at(least, np.array(side, np.int64), np.array(merged, np.int64))
-        eager = least[np.array(merged, np.int64)] > np.array(merged, np.int64)
-        merges = pa.table({"l": pa.array(left, pa.int32()), "r": pa.array(right, pa.int32()), "m": pa.array(merged, pa.int32()), "eager": pa.array(eager, pa.bool_())})
+        merges = pa.table({"l": pa.array(left, pa.int32()), "r": pa.array(right, pa.int32()), "m": pa.array(merged, pa.int32())})
         vocab = pa.table({"tok": pa.array(list(ranks.values()), pa.int32()), "hex": pa.array([t.hex() for t in ranks], pa.string())})
         self.sql.register("merges_in", merges)
-        self.sql.execute("CREATE TABLE merges AS SELECT l::BIGINT * 1048576 + r AS pair, m::BIGINT AS m, eager FROM merges_in")
+        self.sql.execute("CREATE TABLE merges AS SELECT l::BIGINT * 1048576 + r AS pair, m::BIGINT AS m FROM merges_in")
         self.sql.register("vocab_in", vocab)
         self.sql.execute("CREATE TABLE vocab AS SELECT * FROM vocab_in")
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
@@ -107,21 +102,29 @@ class Engine:
         SELECT cell >> 32 AS piece, tok FROM step JOIN (SELECT cell >> 32 AS p, max(turn) AS t FROM step GROUP BY ALL) ON cell >> 32 = p AND turn = t ORDER BY cell
     """
     # One long piece, by position alone. Places of its least rank that follow each other are a run (aaaa), of
-    # which every other one, from the left, is contracted.
+    # which every other one, from the left, is contracted; up to the first that makes a pair of smaller rank.
     ENCODE_LONG = """
         WITH RECURSIVE step(turn, cell, tok) AS (
             SELECT 0, cell, tok FROM rows_in
             UNION ALL
             (WITH pairs AS (
-                SELECT cell, tok, lead(cell) OVER w AS next_cell, lead(tok) OVER w AS next_tok FROM step WHERE turn < {turns} WINDOW w AS (ORDER BY cell)
+                SELECT cell, tok, lead(cell) OVER w AS next_cell, lead(tok) OVER w AS next_tok, lag(cell) OVER w AS last_cell, lag(tok) OVER w AS last_tok, lead(tok, 2) OVER w AS after_tok
+                FROM step WHERE turn < {turns} WINDOW w AS (ORDER BY cell)
              ), ranked AS (
-                SELECT p.cell, p.next_cell, m.m, m.eager FROM pairs p JOIN merges m ON m.pair = p.tok::BIGINT * 1048576 + p.next_tok
+                SELECT p.*, m.m FROM pairs p JOIN merges m ON m.pair = p.tok::BIGINT * 1048576 + p.next_tok
              ), least AS (
-                SELECT cell, next_cell, m, eager, lag(next_cell) OVER (ORDER BY cell) IS DISTINCT FROM cell AS begins FROM ranked WHERE m = (SELECT min(m) FROM ranked)
+                SELECT *, lag(next_cell) OVER (ORDER BY cell) IS DISTINCT FROM cell AS begins FROM ranked WHERE m = (SELECT min(m) FROM ranked)
              ), runs AS (
                 SELECT *, sum(begins::INT) OVER (ORDER BY cell) AS run, row_number() OVER (ORDER BY cell) AS n FROM least
+             ), places AS (
+                SELECT * FROM (SELECT *, n - min(n) OVER (PARTITION BY run) AS place FROM runs) WHERE place % 2 = 0
+             ), beside AS (
+                SELECT cell, next_cell, m, after_tok, CASE WHEN lag(next_cell) OVER (ORDER BY cell) = last_cell THEN m ELSE last_tok END AS before_tok FROM places
+             ), made AS (
+                SELECT b.cell, b.next_cell, b.m, coalesce(x.m < b.m, false) OR coalesce(y.m < b.m, false) AS lower
+                FROM beside b LEFT JOIN merges x ON x.pair = b.before_tok::BIGINT * 1048576 + b.m LEFT JOIN merges y ON y.pair = b.m * 1048576 + b.after_tok
              ), taken AS (
-                SELECT cell, next_cell, m FROM (SELECT *, n - min(n) OVER (PARTITION BY run) AS place FROM runs) WHERE CASE WHEN eager THEN place % 2 = 0 ELSE n = 1 END
+                SELECT cell, next_cell, m FROM made WHERE cell <= coalesce((SELECT min(cell) FROM made WHERE lower), 9223372036854775807)
              )
              SELECT s.turn + 1, s.cell, coalesce(t.m::INTEGER, s.tok) FROM step s LEFT JOIN taken t ON s.cell = t.cell
              WHERE s.turn < {turns} AND EXISTS (FROM taken) AND s.cell NOT IN (SELECT next_cell FROM taken)
