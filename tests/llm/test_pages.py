@@ -1,5 +1,9 @@
 """Main-text extraction."""
 
+import math
+import random
+from collections import defaultdict
+
 import pytest
 
 from tidelog.llm import html_text, queries
@@ -71,3 +75,71 @@ def test_odd_rows(spark, sf_dir):
 )
 def test_smaller_parts_of_unlinked_text_stay(page, text):
     assert main(page) == text
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<article class='post social-science'><p>x</article>", "x"),
+        ("<article class='post has-sidebar comments-open'><p>x</article>", "x"),
+        ("<article>a<section class='related-work'>b</section><section id='side-effects'>c</section></article>", "a\nb\nc"),
+        ("<p>x <span class='ad'>Buy</span> y</p><p>a <span hidden>no</span> b <button>Go</button> c</p>", "x y\na b c"),
+        ("<article><div class='post-sidebar'>no</div><div class='cookie-notice'>no</div><p title='the hidden side'>yes</article>", "yes"),
+        ("<b><i>x</b> y</i><div><i>z</div> w</i>", "x y\nz\nw"),
+        ("<p>" + "<b>" * 5000 + "x" + "</i>" * 5000, "x"),
+    ],
+)
+def test_names_and_inline_elements(page, text):
+    assert main(page) == text
+
+
+def test_time_is_linear_in_depth():
+    import time
+
+    began = time.perf_counter()
+    assert main("<article>" + "<div>" * 40_000 + "deep" + "</div>" * 40_000 + "<i>" * 40_000 + "x" + "</i>" * 40_000) == "deep\nx"
+    assert time.perf_counter() - began < 20
+
+
+def plain_tree(pages, least=0.3, sure=0.05):
+    """The texts of pages of one host by a style tree in plain Python."""
+    found = [html_text.blocks(p) for p in pages]
+    heads = [next((b.text for b in f if b.tag == "h1" and not b.off), "\n".join(b.text for b in f)) for f in found]
+    m = len(set(heads))
+    contents, shapes = defaultdict(set), defaultdict(lambda: defaultdict(set))
+    for head, f in zip(heads, found):
+        for b in f:
+            contents[b.node, b.text].add(head)
+        for parent in {b.parent for b in f}:
+            shapes[parent][" ".join(b.tag for b in f if b.parent == parent)].add(head)
+    own = lambda k: 1 - math.log(k) / math.log(m + html_text.UNSEEN)
+    out = []
+    for f in found:
+        worth = {}
+        for i, b in enumerate(f):
+            o = own(len(contents[b.node, b.text]))
+            kinds = [len(x) for x in shapes[b.parent].values()]
+            g = 0.9 ** min(3, len(kinds))
+            worth[i] = ((1 - g) * sum(k * own(k) for k in kinds) / sum(kinds) + g * o if len(contents[b.node, b.text]) > 1 else 1.0, o)
+        out.append("\n".join(html_text.choose(f, worth, least, sure)))
+    return out
+
+
+def test_extraction_equals_a_plain_style_tree(spark):
+    r = random.Random(5)
+    pages = []
+    for i in range(30):
+        body = [f"<p>own {i} {j} {r.random()}</p>" if r.random() < 0.6 else f"<div><p>{r.choice(['again', 'and again', 'rights reserved'])}</p></div>" for j in range(r.randrange(6))]
+        body.insert(0, r.choice(["", "<h2>Section</h2>", "<div class='notice'>new rules</div>"]))
+        body.append("<div><p>Subscribe now</p></div>" if i % 3 else "")
+        pages.append(("<article>%s</article>" if i % 4 == 0 else "<h1>Page " + str(i // 2) + "</h1>%s") % "".join(body))
+    for some in (pages, pages[:2], pages[:5]):
+        rows = spark.createDataFrame([(i, "https://one.example/x", p) for i, p in enumerate(some)], "page_id long, url string, html string")
+        got = {r["page_id"]: r["text"] for r in html_text.extract(rows, ["page_id"]).collect()}
+        assert [got[i] for i in range(len(some))] == plain_tree(some)
+
+
+def test_columns_of_any_name(spark):
+    rows = spark.createDataFrame([(1, "a", "b", "c", "http://h.x/", "<p>x")], "page_id long, host string, blocks string, `row` string, url string, html string")
+    (r,) = html_text.extract(rows, ["page_id", "host", "blocks", "row"]).collect()
+    assert tuple(r) == (1, "a", "b", "c", "x", 1)

@@ -1,23 +1,28 @@
 """Operator 7: main-text extraction with site style trees.
 
-Each page is read into blocks: runs of text between block-level tags, each with the path
-of elements above it. The pages of one host are merged into a style tree whose nodes are
-those paths; a node's importance is entropy-based. For m distinct pages with a node, a content
-that k of them share is worth 1 - log k / log m: 1 if no page shares it, 0 if all do.
-A container's presentation (its sequence of child tags) is weighed alike, and the two are
-joined as (1 - g**l) * presentation + g**l * content, for l presentations and g = 0.9. Branches
-of low importance are removed from each page; inside an article only those that nearly
-all pages of the host share. Pages with one headline (or, without one, one text) count once, so copies
-of a page don't make its text look like a template.
-
-What a page itself says comes first: elements for menus, headers, footers, sidebars, forms,
-scripts and styles, and elements whose class, id or role names a notice, advert,
-comments or the like, are never text. If a page has an article (or a main element), its
-text is there; else it is all blocks that are neither removed nor mostly links.
+Each page is read once into blocks: runs of text between block-level tags, each with the node of the
+element it stands in, which is the hash of the names of all elements down to it. The pages of one host are
+merged into a style tree of these nodes, and a block's importance is entropy-based. For m
+distinct pages with a host, a content that k of them share at a node is worth
+1 - log k / log (m + 3): 1 if no page shares it, near 0 if all of many do; the 3 are pages
+not seen, so that few pages prove little. A container's presentation (its sequence of child tags) is
+weighed alike, and the two are joined as (1 - g**l) * presentation + g**l * content, for l
+presentations (3 at most) and g = 0.9. What a page says of itself is a prior that this is
+multiplied by: PRIOR where an element around the block is named as a notice, advert, comments or the like
+by a whole token of its class, id or role; inside an article or main element the content's worth counts
+least / sure times. Blocks whose importance is below ``least`` are removed. Pages with one headline (or,
+without one, one text) count once, so copies of a page don't make its text look like a template.
+
+Some elements never hold text: menus, footers, sidebars, forms, buttons, scripts, styles, headers outside
+an article, hidden elements, and inline elements named as above. If a page has articles or main
+elements, its text is there, but for smaller parts that are mostly links; else it is all important blocks that are
+not mostly links.
 
 References are decoded, white space within a block becomes one space, blocks are joined by
 line feeds in page order. A null or empty page has an empty text. Cut-off markup is closed
-at the end of the page. Pages of unknown host form no tree. Repeated rows are extracted each.
+at the end of the page. Pages of unknown host form no tree. Repeated rows are extracted each and count
+once. A very long page is read in one pass, in time linear in its length. Of a page's largest parts all that tie
+count. The ``keep`` columns may have any names but ``text`` and ``n_chars``, which are those of the result.
 """
 
 from __future__ import annotations
@@ -50,55 +55,98 @@ TAG = re.compile(
     re.I | re.S,
 )
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
-_HIDE = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_HIDE = re.compile(r"(?<![\w-])hidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_QUOTED = re.compile(r"\b(?:class|id|title|alt|data-[\w-]+)\s*=\s*(?:\"[^\"]*\"|'[^']*')", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _CLOSES_P = BLOCKS - frozenset("option legend summary body html head".split())
-
-
-def _traits(tag: str, attrs: str) -> tuple[str, bool, bool]:
-    """The name of a node in the tree, whether it is no text, and whether it is the main part."""
-    off, on, name = tag in OFF_TAGS, tag in ("article", "main"), tag
-    if attrs and "=" in attrs or attrs and "hidden" in attrs.lower():
-        words: list[str] = []
+_TWINS = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "li": ("li",), "tr": ("tr",), "option": ("option",)}
+#: First words of tokens that tell of an element inside, or of a state, not of what the element is.
+_ABOUT = frozenset("has with no is show hide without".split())
+PRIOR = 0.2
+UNSEEN = 3
+
+
+def _named_off(token: str, article: bool) -> bool:
+    """Whether a token of a class, id or role names a notice, advert or the like: all its parts do, or the last one
+    (post-sidebar). An article is named so by all parts only."""
+    parts = [w.lower() for w in _PARTS.findall(token)]
+    if not parts or parts[-1] not in OFF_WORDS:
+        return False
+    return all(w in OFF_WORDS for w in parts) or not (article or parts[0] in _ABOUT)
+
+
+def _traits(tag: str, attrs: str) -> tuple[str, bool, bool, bool]:
+    """An element's name in the tree, whether it never holds text, whether it is named off, and whether it is a main part."""
+    dead, off, on, name = tag in OFF_TAGS, False, tag in ("article", "main"), tag
+    if attrs and ("=" in attrs or "hidden" in attrs.lower()):
+        whole = tag in ("html", "body")
         for kind, a, b, c in _NAMES.findall(attrs):
             value = a or b or c
-            words += [w.lower() for w in _PARTS.findall(value)]
+            tokens = value.split()
+            off = off or (not whole and any(_named_off(t, on) for t in tokens))
+            on = on or any(t.lower() in ON_WORDS for t in tokens)
             if kind.lower() == "class":
                 name = f"{tag}.{value}"
-        off = off or (tag not in ("html", "body") and not OFF_WORDS.isdisjoint(words)) or bool(_HIDE.search(attrs))
-        on = on or not ON_WORDS.isdisjoint(words)
-    return name, off, on
+        dead = dead or bool(_HIDE.search(_QUOTED.sub("", attrs)))
+    return name, dead, off, on
 
 
 class Block:
-    __slots__ = ("text", "path", "off", "part", "linked", "parent", "tag")
+    __slots__ = ("text", "node", "parent", "tag", "part", "linked", "off")
+
+    def __init__(self, text, node, parent, tag, part, linked, off):
+        self.text, self.node, self.parent, self.tag, self.part, self.linked, self.off = text, node, parent, tag, part, linked, off
+
+
+class _Open:
+    """An open element; a block-level one counts the inline elements open directly within it."""
+
+    __slots__ = ("tag", "node", "dead", "off", "part", "inline")
+
+    def __init__(self, tag, node, dead, off, part, inline):
+        self.tag, self.node, self.dead, self.off, self.part, self.inline = tag, node, dead, off, part, inline
+
 
-    def __init__(self, text, path, off, part, linked, parent, tag):
-        self.text, self.path, self.off, self.part, self.linked, self.parent, self.tag = text, path, off, part, linked, parent, tag
+def _below(node: int, name: str) -> int:
+    """The number of the node with a name below another, 63 bits."""
+    x = (node ^ zlib.crc32(name.encode("utf-8", "surrogatepass"))) * 0x9E3779B97F4A7C15 & (1 << 64) - 1
+    return (x ^ x >> 29) * 0xBF58476D1CE4E5B9 >> 1 & (1 << 63) - 1
 
 
 def blocks(page: str) -> list[Block]:
-    """The blocks of a page in order. ``part`` numbers the article or main element around it, -1 outside."""
-    # An element: tag, path, off, part, number. Off and part pass down.
-    stack: list[tuple[str, str, bool, int, int]] = [("", "", False, -1, 0)]
+    """The blocks of a page in order. ``part`` numbers the article or main element around it, -1 outside. Every
+    element is opened and closed once and looked up by counts, so the time is linear in the page."""
+    stack = [_Open("", 0, False, False, -1, {})]
+    levels = [0]  # places of the block-level elements in the stack
+    opened: dict[str, int] = {}
     out: list[Block] = []
     text: list[str] = []
-    linked = links = parts = made = at = 0
+    linked = links = parts = at = 0
 
     def flush():
         nonlocal linked
         if text:
             words = " ".join(_html.unescape("".join(text)).split())
             if words:
-                _, path, off, part, _ = stack[-1]
-                owner = next((e for e in reversed(stack) if e[0] in BLOCKS or not e[0]), stack[0])
-                above = next((e for e in reversed(stack[: stack.index(owner)]) if e[0] in BLOCKS or not e[0]), stack[0])
-                out.append(Block(words, owner[1], off, part, min(1.0, linked / max(1, len(words))), above[4], owner[0]))
+                own, above = stack[levels[-1]], stack[levels[-2] if len(levels) > 1 else 0]
+                out.append(Block(words, own.node, above.node, own.tag, own.part, min(1.0, linked / max(1, len(words))), own.off))
             text.clear()
         linked = 0
 
+    def close(tag: str):
+        """Closes elements up to the innermost open one with the tag."""
+        while True:
+            e = stack.pop()
+            if e.inline is None:
+                stack[levels[-1]].inline[e.tag] -= 1
+            else:
+                levels.pop()
+                opened[e.tag] -= 1
+            if e.tag == tag:
+                return
+
     for m in TAG.finditer(page):
-        if m.start() > at:
+        if m.start() > at and not stack[-1].dead:
             piece = page[at : m.start()]
             text.append(piece)
             if links:
@@ -107,16 +155,16 @@ def blocks(page: str) -> list[Block]:
         if m["tag"] is None:
             continue
         tag = m["tag"].lower()
+        block = tag in BLOCKS
         if m["end"]:
             if tag == "a":
                 links = 0
-            if any(e[0] == tag for e in stack):
-                if tag in BLOCKS:
-                    flush()
-                # An inline end tag doesn't close a block around its element.
-                if tag in BLOCKS or not any(e[0] in BLOCKS for e in stack[len(stack) - next(i for i, e in enumerate(reversed(stack), 1) if e[0] == tag) + 1 :]):
-                    while stack.pop()[0] != tag:
-                        pass
+            if block and opened.get(tag):
+                flush()
+                close(tag)
+            # An inline end tag doesn't close a block around its element.
+            elif not block and stack[levels[-1]].inline.get(tag):
+                close(tag)
             continue
         if tag in VOID:
             if tag == "hr":
@@ -126,55 +174,54 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag == "a":
             links = 1
-        if tag in BLOCKS:
+        if block:
             flush()
-            links = 0 if tag != "a" else links
-            if tag in _CLOSES_P:
-                while len(stack) > 1 and any(e[0] == "p" for e in stack) and "p" in [e[0] for e in stack[_last_block(stack) :]]:
-                    while stack.pop()[0] != "p":
-                        pass
-            if tag in ("li", "td", "th", "tr", "dt", "dd", "option"):
-                twins = ("dt", "dd") if tag in ("dt", "dd") else ("td", "th") if tag in ("td", "th") else (tag,)
-                if stack[_last_block(stack)][0] in twins:
-                    del stack[_last_block(stack) :]
-        if m["attrs"].rstrip().endswith("/") and tag not in BLOCKS:
+            links = 0
+            if stack[levels[-1]].tag == "p" and tag in _CLOSES_P:
+                close("p")
+            if stack[levels[-1]].tag in _TWINS.get(tag, ()):
+                close(stack[levels[-1]].tag)
+        elif m["attrs"].rstrip().endswith("/"):
             continue
-        name, off, on = _traits(tag, m["attrs"])
-        _, path, was_off, part, _ = stack[-1]
-        if tag == "header" and part < 0:
-            off = True
-        if on and not off and not was_off and (part < 0 or tag == "article" or tag == "main"):
+        name, dead, off, on = _traits(tag, m["attrs"])
+        top = stack[-1]
+        dead = dead or top.dead or (tag == "header" and top.part < 0) or (off and not block)
+        part = top.part
+        if on and not (dead or off or top.off) and (part < 0 or tag in ("article", "main")):
             part, parts = parts, parts + 1
-        made += 1
-        stack.append((tag, f"{path}/{name}" if len(path) < 400 else path, off or was_off, part, made))
-    if at < len(page):
+        if block:
+            levels.append(len(stack))
+            opened[tag] = opened.get(tag, 0) + 1
+        else:
+            inline = stack[levels[-1]].inline
+            inline[tag] = inline.get(tag, 0) + 1
+        stack.append(_Open(tag, _below(top.node, name), dead, off or top.off, part, {} if block else None))
+    if at < len(page) and not stack[-1].dead:
         text.append(page[at:])
     flush()
     return out
 
 
-def _last_block(stack) -> int:
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i][0] in BLOCKS:
-            return i
-    return 0
+def importance(block, whole: float = 1.0, own: float = 1.0, least: float = 0.3, sure: float = 0.05) -> float:
+    """A block's importance from that of its content and presentation (``whole``), its content's alone, and its prior."""
+    return (PRIOR if block.off else 1.0) * (whole if block.part < 0 else min(1.0, own * least / sure))
 
 
-def choose(found: list[Block], low: frozenset[int] = frozenset(), lower: frozenset[int] = frozenset()) -> list[str]:
-    """The texts of a page's main part. ``low`` are the positions of blocks of low importance
-    for a page without an article, ``lower`` for one with."""
+def choose(found: list[Block], worth: dict[int, tuple[float, float]] | None = None, least: float = 0.3, sure: float = 0.05) -> list[str]:
+    """The texts of a page's main part; ``worth`` has (whole, own) of blocks by their places, 1 where it has none."""
+    one, worth = (1.0, 1.0), worth or {}
+    kept = [b for i, b in enumerate(found) if importance(b, *worth.get(i, one), least, sure) >= least]
     size: dict[int, int] = {}
     linked: dict[int, float] = {}
     for b in found:
-        if not b.off and b.part >= 0:
+        if b.part >= 0 and not b.off:
             size[b.part] = size.get(b.part, 0) + len(b.text)
             linked[b.part] = linked.get(b.part, 0) + b.linked * len(b.text)
     if size:
         most = max(size.values())
-        # A part of the largest one's size counts whatever it holds, a smaller one unless links make most of it.
-        parts = {p for p, n in size.items() if 2 * n >= most or 2 * linked[p] <= n}
-        return [b.text for i, b in enumerate(found) if not b.off and b.part in parts and i not in lower]
-    return [b.text for i, b in enumerate(found) if not b.off and i not in low and b.linked <= 0.5]
+        parts = {p for p, n in size.items() if n == most or 2 * linked[p] <= n}
+        return [b.text for b in kept if b.part in parts]
+    return [b.text for b in kept if b.linked <= 0.5]
 
 
 def _hash(text: str) -> int:
@@ -182,80 +229,85 @@ def _hash(text: str) -> int:
     return zlib.crc32(data) << 31 ^ zlib.adler32(data)
 
 
-FEATURES = ("host", "page", "kind", "node", "parent", "content")
+BLOCK = "struct<text:string,node:long,parent:long,tag:string,part:int,linked:double,off:boolean,content:long>"
+_FIELDS = [("text", pa.string()), ("node", pa.int64()), ("parent", pa.int64()), ("tag", pa.string()), ("part", pa.int32()), ("linked", pa.float64()), ("off", pa.bool_()), ("content", pa.int64())]
 
 
-def _features(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """A row for each block that could be text, and for each container's presentation."""
-    rows: list[tuple] = []
-    for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+def _parse(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Each page's blocks, and a number that pages of one headline share."""
+    keys, ends, cols = [], [0], {k: [] for k, _ in _FIELDS}
+    for page in batch.column("html").to_pylist():
         found = blocks(page or "")
         head = next((b.text for b in found if b.tag == "h1" and not b.off), None)
-        key = _hash(head if head is not None else "\n".join(b.text for b in found))
-        shapes: dict[int, list[Block]] = {}
+        keys.append(_hash(head if head is not None else "\n".join(b.text for b in found)))
         for b in found:
-            if b.off:
-                continue
-            shapes.setdefault(b.parent, []).append(b)
-            rows.append((host, key, 0, _hash(b.path), _hash(b.path.rpartition("/")[0]), _hash(b.text)))
-        for of in shapes.values():
-            node = _hash(of[0].path.rpartition("/")[0])
-            rows.append((host, key, 1, node, node, _hash(" ".join(b.tag for b in of))))
-    kinds = {"host": pa.string(), "kind": pa.int32()}
-    cols = dict(zip(FEATURES, zip(*rows, strict=True), strict=True)) if rows else {k: [] for k in FEATURES}
-    return pa.record_batch({k: pa.array(v, kinds.get(k, pa.int64())) for k, v in cols.items()})
-
-
-def style_tree(pages: DataFrame, least: float = 0.3, sure: float = 0.05, decay: float = 0.9, pages_needed: int = 4) -> DataFrame:
-    """host, node, content, importance of the contents of low importance; ``pages`` has host, row and html."""
-    fields = "host string, page long, kind int, node long, parent long, content long"
-    rows = pages.filter("host != ''").mapInArrow(by_slice("html", _features), fields)
-    # One row for each distinct page (headline) with a content at a node.
-    once = rows.groupBy("host", "kind", "node", "parent", "content", "page").agg(F.lit(1).alias("one"))
+            for k, v in cols.items():
+                v.append(_hash(b.text) if k == "content" else getattr(b, k))
+        ends.append(len(cols["text"]))
+    items = pa.StructArray.from_arrays([pa.array(cols[k], t) for k, t in _FIELDS], names=[k for k, _ in _FIELDS])
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)
+    return pa.record_batch([*(batch.column(c) for c in batch.schema.names if c != "html"), pa.array(keys, pa.int64()), lists], names=[*(c for c in batch.schema.names if c != "html"), "page", "blocks"])
+
+
+def style_tree(pages: DataFrame, least: float = 0.3, sure: float = 0.05, decay: float = 0.9) -> DataFrame:
+    """host, node, content, whole, own of the contents of low importance; ``pages`` has host, page and blocks."""
+    known = pages.filter("host != ''")
+    flat = known.select("host", "page", F.explode("blocks").alias("b"))
+    text = flat.select("host", "page", F.lit(0).alias("kind"), "b.node", "b.parent", "b.content")
+    # A container's presentation: the tags of its blocks in page order.
+    shapes = known.select("host", "page", F.explode(F.array_distinct(F.transform("blocks", lambda b: b["parent"]))).alias("parent"), "blocks")
+    shape = F.xxhash64(F.array_join(F.transform(F.filter("blocks", lambda b: b["parent"] == F.col("parent")), lambda b: b["tag"]), " "))
+    shapes = shapes.select("host", "page", F.lit(1).alias("kind"), F.col("parent").alias("node"), "parent", shape.alias("content"))
+    once = text.union(shapes).distinct()
     shared_by = once.groupBy("host", "kind", "node", "parent", "content").agg(F.count(F.lit(1)).alias("k"))
     shared_by = shared.settle(shared_by.filter("k > 1 or kind = 1"), "contents")
-    pages_with = shared.settle(rows.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") >= pages_needed), "hosts")
-    worth = shared_by.join(pages_with, "host").withColumn("imp", 1 - F.log("k") / F.log("m"))
-    shape = worth.filter("kind = 1").groupBy("host", F.col("node").alias("parent")).agg((F.sum(F.col("k") * F.col("imp")) / F.sum("k")).alias("shape"), F.count(F.lit(1)).alias("l"))
-    text = worth.filter("kind = 0 and k > 1").join(shape, ["host", "parent"], "left")
+    pages_of = shared.settle(known.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("m")), "hosts")
+    worth = shared_by.join(pages_of, "host").withColumn("own", 1 - F.log("k") / F.log(F.col("m") + UNSEEN))
+    shape = worth.filter("kind = 1").groupBy("host", "parent").agg((F.sum(F.col("k") * F.col("own")) / F.sum("k")).alias("shape"), F.count(F.lit(1)).alias("l"))
+    text = worth.filter("kind = 0").join(shape, ["host", "parent"], "left")
     weight = F.pow(F.lit(decay), F.least(F.coalesce("l", F.lit(0)), F.lit(3)))
-    whole = (1 - weight) * F.coalesce("shape", F.lit(0)) + weight * F.col("imp")
-    return text.select("host", "node", "content", whole.alias("importance"), F.col("imp").alias("own")).filter((F.col("importance") < least) | (F.col("own") < sure))
-
-
-def _places(batch: pa.RecordBatch) -> pa.RecordBatch:
-    cols = {k: [] for k in ("host", "row", "place", "node", "content")}
-    for host, row, page in zip(batch.column("host").to_pylist(), batch.column("row").to_pylist(), batch.column("html").to_pylist(), strict=True):
-        for i, b in enumerate(blocks(page or "")):
-            if not b.off:
-                for k, v in (("host", host), ("row", row), ("place", i), ("node", _hash(b.path)), ("content", _hash(b.text))):
-                    cols[k].append(v)
-    kinds = {"host": pa.string(), "place": pa.int32()}
-    return pa.record_batch({k: pa.array(v, kinds.get(k, pa.int64())) for k, v in cols.items()})
+    whole = (1 - weight) * F.coalesce("shape", F.lit(0)) + weight * F.col("own")
+    return text.select("host", "node", "content", whole.alias("whole"), "own").filter((F.col("whole") < least) | (F.col("own") < sure))
 
 
 def extract(pages: DataFrame, keep: list[str], html: str = "html", url: str = "url", least: float = 0.3, sure: float = 0.05) -> DataFrame:
     """The ``keep`` columns of each page, text and n_chars."""
+    with shared.scratch(pages.sparkSession) as hold:
+        out = shared.settle(_extracted(pages, keep, html, url, least, sure), "text")
+        hold(out)
+    return out
+
+
+def _extracted(pages: DataFrame, keep: list[str], html: str, url: str, least: float, sure: float) -> DataFrame:
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
-    rows = pages.select(*keep, F.col(html).alias("__html"), host.alias("__host"), F.xxhash64(F.col(url), F.col(html)).alias("__row"))
-    flat = rows.select(F.col("__host").alias("host"), F.col("__row").alias("row"), F.col("__html").alias("html"))
-    low = shared.settle(style_tree(flat, least, sure), "low")
-    if low.isEmpty():
-        marked = rows.withColumn("__low", F.lit(None).cast("array<struct<place:int,own:double>>"))
-    else:
-        at = flat.filter("host != ''").mapInArrow(by_slice("html", _places), "host string, row long, place int, node long, content long")
-        hit = at.join(low, ["host", "node", "content"]).select("row", "place", "own").distinct()
-        hit = hit.groupBy("row").agg(F.collect_list(F.struct("place", "own")).alias("__low"))  # as many as a page has blocks
-        marked = rows.join(shared.settle(hit, "hits").withColumnRenamed("row", "__row"), "__row", "left")
+    # The columns to keep go by number, so that their names can't clash.
+    own = {f"k{i}": c for i, c in enumerate(keep)}
+    rows = pages.select(*(F.col(c).alias(k) for k, c in own.items()), F.col(html).alias("html"), host.alias("host"), F.xxhash64(F.col(url), F.col(html)).alias("row"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "html")
+    read = shared.settle(rows.mapInArrow(by_slice("html", _parse), f"{kinds}, page long, blocks array<{BLOCK}>"), "blocks")
+    low = shared.settle(style_tree(read, least, sure), "low")
+    # A host may have a third of all pages, and each of them its template: its contents meet them in parts.
+    salts = 16
+    salted = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    at = read.filter("host != ''").select("host", "row", F.pmod("row", F.lit(salts)).cast("int").alias("salt"), F.posexplode("blocks").alias("place", "b")).select("host", "row", "salt", "place", "b.node", "b.content")
+    hit = at.join(salted, ["host", "salt", "node", "content"]).groupBy("row", "place").agg(F.first(F.struct("whole", "own")).alias("w"))
+    hit = hit.groupBy("row").agg(F.collect_list(F.struct("place", "w.whole", "w.own")).alias("low"))  # as many as a page has blocks
+    marked = read.join(shared.settle(hit, "hits"), "row", "left").select(*own, "blocks", "low")
+    fields = [k for k, _ in _FIELDS if k != "content"]
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
-        for page, marks in zip(batch.column("__html").to_pylist(), batch.column("__low").to_pylist(), strict=True):
-            marks = marks or []
-            lower = frozenset(x["place"] for x in marks if x["own"] < sure)
-            out.append("\n".join(choose(blocks(page or ""), frozenset(x["place"] for x in marks), lower)))
+        for found, marks in zip(batch.column("blocks").to_pylist(), batch.column("low").to_pylist(), strict=True):
+            found = [Block(*(b[k] for k in fields)) for b in found]
+            out.append("\n".join(choose(found, {x["place"]: (x["whole"], x["own"]) for x in marks or []}, least, sure)))
         text = pa.array(out, pa.string())
-        return pa.record_batch([*(batch.column(c) for c in keep), text, pc.utf8_length(text).cast(pa.int64())], names=[*keep, "text", "n_chars"])
+        return pa.record_batch([*(batch.column(c) for c in own), text, pc.utf8_length(text).cast(pa.int64())], names=[*own, "text", "n_chars"])
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                yield make(batch.slice(start, 256))
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*keep).schema)
-    return marked.select(*keep, "__html", "__low").mapInArrow(by_slice("__html", make), f"{kinds}, text string, n_chars long")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in marked.select(*own).schema)
+    out = marked.mapInArrow(run, f"{kinds}{', ' if own else ''}text string, n_chars long")
+    return out.select(*(F.col(k).alias(c) for k, c in own.items()), "text", "n_chars")
