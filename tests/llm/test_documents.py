@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.common import ODD, empty, frame, prose, words
-from tidelog.llm import bpe, langid, lm, packing, pii, queries
+from tidelog.llm import bpe, langid, lm, packing, pii, queries, text
 
 P = pytest.importorskip("public_tokenizers")
 
@@ -50,6 +50,44 @@ def test_language_id_of_odd_texts(spark, docs):
     assert langid.predict(empty(spark), model, ["doc_id"]).count() == 0
 
 
+def test_language_id_equals_plain_centroids(spark, docs, texts):
+    """TF-IDF of byte n-grams and cosines with each centroid, in plain Python."""
+    model = langid.fit(docs)
+
+    def vector(t):
+        folded = re.sub(rb"[\x00-\x40\x5b-\x60\x7b-\x7f]+", b" ", t.encode().lower() if t.isascii() else bytes(c + 32 if 65 <= c <= 90 else c for c in t.encode()))
+        tf = Counter()
+        for n, odd in ((2, 0x9E3779B1), (3, 0x85EBCA77)):
+            for i in range(len(folded) - n + 1):
+                x = 0
+                for c in folded[i : i + n]:
+                    x = (x * 257 + c) % 2**32
+                tf[(x * odd % 2**32) >> 19] += 1
+        w = {k: (1 + math.log(c)) * model.idf[k] for k, c in tf.items()}
+        size = math.sqrt(sum(x * x for x in w.values())) or 1.0
+        return {k: x / size for k, x in w.items()}
+
+    got = {r["doc_id"]: r for r in langid.predict(docs, model, ["doc_id"]).collect()}
+    for i, t in texts[:40] + texts[-len(ODD) :]:
+        if not re.search(r"[^\W\d_]", t or ""):
+            continue
+        w = vector(t)
+        near = [sum(x * float(c[k]) for k, x in w.items()) for c in model.centroids]
+        best = max(near)
+        assert got[i]["score"] == pytest.approx(min(1, max(0, best)), abs=1e-4)
+        assert near[model.langs.index(got[i]["lang_pred"])] <= best + 1e-9
+        assert max(n for n, name in zip(near, model.langs) if name == got[i]["lang_pred"]) == pytest.approx(best, abs=1e-4)
+
+
+def test_many_short_rows_are_weighed_in_parts(spark, docs):
+    model, n = langid.fit(docs), []
+    batch = pa.record_batch([pa.array(["ab cd"] * 5000)], names=["text"])
+    run = text.by_slice("text", lambda b: n.append(b.num_rows) or b, langid.SLICE, langid.ROWS)
+    assert sum(b.num_rows for b in run([batch])) == 5000 and max(n) == langid.ROWS
+    names = frame(spark, ["le chat est sur la table"] * 3).withColumnRenamed("key", "__text")
+    assert langid.predict(names, model, ["doc_id", "__text"]).count() == 3
+
+
 def test_foreign_script_is_rejected(spark, docs):
     model = langid.fit(docs)
     (r,) = langid.predict(frame(spark, ["цкщ фывжэ хъщз юбьт " * 30]), model, ["doc_id"]).collect()
@@ -113,10 +151,19 @@ PII_TEXTS = [
     "amex card: 378282246310005.",
     "+49 (30) 123-4567 call +1 2 +123456789012345678 +1-(202).555 0147.",
     "IBAN DE89 3704 0044 0532 0130 00 and DE89370400440532013001 ssn 123-45-6789 000-12-3456 or 987-65-4321",
-    "é 😀 a@b.cc +4912345678", "1" * 3000, "a" * 3000 + "@", "1.2.3." * 400,
+    "é 😀 a@b.cc +4912345678", "1" * 3000, "a" * 3000 + "@", "1.2.3." * 400, "12.34.5.6.7.8.9.10.11 1..2.3.4.5 1.2.3.4444",
 ]
 
 
+@pytest.mark.parametrize("text", ["7" * 400_000, "7." * 200_000, "1.2.3." * 100_000, "a" * 400_000 + "@", "@" * 200_000, "+1(" * 100_000, "1 2-" * 100_000, "AB12 " * 80_000])
+def test_pii_takes_linear_time(text):
+    import time
+
+    began = time.perf_counter()
+    pii.find(text)
+    assert time.perf_counter() - began < 10
+
+
 def test_pii_base_spans(spark):
     texts = ODD + PII_TEXTS
     got = {r["doc_id"]: r["found"] for r in pii.scan(frame(spark, texts)).collect()}

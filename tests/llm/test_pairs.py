@@ -259,6 +259,19 @@ def test_exact_topk(spark, block, query_block, parts):
     assert sorted(map(tuple, got)) == want
 
 
+def test_exact_topk_resolves_what_the_ranges_ship(spark):
+    """Of 2,000 vectors in clusters, few pairs pass the cutoff's share; the result is among them."""
+    r = np.random.default_rng(8)
+    centres = r.normal(size=(40, 32))
+    rows = [(i, [float(x) for x in centres[i % 40] + 0.1 * r.normal(size=32)]) for i in range(2000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    three = topk.TopK(df, F.col("vec_id") % 50 == 0, 5, 4, "vec_id", "embedding", 512, 16)
+    out = three.run().join(three.rows.select("vec_id", "row"), "vec_id")
+    assert out.count() == 40 * 5 and out.join(three.entries, ["query_id", "row"], "left_anti").count() == 0
+    assert three.listed.count() <= 40 * 4 * 5
+    assert three.entries.count() < 0.35 * 40 * 2000
+
+
 def test_exact_topk_of_few_and_huge(spark):
     rows = [(0, [1e30, -1.0]), (50, [2.0, 3.0]), (51, [1.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")

@@ -27,7 +27,10 @@ its regions are small or settled:
 Pairs are verified on whole sets of 64-bit shingle hashes, so results are exact but for
 hash collisions; documents with equal sets are one, known by a 64-bit hash of the set. A document
 without words links with nothing. Rows without doc_id are left out, and of several rows
-with one doc_id each counts; the id is returned once with its largest set size.
+with one doc_id each counts; the id is returned once with its largest set size. Null, empty and short
+texts have the sets that the operator's query defines; a very long text is a slice and a set of its own. Of equally
+small ids and equally rare elements the smaller hash comes first, which changes no result. Only the key and the
+text are read, so other columns may have any names.
 """
 
 from __future__ import annotations

@@ -10,9 +10,11 @@ where its distance passes its language's radius or it has no letter. The radius
 quantile of the cosines of labelled rows held back from the centroids; as a short text has a small
 cosine in any language, texts of fewer than ``FULL`` distinct n-grams need less of it, by the square root.
 
-Null and empty texts, and texts without a letter, get ``und``, score 0 and are rejected.
+Null and empty texts, and texts without a letter, get ``und``, score 0 and are rejected. Whole texts are
+read, however long; memory is bounded by the longest and by SLICE bytes and ROWS rows of others.
 Without training rows every text is ``und``. Of equally near centroids the first language
-in alphabetical order wins. Repeated rows are predicted each.
+in alphabetical order wins. Repeated rows are predicted each. The ``keep`` columns may have any names.
+Rows without doc_id belong to the training rows.
 """
 
 from __future__ import annotations
@@ -25,10 +27,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import by_slice
+from .text import by_slice, slices
 
 DIMS = 8192
 FULL = 100
+SLICE, ROWS = 400_000, 512  # bytes of text and rows that are weighed at once, which bounds a task's matrix
 _LETTER = r"\p{L}"
 _KEEP = np.full(256, 32, np.uint8)
 _KEEP[97:123] = np.arange(97, 123)
@@ -74,10 +77,8 @@ def grams(texts: pa.Array):
 def _frequencies(batches):
     """mapInArrow: each task's document frequencies; bucket -1 is the number of documents."""
     df, n = np.zeros(DIMS, np.int64), 0
-    from .text import slices
-
     for batch in batches:
-        for part in slices(batch, "text", 400_000):
+        for part in slices(batch, "text", SLICE, ROWS):
             df += np.bincount(grams(part.column("text"))[1], minlength=DIMS)
             n += part.num_rows
     at = np.flatnonzero(df)
@@ -128,12 +129,14 @@ class Model:
         return lang, score.astype(np.float64), ~letters | (score < self.least[at] * share)
 
 
-def fit(train: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 400, clusters: int = 4, reach: float = 0.7, low: float = 0.01) -> Model:
-    """Fits on the rows of ``train`` with a language and a letter. ``per_language`` bounds the
+def fit(train: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 400, most_languages: int = 1000, clusters: int = 4, reach: float = 0.7, low: float = 0.01) -> Model:
+    """Fits on the rows of ``train`` with a language and a letter. Of more than ``most_languages`` labels the most
+    frequent are learned, so that dirty labels can't fill the driver. ``per_language`` bounds the
     sample that centroids are fitted on (twice that is held at most), a fifth of which is held back for
     the radius if there are 200 rows; a text needs ``reach`` of the cosine that a share ``low`` of them stays below."""
     train = train.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.col(key).alias("key")).filter(F.col("lang").isNotNull() & F.col("text").rlike(_LETTER))
-    counts = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    per = train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages)
+    counts = {r["lang"]: r["n"] for r in per.collect()}
     df = np.zeros(DIMS)
     n = 0
     for r in train.select("text").mapInArrow(_frequencies, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
@@ -143,17 +146,16 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", key: str = "do
             df[r["bucket"]] = r["n"]
     idf = np.log((1 + n) / (1 + df)) + 1
     draw = F.pmod(F.xxhash64("key"), F.lit(1_000_000))
-    rate = F.lit(0)
-    for name, c in sorted(counts.items()):
-        rate = F.when(F.col("lang") == name, F.lit(int(1_000_000 * min(1.0, 1.5 * per_language / c)) + 1)).otherwise(rate)
-    sample = train.filter(draw < rate).select("lang", "text")
+    rates = [(name, int(1_000_000 * min(1.0, 1.5 * per_language / c)) + 1) for name, c in sorted(counts.items())]
+    rates = train.sparkSession.createDataFrame(rates, "lang string, rate long")  # most_languages rows at most
+    sample = train.join(F.broadcast(rates), "lang").filter(draw < F.col("rate")).select("lang", "text")
 
     def vectors(batch: pa.RecordBatch) -> pa.RecordBatch:
         w = _weights(batch.column("text"), idf)
         return pa.record_batch([batch.column("lang"), pa.array([r.astype("<f2").tobytes() for r in w], pa.binary())], names=["lang", "vec"])
 
     seen: dict[str, list[bytes]] = {name: [] for name in counts}
-    rows = sample.mapInArrow(by_slice("text", vectors, 400_000), "lang string, vec binary")
+    rows = sample.mapInArrow(by_slice("text", vectors, SLICE, ROWS), "lang string, vec binary")
     for r in rows.toLocalIterator():
         if len(seen[r["lang"]]) < 2 * per_language:
             seen[r["lang"]].append(bytes(r["vec"]))
@@ -179,14 +181,16 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text",
     """The ``keep`` columns of each row, and lang_pred, score, rejected, their names after ``prefix``."""
 
     def label(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lang, score, out = model.predict(batch.column("__text"))
-        return pa.record_batch([*(batch.column(c) for c in keep), pa.array(lang, pa.string()), pa.array(score), pa.array(out)], names=[*keep, *names])
+        lang, score, out = model.predict(batch.column("text"))
+        return pa.record_batch([*(batch.column(c) for c in own), pa.array(lang, pa.string()), pa.array(score), pa.array(out)], names=[*own, "lang", "score", "out"])
 
     names = [prefix + n for n in ("lang_pred", "score", "rejected")]
-    frame = docs.select(*keep, F.col(text).alias("__text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return frame.mapInArrow(by_slice("__text", label, 400_000), f"{kinds}, `{names[0]}` string, `{names[1]}` double, `{names[2]}` boolean")
+    own = {f"k{i}": c for i, c in enumerate(keep)}  # by number, so that their names can't clash
+    frame = docs.select(*(F.col(c).alias(k) for k, c in own.items()), F.col(text).alias("text"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in frame.schema if f.name != "text")
+    out = frame.mapInArrow(by_slice("text", label, SLICE, ROWS), f"{kinds}{', ' if own else ''}lang string, score double, out boolean")
+    return out.select(*(F.col(k).alias(c) for k, c in own.items()), *(F.col(c).alias(n) for c, n in zip(("lang", "score", "out"), names, strict=True)))
 
 
 def held_out(key: Column) -> Column:
-    return F.pmod(F.crc32(key.cast("string")), F.lit(5)) == 0
+    return F.coalesce(F.pmod(F.crc32(key.cast("string")), F.lit(5)) == 0, F.lit(False))

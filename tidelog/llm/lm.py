@@ -263,4 +263,4 @@ def _scored(rows: DataFrame, answered: DataFrame, kind: str, order: int, mu: flo
 
 
 def held_out(key: Column) -> Column:
-    return F.pmod(F.crc32(key.cast("string")), F.lit(7)) == 2
+    return F.coalesce(F.pmod(F.crc32(key.cast("string")), F.lit(7)) == 2, F.lit(False))

@@ -11,11 +11,14 @@ costs a tile as many rows as it has vectors. Equal vectors are one vector with a
 Vectors that are null, empty, zero or hold null or non-finite components link with nothing; nor
 do vectors of unlike length. A repeated vec_id is compared once for each row and returned
 once, with the links of all its rows. Rows without vec_id are left out; an empty table
-gives no rows.
+gives no rows. There are no ties: a link is a pair, and the smallest id is kept. Only the ids and vectors are
+read, so other columns may have any names.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -104,12 +107,20 @@ def _tile(threshold: float):
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.95, ids: str = "vec_id", vector: str = "embedding", tile: int = 6000) -> DataFrame:
     """vec_id, n_links, component_id, kept."""
-    spark = vectors.sparkSession
+    with shared.scratch(vectors.sparkSession) as keep:
+        out = shared.settle(_near(vectors, threshold, ids, vector, tile), "near")
+        keep(out)
+    return out
+
+
+def _near(vectors: DataFrame, threshold: float, ids: str, vector: str, tile: int) -> DataFrame:
     rows = vectors.filter(F.col(ids).isNotNull()).select(F.col(ids).cast("long").alias("id"), F.col(vector).alias("vec"))
     units = rows.mapInArrow(_unit, "id long, unit binary")
     # Vectors of one direction share a row; ``reps`` is settled since many tiles read it.
     reps = shared.settle(units.groupBy("unit").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "reps")
-    tiles = max(1, -(-reps.count() // tile))
+    # As many tiles as their size asks for, and of few vectors enough pairs of them for all cores.
+    n, cores = reps.count(), vectors.sparkSession.sparkContext.defaultParallelism
+    tiles = max(1, -(-n // tile), min(math.isqrt(4 * cores) + 1, n // 500))
     placed = reps.withColumn("tile", F.pmod(F.xxhash64("unit"), F.lit(tiles)).cast("int")).withColumn("width", F.length("unit"))
     # A unit's own row is known by (rep): one id may stand for several vectors only if its rows differ.
     other = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("other")

@@ -233,8 +233,9 @@ def pack(pieces: DataFrame, capacity: int = 2048, key: str = "doc_id", per_part:
     by = F.xxhash64(key, "piece", "start")
     n = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()  # at most ``capacity`` rows
     plan = Plan({r["length"]: r["n"] for r in n}, capacity)
-    parts = max(1, sum(r["n"] for r in n) // per_part)
-    placed = pieces.withColumn("part", F.pmod(by, F.lit(parts)).cast("int"))
+    # Each length has parts of about ``per_part`` pieces.
+    parts = pieces.sparkSession.createDataFrame([(r["length"], max(1, r["n"] // per_part)) for r in n], "length long, parts int")
+    placed = pieces.join(F.broadcast(parts), "length").withColumn("part", F.pmod(by, "parts").cast("int"))
     sizes = placed.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
@@ -254,4 +255,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, key: str = "doc_id", per_part:
 
 
 def best_fit(docs: DataFrame, path: str, capacity: int = 2048, key: str = "doc_id", text: str = "text") -> DataFrame:
-    return pack(shared.settle(tokenize(docs, path, capacity, 0, key, text), "pieces"), capacity, key)
+    with shared.scratch(docs.sparkSession) as keep:
+        out = shared.settle(pack(shared.settle(tokenize(docs, path, capacity, 0, key, text), "pieces"), capacity, key), "packed")
+        keep(out)
+    return out

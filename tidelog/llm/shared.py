@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset, as in tests, a folder below the warehouse."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/tidelog_shared"
+    """A new folder in ``spark.checkpoint.dir``. Where that is unset a local master, as in tests, gets one below the
+    warehouse; a cluster, whose machines may not share that, gets an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/tidelog_shared"
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -19,22 +26,40 @@ def folder(spark: SparkSession) -> str:
 _WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
+_lock, _writers, _before = threading.Lock(), 0, {}
+
+
+@contextlib.contextmanager
+def _writing(spark: SparkSession):
+    """The settings of _WRITING until the last of the threads that write is done."""
+    global _writers
+    with _lock:
+        _writers += 1
+        if _writers == 1:
+            _before.update({k: spark.conf.get(k, None) for k in _WRITING})
+            for k, v in _WRITING.items():
+                spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        with _lock:
+            _writers -= 1
+            if not _writers:
+                for k, v in _before.items():
+                    spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def settle(df: DataFrame, tag: str = "t") -> DataFrame:
     """The rows of df, written to the shared folder and read again: a lost executor
     then costs the tasks it ran, never the work before the table."""
     spark = df.sparkSession
     path = f"{folder(spark)}-{tag}"
-    before = {k: spark.conf.get(k, None) for k in _WRITING}
-    try:
-        for k, v in _WRITING.items():
-            spark.conf.set(k, v)
+    with _writing(spark):
         df.write.parquet(path)
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out.settled_at = path
-    for made in _scratch[-1:]:
+    made = _scratch.get()
+    if made is not None:
         made.append(out)
     return out
 
@@ -46,18 +71,19 @@ def drop(spark: SparkSession, *tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-_scratch: list[list[DataFrame]] = []
+#: The tables settled in the innermost ``scratch`` of this thread.
+_scratch: contextvars.ContextVar[list[DataFrame] | None] = contextvars.ContextVar("scratch", default=None)
 
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession):
     """Deletes the tables settled inside it at its end, but for those given to the function it yields."""
     made, kept = [], []
-    _scratch.append(made)
+    token = _scratch.set(made)
     try:
         yield kept.append
     finally:
-        _scratch.pop()
+        _scratch.reset(token)
         drop(spark, *(t for t in made if not any(t is k for k in kept)))
-        for outer in _scratch[-1:]:
+        if (outer := _scratch.get()) is not None:
             outer += kept

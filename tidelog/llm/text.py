@@ -110,22 +110,22 @@ LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_
 BEYOND = re.compile("[^\0-ɏ]")
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about ``most`` bytes of text each; a longer text stands alone."""
+def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES, rows: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``most`` bytes of text each and ``rows`` rows at most; a longer text stands alone."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     part = np.concatenate([[0], np.cumsum(size)[:-1]]) // most if len(size) else np.empty(0, np.int64)
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(size)]
     for a, b in zip(cuts, cuts[1:], strict=False):
-        if b > a:
-            yield batch.slice(a, b - a)
+        for at in range(a, b, rows):
+            yield batch.slice(at, min(rows, b - at))
 
 
-def by_slice(column: str, make: Callable[[pa.RecordBatch], pa.RecordBatch], most: int = SLICE_BYTES):
+def by_slice(column: str, make: Callable[[pa.RecordBatch], pa.RecordBatch], most: int = SLICE_BYTES, rows: int = 1 << 20):
     """A mapInArrow function that gives ``make`` bounded parts of each batch."""
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, column, most):
+            for part in slices(batch, column, most, rows):
                 out = make(part)
                 if out is not None and out.num_rows:
                     yield out
