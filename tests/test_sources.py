@@ -135,7 +135,7 @@ def test_command_line_path(spark, tmp_path):
     (tmp_path / "log").mkdir()
     (tmp_path / "log" / "1.jsonl").write_text("\n".join(out) + "\n")
     for _ in range(2):  # the second run finds nothing new
-        cli.main(["apply", str(tmp_path / "log"), str(tmp_path / "t"), "--key", "id", "--columns", "v"])
+        cli.main(["apply", str(tmp_path / "log"), str(tmp_path / "t"), "--schema", "s", "--table", "t", "--key", "id", "--columns", "v"])
     route = Route(spark, str(tmp_path / "t"), ["id"], ["v"])
     assert sorted(tuple(r) for r in route.table.read().select("id", "v").collect()) == [("1", "y"), ("2", "z")]
     assert route.checkpoint()["applied_transactions"] == 3

@@ -49,12 +49,16 @@ def strict_violations(changes: DataFrame, key: list[str], bucket: str, order: li
     return rows.withColumn("rule_code", code).filter("rule_code is not null").drop("live", "__there")
 
 
-def unchanged_carry(changes: DataFrame, key: list[str], bucket: str, order: list[str], column: str, presence: str) -> DataFrame:
+def unchanged_carry(changes: DataFrame, key: list[str], bucket: str, order: list[str], column: str, presence: str, keep_missing: str | None = None) -> DataFrame:
     """Fills ``column`` where its presence is unchanged with the key's last present value. NULLs
-    that were sent count as values. The key must not change within the history."""
+    that were sent count as values. The key must not change within the history. With ``keep_missing``
+    a column of that name says where the history holds no value, so that an older one may fill the gap."""
     sent = F.when(F.col(presence).isin("value", "null"), F.struct(F.col(column).alias("v")))
     out = carried(changes, key, bucket, order, sent, "__last", True)
-    return out.withColumn(column, F.when(F.col(presence) == "unchanged", F.col("__last.v")).otherwise(F.col(column))).drop("__last")
+    unchanged = F.col(presence) == "unchanged"
+    if keep_missing:
+        out = out.withColumn(keep_missing, unchanged & F.col("__last").isNull())
+    return out.withColumn(column, F.when(unchanged, F.col("__last.v")).otherwise(F.col(column))).drop("__last")
 
 
 def key_events(changes: DataFrame, before: list[str], after: list[str], order: list[str]) -> DataFrame:
@@ -79,6 +83,56 @@ def fold(target: DataFrame | None, changes: DataFrame, key: list[str], columns:
     return target.select(*key, *columns).join(last.select(*key), key, "left_anti").unionByName(put)
 
 
+def components_of(moves: DataFrame) -> DataFrame:
+    """(node, component) for the keys (a, b) that changes move rows between: labels are lowered to the least neighbour's
+    until none changes. Moves are few beside the changes of a batch."""
+    from ..storage import settle
+
+    edges = settle(moves.select("a", "b").union(moves.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    label = settle(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("component")))
+    while True:
+        # A key takes the least label around it, and the label of that label.
+        near = edges.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("low"))
+        hop = label.select(F.col("node").alias("component"), F.col("component").alias("far"))
+        lower = label.join(near, "node").join(hop, "component", "left").select("node", F.col("component").alias("was"), F.least("component", "low", "far").alias("component"))
+        after = settle(lower)
+        changed = not after.filter("was != component").isEmpty()
+        label = after.select("node", "component")
+        if not changed:
+            return label
+
+
+def _replay(key: list[str], columns: list[str], strict: bool):
+    """Replays the rows of one component of keys in order: kind 0 are rows of the target, kind 1 changes."""
+
+    def run(rows):
+        import pandas as pd
+
+        state: dict[tuple, dict] = {}
+        out = []
+        for r in rows.sort_values(["kind", "file_no", "pos", "sequence"], kind="stable").to_dict("records"):
+            new, old = tuple(r[k] for k in key), tuple(r[f"old_{k}"] for k in key)
+            if r["kind"] == 0:
+                state[new] = {c: r[c] for c in columns}
+                continue
+            code, op = None, r["operation"]
+            if op == "insert":
+                code = "duplicate_key" if new in state else None
+            else:
+                code = "missing_row" if old not in state else "duplicate_key" if op == "update" and new != old and new in state else None
+            if code and strict:
+                out.append({**r, "rule_code": code})
+                continue
+            before = state.pop(old, {}) if op != "insert" else {}
+            if op != "delete":
+                state[new] = {c: before.get(c) if r[f"presence_{c}"] == "unchanged" else r[c] for c in columns}
+        out += [dict(zip(key, k, strict=True)) | v | {"rule_code": None} for k, v in state.items()]
+        names = [*key, *columns, "file_no", "pos", "sequence", "rule_code"]
+        return pd.DataFrame([{n: o.get(n) for n in names} for o in out], columns=names)
+
+    return run
+
+
 def snapshot_diff(old: DataFrame, new: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
     """Inserts, updates and deletes that turn one snapshot into another; NULLs compare as equal."""
     a = old.select(*key, F.struct(*columns).alias("__old"))

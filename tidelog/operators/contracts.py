@@ -78,8 +78,8 @@ def pg_identity(source: Column, tx_id: Column) -> Column:
 def position_violations(rows: DataFrame, tx: str, file: str, pos: str, begin: str, commit: str) -> DataFrame:
     """Rows out of place: all of a transaction lie in one file, behind its begin, each not before the
     last, and before its commit."""
-    first = F.first(file).over(Window.partitionBy(tx))
     order = Window.partitionBy(tx).orderBy("sequence")
+    first = F.first(file).over(order)  # the file of the row of least sequence
     codes = F.array_compact(
         F.array(
             F.when(F.col(file) != first, "file_changes"),

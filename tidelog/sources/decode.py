@@ -315,10 +315,18 @@ class Decoder:
         return [tx | {"commit": cursor}]
 
 
+#: Statements that set up the control schema itself; nothing may follow them.
+_CONTROL = re.compile(r"CREATE DATABASE IF NOT EXISTS `CDC`(\s+DEFAULT)?(\s+CHARACTER SET \w+)?(\s+COLLATE \w+)?;?|CREATE TABLE IF NOT EXISTS `CDC`\.`log_info`\s*\([^;]*\)[^;()]*;?", re.S)
+
+
 class Binlog(Decoder):
     """ROTATE clears the table map; GTID opens, QUERY BEGIN is its echo, XID or COMMIT closes.
     Row images must be full."""
 
+    def __init__(self, version: str = "8.0") -> None:
+        super().__init__()
+        self.version = version
+
     def feed(self, e: dict) -> list[dict]:
         kind, at = e["kind"], e.get("pos")
         if kind == "ROTATE":
@@ -326,7 +334,7 @@ class Binlog(Decoder):
         elif kind in ("GTID", "ANONYMOUS_GTID"):
             self._begin(e.get("gtid") or f"{self.state['at']}:{at}", [self.state["at"], at])
         elif kind == "QUERY" and e["sql"] not in ("BEGIN", "COMMIT"):
-            if not e["sql"].startswith(("CREATE TABLE IF NOT EXISTS `CDC`.`log_info`", "CREATE DATABASE IF NOT EXISTS `CDC`")):
+            if not _CONTROL.fullmatch(e["sql"].strip()):
                 raise ValueError("source_contract.invalid: statement in a row-based log")
             self.state["tx"] = None
         elif kind == "TABLE_MAP":
@@ -350,7 +358,7 @@ class Binlog(Decoder):
             return None
         out = []
         for i, (c, v) in enumerate(zip(table["columns"], row, strict=True)):
-            value = mysql_value(c["type"], v, c.get("charset"))
+            value = mysql_value(c["type"], v, c.get("charset"), self.version)
             null = value["type"] == "null"
             out.append({"ordinal": i, "name": c["name"], "native_type": c["type"], "primary_key_ordinal": c.get("key"), "generated": c.get("generated", False), "presence": "null" if null else "value", "value": None if null else value})
         return out
