@@ -128,5 +128,45 @@ RULES: dict[str, Callable[[Column, dict], Column]] = {
     "binary_pad": lambda x, p: outcome(F.octet_length(x) <= p["length"], pad_binary(x, p["length"]), "target_capability.binary_length_invalid"),
     "enum": lambda x, p: outcome(enum_fits(x, p["labels"]), x, "target_capability.enum_unknown_label"),
     "set": lambda x, p: outcome(set_fits(x, p["members"]), set_members(x, p["members"]), "target_capability.set_unknown_member"),
-    "local_to_instant": lambda x, p: outcome(F.lit(True), local_to_instant(x, p["offset_seconds"]), ""),
+    "local_to_instant": lambda x, p: outcome(precision_fits(F.unix_micros(x.cast("timestamp")), p.get("precision", 6)), local_to_instant(x, p["offset_seconds"]), "target_capability.temporal_precision_loss"),
+    "json_text": lambda x, p: _json_text(x, p),
+    "logical_value_carrier": lambda x, p: _carried(x, p),
+    "source_representation_carrier": lambda x, p: _enveloped(x, p),
 }
+
+
+def _json_text(x: Column, p: dict) -> Column:
+    from .values import normal_json_text
+
+    text = normal_json_text(x)
+    fits = text_fits(text, p.get("charset", "utf8mb4"), p.get("length"), p.get("unit", "characters"))
+    return F.when(x.isNull(), outcome(F.lit(None).cast("boolean"), text, "")).otherwise(outcome(F.coalesce(fits, F.lit(False)), text, "target_capability.json_normalization_failed"))
+
+
+def _carried(x: Column, p: dict) -> Column:
+    """A logical value as its canonical JSON, for a text column that holds what no type of the target does."""
+    from .values import canonical_value, invalid_value
+
+    text = canonical_value(x)
+    ok = invalid_value(x).isNull() & text.isNotNull()
+    if p.get("length"):
+        ok &= carrier_fits(text, p["length"])
+    return F.when(x.isNotNull(), outcome(F.coalesce(ok, F.lit(False)), text, "target_capability.carrier_invalid"))
+
+
+def _enveloped(x: Column, p: dict) -> Column:
+    """A source representation envelope as JSON with the evidence that it can be read back from."""
+    from ..operators.validate import envelope_rules
+
+    text = F.to_json(x)
+    ok = F.size(envelope_rules(x)) == 0
+    if p.get("length"):
+        ok &= carrier_fits(text, p["length"])
+    return F.when(x.isNotNull(), outcome(F.coalesce(ok, F.lit(False)), text, "target_capability.carrier_invalid"))
+
+
+def read_back(sent: Column, stored: Column) -> Column:
+    """Whether a stored carrier gives the value that was sent, whatever the order of its keys and members."""
+    from .values import canonical_value
+
+    return F.coalesce(canonical_value(sent) == canonical_value(stored), sent.isNull() & stored.isNull())

@@ -11,36 +11,36 @@ _UUID = r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
 
 #: Which logical types a native type's first word may carry; fixed values.
 MYSQL_TYPES = {
-    "integer": "tinyint|smallint|mediumint|int|integer|bigint|bool|boolean",
-    "decimal": "decimal|numeric|dec|fixed",
-    "float": "float|double|real",
-    "text": "char|varchar|tinytext|text|mediumtext|longtext",
-    "binary": "binary|varbinary|tinyblob|blob|mediumblob|longblob",
-    "bit_string": "bit",
-    "date": "date",
-    "local_datetime": "datetime",
-    "instant": "timestamp",
-    "duration": "time",
-    "year": "year",
-    "json": "json",
-    "enum": "enum",
-    "set": "set",
-    "spatial": "geometry|point|linestring|polygon|multipoint|multilinestring|multipolygon|geometrycollection|geomcollection",
+    "integer": ("tinyint", "smallint", "mediumint", "int", "integer", "bigint", "bool", "boolean"),
+    "decimal": ("decimal", "numeric", "dec", "fixed"),
+    "float": ("float", "double", "real"),
+    "text": ("char", "varchar", "tinytext", "text", "mediumtext", "longtext"),
+    "binary": ("binary", "varbinary", "tinyblob", "blob", "mediumblob", "longblob"),
+    "bit_string": ("bit",),
+    "date": ("date",),
+    "local_datetime": ("datetime",),
+    "instant": ("timestamp",),
+    "duration": ("time",),
+    "year": ("year",),
+    "json": ("json",),
+    "enum": ("enum",),
+    "set": ("set",),
+    "spatial": ("geometry", "point", "linestring", "polygon", "multipoint", "multilinestring", "multipolygon", "geometrycollection", "geomcollection"),
 }
 PG_TYPES = {
-    "boolean": "boolean|bool",
-    "integer": "smallint|integer|bigint|int2|int4|int8|oid|xid|cid|xid8",
-    "decimal": "numeric|decimal",
-    "float": "real|double|float4|float8",
-    "text": "text|character|varchar|bpchar|name|char",
-    "binary": "bytea",
-    "uuid": "uuid",
-    "xml": "xml",
-    "bit_string": "bit|varbit",
-    "date": "date",
-    "json": "json|jsonb",
-    "network": "inet|cidr|macaddr|macaddr8",
-    "calendar_interval": "interval",
+    "boolean": ("boolean", "bool"),
+    "integer": ("smallint", "integer", "bigint", "int2", "int4", "int8", "oid", "xid", "cid", "xid8"),
+    "decimal": ("numeric", "decimal"),
+    "float": ("real", "double", "float4", "float8"),
+    "text": ("text", "character", "varchar", "bpchar", "name", "char"),
+    "binary": ("bytea",),
+    "uuid": ("uuid",),
+    "xml": ("xml",),
+    "bit_string": ("bit", "varbit"),
+    "date": ("date",),
+    "json": ("json", "jsonb"),
+    "network": ("inet", "cidr", "macaddr", "macaddr8"),
+    "calendar_interval": ("interval",),
 }
 
 
@@ -50,7 +50,7 @@ def native_agrees(native: Column, kind: Column, vendor: str) -> Column:
     word = F.regexp_extract(F.lower(native), r"^([a-z0-9_]+)", 1)
     out = F.lit(True)
     for logical, names in table.items():
-        out = F.when(word.isin(*names.split("|")), kind.isin(logical, "null", "invalid_temporal", "temporal_infinity", "domain")).otherwise(out)
+        out = F.when(word.isin(*names), kind.isin(logical, "null", "invalid_temporal", "temporal_infinity", "domain")).otherwise(out)
     return out
 
 

@@ -44,16 +44,20 @@ CHARSET_TO = {"ascii": ("ascii", "latin1", "utf8", "utf8mb4", "UTF8"), "latin1":
 
 _TEXT = (Option("target_charset", required=True), Option("target_length", required=True), Option("target_length_unit", ("characters", "bytes"), required=True), Option("target_collation", required=True), Option("policy", ("strict",), "strict"))
 _TIME = (Option("strategy", ("fixed_offset",), required=True), Option("offset", required=True), Option("precision_policy", ("reject",), "reject"))
-_EXACT = {"mysql": "boolean:integer integer decimal float text binary bit_string date local_datetime instant duration year json enum set spatial", "postgresql": "boolean integer decimal float text binary bit_string date local_datetime instant calendar_interval uuid json enum struct array_with_metadata range multi_range map domain xml network spatial"}
+#: What each target family holds exactly: source families by themselves, or (source, target); fixed values.
+_EXACT = {
+    "mysql": (("boolean", "integer"), "integer", "decimal", "float", "text", "binary", "bit_string", "date", "local_datetime", "instant", "duration", "year", "json", "enum", "set", "spatial"),
+    "postgresql": ("boolean", "integer", "decimal", "float", "text", "binary", "bit_string", "date", "local_datetime", "instant", "calendar_interval", "uuid", "json", "enum", "struct", "array_with_metadata", "range", "multi_range", "map", "domain", "xml", "network", "spatial"),
+}
 
 
 def build(connector: str) -> list[Capability]:
     """The capabilities of a target family: exact representations, their range-checked forms for
     targets that are narrower, explicit conversions, and carriers."""
     out = []
-    for pair in _EXACT[connector].split():
-        source, _, target = pair.partition(":")
-        out.append(Capability(f"{connector}.exact.{source}", source, target or source, "exact", "EXACT", "NONE", "contains"))
+    for pair in _EXACT[connector]:
+        source, target = (pair, pair) if isinstance(pair, str) else pair
+        out.append(Capability(f"{connector}.exact.{source}", source, target, "exact", "EXACT", "NONE", "contains"))
     if connector == "mysql":
         out.append(Capability("mysql.exact.uuid", "uuid", "text", "exact", "EXACT", "LOW", "uuid_text", allows_key=False))
     else:

@@ -114,7 +114,11 @@ def _parameters(c: Capability, s: FieldDefinition, t: FieldDefinition, options:
     elif c.rule == "local_to_instant":
         sign, hours, minutes = options["offset"][0], *map(int, options["offset"][1:].split(":"))
         seconds = (hours * 3600 + minutes * 60) * (-1 if sign == "-" else 1)
-        p |= {"offset_seconds": seconds if s.type.family == "local_datetime" else -seconds}
+        p |= {"offset_seconds": seconds if s.type.family == "local_datetime" else -seconds, "precision": 6 if t.type.precision is None else t.type.precision}
+    elif c.rule == "json_text":
+        p |= {"charset": {"UTF8": "utf8mb4"}.get(t.type.charset, t.type.charset or "utf8mb4"), "length": t.type.length, "unit": t.type.unit or "characters"}
+    elif c.carrier:
+        p |= {"length": t.type.length}
     return p
 
 

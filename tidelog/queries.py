@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import model
+from . import model, storage
 from .functions import codec, convert, digest, render, values
-from .operators import apply, assemble, contracts, cursors, project, validate
-from .plans import planner, types
+from .operators import apply, assemble, checks, contracts, cursors, project, validate
+from .plans import manifest, planner, types
+from .sources import catalog, jsonl
 from .streaming import runner
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,7 +74,11 @@ def sequence_violations(spark, sf_dir):
 
 @query("SELECT tx_id, event_id, user_id, operation FROM {changes} WHERE event_type IN ('signup', 'purchase', 'error')")
 def route_projection(spark, sf_dir):
-    return changes(spark, sf_dir).filter(F.col("event_type").isin("signup", "purchase", "error")).select("tx_id", "event_id", "user_id", "operation")
+    """Each event type stands for a table; three are mapped."""
+    rows = changes(spark, sf_dir).withColumn("c", F.struct(F.lit("s").alias("schema"), F.col("event_type").alias("table"), F.col("event_id"), F.col("user_id"), F.col("operation"), F.array(F.struct(F.lit("id").alias("name"))).alias("before"), F.array(F.struct(F.lit("id").alias("name"))).alias("after")))
+    txs = rows.groupBy("tx_id").agg(F.collect_list("c").alias("changes"))  # five to a transaction
+    kept = project.project(txs, {("s", t): None for t in ("signup", "purchase", "error")})
+    return kept.select("tx_id", F.explode("changes").alias("c")).select("tx_id", "c.event_id", "c.user_id", "c.operation")
 
 
 @query("SELECT event_id, operation, presence, CASE WHEN presence = 'value' THEN value END AS written, presence = 'value' AS writable FROM {changes}")
@@ -118,17 +123,14 @@ def exactly_once_dedupe(spark, sf_dir):
 
 @query("SELECT event_type AS task, COUNT(DISTINCT tx_id) AS applied_transactions, COUNT(*) AS applied_rows, MAX(file_no) AS file_no, arg_max(pos, file_no * 100000 + pos) AS pos FROM {changes} GROUP BY event_type")
 def checkpoint_counters(spark, sf_dir):
-    per = changes(spark, sf_dir).groupBy("event_type", "tx_id").agg(F.count(F.lit(1)).alias("rows"), F.max(F.struct(*ORDER)).alias("at"))
-    out = per.groupBy(F.col("event_type").alias("task")).agg(F.count(F.lit(1)).alias("applied_transactions"), F.sum("rows").alias("applied_rows"), F.max("at").alias("at"))
-    return out.select("task", "applied_transactions", "applied_rows", "at.file_no", "at.pos")
+    return checks.progress(changes(spark, sf_dir).withColumnRenamed("event_type", "task"), "task", "tx_id", ORDER)
 
 
 @query(
     "SELECT COUNT(*) AS emptied, MAX(last) AS observed FROM (SELECT tx_id, MAX(event_id) AS last, COUNT(*) FILTER (event_type = 'signup') AS kept FROM {changes} GROUP BY tx_id) WHERE kept = 0"
 )
 def filtered_observe(spark, sf_dir):
-    per = changes(spark, sf_dir).groupBy("tx_id").agg(F.max("event_id").alias("last"), F.max((F.col("event_type") == "signup").cast("int")).alias("kept"))
-    return per.filter("kept = 0").agg(F.count(F.lit(1)).alias("emptied"), F.max("last").alias("observed"))
+    return checks.emptied(changes(spark, sf_dir), "tx_id", F.col("event_type") == "signup", "event_id")
 
 
 @query("SELECT event_id, 'binlog.' || lpad(file_no::VARCHAR, 6, '0') AS file, ROW_NUMBER() OVER (ORDER BY file_no, pos) - 1 AS place FROM {changes}")
@@ -198,16 +200,15 @@ def row_locator_probe(spark, sf_dir):
     return project.locator_probe(table(spark, sf_dir, "orders").select("o_orderkey"), target, ["o_orderkey"])
 
 
-@query("SELECT n_nationkey, n_name, 'target_capability.plan_missing_for_column' AS rule_code FROM nation WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey)")
+@query("SELECT n_nationkey, n_name, 'target_capability.plan_missing_for_column' AS rule_code FROM nation WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND s_suppkey % 7 = 0)")
 def plan_coverage(spark, sf_dir):
-    plans = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("n_nationkey")).distinct()
+    plans = table(spark, sf_dir, "supplier").filter("s_suppkey % 7 = 0").select(F.col("s_nationkey").alias("n_nationkey")).distinct()
     return planner.uncovered(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), plans, ["n_nationkey"])
 
 
 @query("SELECT lang, COUNT(*) FILTER (n_chars IS NOT DISTINCT FROM length(text)) AS matched, COUNT(*) FILTER (n_chars IS DISTINCT FROM length(text)) AS mismatched FROM documents GROUP BY lang")
 def generated_verification(spark, sf_dir):
-    same = F.col("n_chars").eqNullSafe(F.char_length("text").cast("long"))
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.sum(same.cast("long")).alias("matched"), F.sum((~same).cast("long")).alias("mismatched"))
+    return checks.generated_mismatches(table(spark, sf_dir, "documents"), ["lang"], F.col("n_chars"), F.char_length("text").cast("long"))
 
 
 @query("SELECT a.s_suppkey AS first_task, b.s_suppkey AS second_task, a.s_nationkey FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey WHERE a.s_acctbal > 5000 AND b.s_acctbal > 5000")
@@ -347,10 +348,45 @@ def sql_script(spark, sf_dir):
     return per.select("n_regionkey", render.script(F.transform("x", lambda s: s["s"])).alias("script"))
 
 
-@query("SELECT n_nationkey, n_name, r_regionkey AS key_ordinal, r_name FROM nation LEFT JOIN (SELECT * FROM region WHERE r_regionkey < 3) ON n_regionkey = r_regionkey")
+@query("SELECT (n_nationkey - 10) AS ordinal, n_name AS name, CASE WHEN n_nationkey % 2 = 0 THEN (n_nationkey - 10) // 2 END AS primary_key_ordinal, n_nationkey % 3 = 0 AS nullable, n_nationkey % 5 = 0 AS generated FROM nation WHERE n_nationkey >= 10")
 def catalog_key_join(spark, sf_dir):
-    keys = table(spark, sf_dir, "region").filter("r_regionkey < 3")
-    return table(spark, sf_dir, "nation").join(keys, F.col("n_regionkey") == F.col("r_regionkey"), "left").select("n_nationkey", "n_name", F.col("r_regionkey").alias("key_ordinal"), "r_name")
+    """Nations from 10 on stand for the columns of a table, the even ones for its key; others belong to another table."""
+    k = F.col("n_nationkey")
+    own = F.when(k >= 10, "t").otherwise("u")
+    columns = table(spark, sf_dir, "nation").select(F.lit("s").alias("table_schema"), own.alias("table_name"), F.col("n_name").alias("column_name"), (k - 9).alias("ordinal_position"), F.lit("int").alias("column_type"), F.when(k % 3 == 0, "YES").otherwise("NO").alias("is_nullable"), F.when(k % 5 == 0, "a + 1").alias("generation_expression"), F.lit(None).cast("string").alias("collation_name"))
+    keys = table(spark, sf_dir, "nation").filter("n_nationkey % 2 = 0").select(F.lit("s").alias("table_schema"), own.alias("table_name"), F.col("n_name").alias("column_name"), F.floor((k - 10) / 2 + 1).cast("int").alias("ordinal_position"), F.lit("PRIMARY").alias("constraint_name"))
+    return catalog.mysql_columns(columns, keys, "s", "t").select("ordinal", "name", "primary_key_ordinal", "nullable", "generated")
+
+
+@query("SELECT COALESCE(a.n_name, i.n_name) AS identity, CASE WHEN i.n_name IS NULL THEN 'Available' WHEN a.n_name IS NULL THEN 'Detected' ELSE 'Installed' END AS status, r_name AS namespace FROM (SELECT * FROM nation WHERE n_nationkey < 15) a FULL JOIN (SELECT * FROM nation WHERE n_nationkey >= 10) i ON a.n_name = i.n_name LEFT JOIN region ON i.n_regionkey = r_regionkey")
+def extension_catalog(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    available = n.filter("n_nationkey < 15").select(F.col("n_name").alias("name"), F.lit("1.0").alias("default_version"))
+    installed = n.filter("n_nationkey >= 10").select(F.col("n_name").alias("extname"), F.lit("1.0").alias("extversion"), F.col("n_regionkey").alias("extnamespace"))
+    names = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("oid"), F.col("r_name").alias("nspname"))
+    return catalog.extensions(available, installed, names).select("identity", "status", "namespace")
+
+
+@query("SELECT n_regionkey AS enumtypid, string_agg(n_name, ',' ORDER BY n_nationkey) AS labels FROM nation GROUP BY n_regionkey")
+def enum_catalog(spark, sf_dir):
+    rows = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("enumtypid"), F.col("n_nationkey").alias("enumsortorder"), F.col("n_name").alias("enumlabel"))
+    return catalog.enum_labels(rows).select("enumtypid", F.array_join("labels", ",").alias("labels"))
+
+
+@query("SELECT n_nationkey AS oid, r_regionkey AS rngsubtype, CASE WHEN n_nationkey = r_regionkey THEN 'range' WHEN n_nationkey = r_regionkey + 10 THEN 'multirange' END AS role FROM nation LEFT JOIN region ON n_nationkey = r_regionkey OR n_nationkey = r_regionkey + 10")
+def range_catalog(spark, sf_dir):
+    ranges = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("rngsubtype"), F.col("r_regionkey").alias("rngtypid"), (F.col("r_regionkey") + 10).alias("rngmultitypid"))
+    return catalog.ranges_of(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("oid")), ranges).select("oid", "rngsubtype", "role")
+
+
+@query("SELECT c_custkey AS type_oid, c_name AS attribute_name, n_name AS class_name, r_name AS namespace_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def attribute_catalog(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    attributes = c.select(F.col("c_custkey").alias("type_oid"), F.col("c_nationkey").alias("class_oid"), F.col("c_name").alias("attribute_name"))
+    types_ = c.select(F.col("c_custkey").alias("type_oid"), F.col("c_custkey").alias("type_name"))
+    classes = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("class_oid"), F.col("n_name").alias("class_name"), F.col("n_regionkey").alias("namespace_oid"))
+    names = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("namespace_oid"), F.col("r_name").alias("namespace_name"))
+    return checks.attribute_types(attributes, types_, names, classes).withColumnRenamed("type_name", "type_oid")
 
 
 _TYPES = [("person", "address"), ("person", "text"), ("address", "text"), ("address", "postcode"), ("postcode", "integer"), ("mood", None), ("team", "person"), ("orphan", "team")]
@@ -366,8 +402,7 @@ def type_closure(spark, sf_dir):
 
 @query("SELECT operation, COUNT(*) FILTER (presence = 'value') AS n_value, COUNT(*) FILTER (presence = 'unchanged') AS n_unchanged, COUNT(*) FILTER (presence = 'unavailable') AS n_unavailable FROM {changes} GROUP BY operation")
 def presence_profile(spark, sf_dir):
-    n = lambda p: F.sum((F.col("presence") == p).cast("long")).alias(f"n_{p}")
-    return changes(spark, sf_dir).groupBy("operation").agg(n("value"), n("unchanged"), n("unavailable"))
+    return checks.presences(changes(spark, sf_dir), ["operation"])
 
 
 @query("SELECT o_orderkey, epoch_us(TRY_CAST(raw AS TIMESTAMP)) AS value_us, CASE WHEN TRY_CAST(raw AS TIMESTAMP) IS NULL THEN raw END AS invalid FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN '0000-00-00 00:00:00' WHEN o_orderkey % 10 = 0 THEN '2024-02-30 01:02:03' ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END AS raw FROM orders)")
@@ -476,6 +511,227 @@ def identity_contract(spark, sf_dir):
     return v.select("version", "id", F.array_join(contracts.mysql_identity(source, F.col("id")), ",").alias("rule_code"))
 
 
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived log as JSON lines with their order in their file."""
+    txs = transactions(spark, sf_dir).withColumn("tx", F.col("id").cast("long"))
+    out = jsonl.lines(txs)
+    return out.select("value", (F.col("tx") * 10 + F.col("sequence")).alias("line_no"), F.floor(F.col("tx") / 80).cast("string").alias("file"), "tx", "sequence")
+
+
+@query("SELECT kind, COUNT(*) AS n, COUNT(DISTINCT tx_id) AS transactions FROM (SELECT tx_id, 'row_change' AS kind FROM {changes} UNION ALL SELECT DISTINCT tx_id, 'transaction_begin' FROM {changes} UNION ALL SELECT DISTINCT tx_id, 'transaction_commit' FROM {changes}) GROUP BY kind")
+def log_scan(spark, sf_dir):
+    """The log through its lines, the format gate and the record schema."""
+    log = jsonl.gate(jsonl.from_lines(log_lines(spark, sf_dir)))
+    return log.filter("format is not null").groupBy(F.col("payload.type").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("transaction.id").alias("transactions"))
+
+
+@query("SELECT tx_id::VARCHAR AS transaction_id, COUNT(*) + 1 AS records FROM {changes} WHERE tx_id % 11 = 3 GROUP BY tx_id")
+def unfinished_transactions(spark, sf_dir):
+    """Every eleventh transaction lacks its commit record."""
+    lines = log_lines(spark, sf_dir).withColumn("last", F.max("sequence").over(Window.partitionBy("tx"))).filter("not (tx % 11 = 3 and sequence = last)")
+    return jsonl.unfinished(jsonl.from_lines(lines.drop("last"))).select("transaction_id", "records")
+
+
+@query(
+    """WITH t AS (SELECT tx_id, COUNT(*) AS n FROM {changes} GROUP BY tx_id)
+       SELECT tx_id::VARCHAR AS transaction_id, 'sequence_gap' AS rule_code, n - 1 AS violations FROM t WHERE tx_id % 9 = 1 UNION ALL SELECT tx_id::VARCHAR, 'change_count_mismatch', 1 FROM t WHERE tx_id % 9 = 1"""
+)
+def stream_rules(spark, sf_dir):
+    """Every ninth transaction lacks its second row: the rest of its sequence is out of step, and its count differs."""
+    lines = log_lines(spark, sf_dir).filter("not (tx % 9 = 1 and sequence = 2)")
+    bad = assemble.stream_violations(jsonl.from_lines(lines))
+    return bad.groupBy("transaction_id", "rule_code").agg(F.count(F.lit(1)).alias("violations"))
+
+
+@query("SELECT tx_id::VARCHAR AS id, 1::BIGINT AS tables, COUNT(*) AS changes FROM {changes} WHERE event_id % 7 <> 3 GROUP BY tx_id HAVING COUNT(*) FILTER (event_id % 7 <> 3) > 0")
+def tables_in_transactions(spark, sf_dir):
+    """Rows without a schema go first; the rest are of one table."""
+    kept = project.project(transactions(spark, sf_dir), {("shop", "users"): None})
+    return checks.tables_of(kept).filter("changes > 0")
+
+
+@query("SELECT event_id, operation, 'id' AS key_columns, operation = 'insert' OR event_id % 11 <> 5 AS full FROM {changes} WHERE operation <> 'delete'")
+def row_locators(spark, sf_dir):
+    """The key of each image in key order, and whether the image is complete: every eleventh update lacks a column."""
+    rows = transactions(spark, sf_dir).select(F.col("id").cast("long").alias("tx"), F.posexplode("changes").alias("i", "c")).filter("c.operation != 'delete'")
+    n = F.col("tx") * 5 + F.col("i")
+    cut = F.when((n % 11 == 5) & (F.col("c.operation") == "update"), F.slice("c.after", 2, 1)).otherwise(F.col("c.after"))
+    keys = F.array_join(F.transform(project.locator(F.col("c.after")), lambda d: d["name"]), ",")
+    return rows.select(n.alias("event_id"), F.col("c.operation").alias("operation"), keys.alias("key_columns"), contracts.full_image(cut).alias("full"))
+
+
+@query(
+    """SELECT rule_code, COUNT(*) AS n FROM (SELECT CASE event_id % 5 WHEN 0 THEN 'after_columns_not_unique' WHEN 1 THEN 'after_key_ordinals_invalid' WHEN 2 THEN 'after_key_value_missing' WHEN 3 THEN 'after_presence_invalid' END AS rule_code FROM {changes} WHERE operation = 'update' AND event_id % 11 <> 5 AND event_id % 7 <> 3)
+       WHERE rule_code IS NOT NULL GROUP BY rule_code UNION ALL SELECT 'update_definitions_differ', COUNT(*) FROM {changes} WHERE operation = 'update' AND event_id % 11 <> 5 AND event_id % 7 <> 3 AND event_id % 5 IN (0, 1, 4)"""
+)
+def image_rules(spark, sf_dir):
+    """Updates whose after-image breaks one rule each, by their number: a name twice, keys not from 0, a key that
+    isn't sent, a presence of the other image, and a column of another collation."""
+    rows = transactions(spark, sf_dir).select(F.col("id").cast("long").alias("tx"), F.posexplode("changes").alias("i", "c")).filter("c.operation = 'update'")
+    n = F.col("tx") * 5 + F.col("i")
+    key, other = F.col("c.after")[0], F.col("c.after")[1]
+    odd = (
+        F.when(n % 5 == 0, F.array(key, other.withField("name", F.lit("id"))))
+        .when(n % 5 == 1, F.array(key.withField("primary_key_ordinal", F.lit(1).cast("long")), other))
+        .when(n % 5 == 2, F.array(key.withField("presence", F.lit("null")).withField("value", F.lit(None).cast("string")), other))
+        .when(n % 5 == 3, F.array(key, other.withField("presence", F.lit("unavailable"))))
+        .otherwise(F.array(key, other.withField("collation", F.lit("utf8mb4_bin"))))
+    )
+    rows = rows.filter((n % 11 != 5) & (n % 7 != 3)).select(F.col("c").withField("after", odd).alias("c"))
+    return rows.select(F.explode(validate.change_rules(F.col("c"))).alias("rule_code")).groupBy("rule_code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT CASE o_orderkey % 4 WHEN 1 THEN 'snapshot_presence_invalid' WHEN 2 THEN 'primary_key_required' WHEN 3 THEN 'snapshot_key_missing' END AS rule_code, COUNT(*) AS n, SUM(o_orderkey)::BIGINT AS rows FROM orders WHERE o_orderkey % 4 <> 0 GROUP BY ALL")
+def snapshot_rules(spark, sf_dir):
+    k = F.col("o_orderkey")
+    datum = lambda name, key, presence: F.struct(F.lit(name).alias("name"), key.cast("long").alias("primary_key_ordinal"), presence.alias("presence"))
+    image = F.array(datum("id", F.when(k % 4 != 2, 0), F.when(k % 4 == 3, "null").otherwise("value")), datum("status", F.lit(None), F.when(k % 4 == 1, "unchanged").otherwise("value")))
+    bad = validate.snapshot_violations(table(spark, sf_dir, "orders").select(k.alias("row_no"), image.alias("image")))
+    return bad.groupBy("rule_code").agg(F.count(F.lit(1)).alias("n"), F.sum("row_no").alias("rows"))
+
+
+def _envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, raw = F.col("c_custkey"), F.col("c_name").cast("binary")
+    e = {
+        "protocol": F.when(k % 5 == 1, "").otherwise("mysql"), "format": F.lit("binary"), "native_type": F.lit("blob"), "payload": codec.to_base64url(raw),
+        "payload_length": F.octet_length(raw) + F.when(k % 5 == 2, 1).otherwise(0), "payload_digest": F.when(k % 5 == 3, "sha256:12").when(k % 5 == 4, digest.bytes_digest(F.encode(F.lit("x"), "UTF-8"))).otherwise(digest.bytes_digest(raw)),
+    }
+    return table(spark, sf_dir, "customer").select("c_custkey", F.struct(*(v.alias(n) for n, v in e.items())).alias("e"))
+
+
+@query(
+    """SELECT 'source_representation.' || r AS rule_code, COUNT(*) AS n FROM customer JOIN (VALUES (1, 'missing_evidence'), (2, 'payload_length_mismatch'), (3, 'invalid_digest'), (3, 'payload_digest_mismatch'), (4, 'payload_digest_mismatch')) v(m, r) ON c_custkey % 5 = m GROUP BY r"""
+)
+def envelope_contract(spark, sf_dir):
+    rows = _envelopes(spark, sf_dir).select(F.explode(validate.envelope_rules(F.col("e"))).alias("rule_code"))
+    return rows.groupBy("rule_code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 5 <> 0 THEN 'target_capability.carrier_invalid' END AS code, c_custkey % 5 = 0 AS stored FROM customer")
+def source_carrier(spark, sf_dir):
+    got = convert.RULES["source_representation_carrier"](F.col("e"), {})
+    return _envelopes(spark, sf_dir).select("c_custkey", got["code"].alias("code"), got["value"].isNotNull().alias("stored"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 6 <> 1 THEN '{"type":"set","value":["' || least(c_mktsegment, c_name) || '","' || greatest(c_mktsegment, c_name) || '"]}' END AS value, CASE WHEN c_custkey % 6 = 1 THEN 'target_capability.carrier_invalid' END AS code, c_custkey % 6 <> 1 AS reads_back FROM customer""")
+def value_carrier(spark, sf_dir):
+    """Sets as their canonical JSON and back; every sixth has a member twice."""
+    member = F.when(F.col("c_custkey") % 6 == 1, F.col("c_name")).otherwise(F.col("c_mktsegment"))
+    sent = F.concat(F.lit('{"value":["'), F.col("c_name"), F.lit('","'), member, F.lit('"],"type":"set"}'))
+    got = convert.RULES["logical_value_carrier"](F.col("sent"), {"length": 200})
+    rows = table(spark, sf_dir, "customer").select("c_custkey", sent.alias("sent")).select("c_custkey", "sent", got.alias("got"))
+    return rows.select("c_custkey", "got.value", "got.code", F.coalesce(convert.read_back(F.col("sent"), F.col("got.value")), F.lit(False)).alias("reads_back"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 10 <> 4 THEN '{"a":1.50,"k":' || json_extract_string(props, '$.k') || '}' END AS value, CASE WHEN event_id % 10 = 4 THEN 'target_capability.json_normalization_failed' END AS code, event_id % 10 <> 4 AS round_trips FROM events""")
+def json_text_rule(spark, sf_dir):
+    """JSON as normal text: keys in order, digits kept; a key that stands twice is refused."""
+    k = F.get_json_object("props", "$.k")
+    raw = F.when(F.col("event_id") % 10 == 4, F.concat(F.lit('{"k":'), k, F.lit(',"k":1}'))).otherwise(F.concat(F.lit('{ "k" : '), k, F.lit(', "a": 1.50 }')))
+    got = convert.RULES["json_text"](F.col("raw"), {"length": 100})
+    rows = table(spark, sf_dir, "events").select("event_id", raw.alias("raw"))
+    return rows.select("event_id", got["value"].alias("value"), got["code"].alias("code"), checks.json_round_trips(F.col("raw")).alias("round_trips"))
+
+
+@query("SELECT event_id, CASE WHEN epoch_us(ts) % 1000000 = 0 THEN epoch_us(ts) - 3600000000 END AS instant_us, CASE WHEN epoch_us(ts) % 1000000 <> 0 THEN 'target_capability.temporal_precision_loss' END AS code FROM events")
+def instant_rule(spark, sf_dir):
+    """Local times one hour east as instants of whole seconds."""
+    got = convert.RULES["local_to_instant"](F.col("ts"), {"offset_seconds": 3600, "precision": 0})
+    return table(spark, sf_dir, "events").select("event_id", F.unix_micros(got["value"]).alias("instant_us"), got["code"].alias("code"))
+
+
+@query(
+    """WITH x AS (SELECT (l_extendedprice * 10)::DECIMAL(12,2) AS p, l_partkey * 100 AS k, l_linestatus || l_returnflag AS s FROM lineitem)
+       SELECT 'p' AS "column", 'target_capability.decimal_overflow' AS code, COUNT(*) AS n FROM x WHERE abs(p) >= 100000 UNION ALL SELECT 'k', 'target_capability.integer_overflow', COUNT(*) FROM x WHERE k > 32767 UNION ALL SELECT 's', 'target_capability.text_length_overflow', COUNT(*) FROM x WHERE length(s) > 1"""
+)
+def planned_conversion(spark, sf_dir):
+    """Line items through the plans of four columns, three of which are narrower in the target."""
+    t, f = types.LogicalType, types.FieldDefinition
+    wide = [f("id", 0, "bigint", t("integer", bits=64, signed=True), False, 0), f("p", 1, "decimal(12,2)", t("decimal", precision=12, scale=2)), f("k", 2, "bigint", t("integer", bits=64, signed=True)), f("s", 3, "varchar(9)", t("text", length=9, unit="characters", charset="utf8mb4"))]
+    narrow = [wide[0], f("p", 1, "decimal(7,2)", t("decimal", precision=7, scale=2)), f("k", 2, "smallint", t("integer", bits=16, signed=True)), f("s", 3, "varchar(1)", t("text", length=1, unit="characters", charset="utf8mb4"))]
+    entries = [c for c in manifest.build("mysql") if c.code != "mysql.explicit.text"]
+    asked = planner.plan_table(wide, narrow, entries)
+    plans = planner.plan_table(wide, narrow, entries, confirmed={p.digest for p in asked})
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_extendedprice") * 10).cast("decimal(12,2)").alias("p"), (F.col("l_partkey") * 100).alias("k"), F.concat("l_linestatus", "l_returnflag").alias("s"))
+    bad = planner.compile_plan(rows, plans).select(F.explode("conversion_failures").alias("f"))
+    return bad.groupBy("f.column", "f.code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT l_returnflag, SUM(l_orderkey)::BIGINT AS total, NULL::VARCHAR AS rule_code FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1 UNION ALL SELECT DISTINCT l_returnflag, NULL::BIGINT, 'integer_overflow' FROM lineitem WHERE l_returnflag = 'R'")
+def overflow_checked_sum(spark, sf_dir):
+    big = F.when(F.col("l_returnflag") == "R", F.lit(2**62)).otherwise(F.col("l_orderkey"))
+    return checks.checked_sum(table(spark, sf_dir, "lineitem").withColumn("x", big), ["l_returnflag"], "x")
+
+
+@query("SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 49)")
+def exists_probe(spark, sf_dir):
+    items = table(spark, sf_dir, "lineitem").filter("l_quantity > 49").select(F.col("l_orderkey").alias("o_orderkey"))
+    return checks.with_matches(table(spark, sf_dir, "orders").select("o_orderkey"), items, ["o_orderkey"])
+
+
+@query("SELECT event_id, epoch_us(ts) AS instant_us, '3e11fa47-71ca-11e1-9e33-c80aa9429562:' || CASE WHEN event_id % 2 = 0 THEN 'tag:' ELSE '' END || event_id AS gtid, hex(props::BLOB) AS round_trip FROM events")
+def wire_codecs(spark, sf_dir):
+    """Unix time texts, transaction ids of binary sources, and base64url there and back."""
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    text = F.concat(F.floor(us / 1_000_000).cast("string"), F.lit("."), F.lpad((us % 1_000_000).cast("string"), 6, "0"))
+    sid = F.unhex(F.lit("3e11fa4771ca11e19e33c80aa9429562"))
+    tag = F.when(F.col("event_id") % 2 == 0, "tag").otherwise("")
+    back = codec.from_base64url(codec.to_base64url(F.col("props").cast("binary")))
+    return table(spark, sf_dir, "events").select("event_id", F.unix_micros(codec.unix_instant(text)).alias("instant_us"), codec.gtid(sid, F.col("event_id"), tag).alias("gtid"), F.hex(back).alias("round_trip"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 5 = 0 THEN 1 - year(o_orderdate) ELSE year(o_orderdate) END AS year, CASE WHEN o_orderkey % 7 <> 0 THEN month(o_orderdate)::INTEGER END AS month, CASE WHEN o_orderkey % 7 <> 0 THEN day(o_orderdate)::INTEGER END AS day, CASE WHEN o_orderkey % 7 = 0 THEN 'infinity' END AS infinity, (o_orderkey % 30)::INTEGER AS months, (o_custkey % 40)::INTEGER AS days, o_custkey % 50 * 60000000 + 1500000 AS microseconds FROM orders")
+def pg_temporal(spark, sf_dir):
+    """Dates with era and infinity, and intervals whose parts stay apart."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    date = F.when(k % 7 == 0, "infinity").otherwise(F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.when(k % 5 == 0, " BC").otherwise("")))
+    interval = F.concat(F.lit("P"), F.floor(k % 30 / 12).cast("string"), F.lit("Y"), (k % 30 % 12).cast("string"), F.lit("M"), (c % 40).cast("string"), F.lit("DT"), (c % 50).cast("string"), F.lit("M1.5S"))
+    return table(spark, sf_dir, "orders").select(k, date.alias("d"), interval.alias("i")).select("o_orderkey", codec.pg_date(F.col("d")).alias("d"), codec.iso_interval(F.col("i")).alias("i")).select("o_orderkey", "d.*", "i.*")
+
+
+def _orders_route(spark: SparkSession) -> runner.Route:
+    import uuid
+
+    return runner.Route(spark, f"{storage.shared_folder(spark)}/route-{uuid.uuid4().hex}", ["id"], ["status", "total"], buckets=16)
+
+
+def _order_changes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Inserts of all orders; and changes of them: every third moves to another key with its status unchanged,
+    every fifth of the others goes, and the rest get another total."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    place = lambda tx: {"tx_id": F.lit(tx), "file_no": F.lit(1).cast("long"), "pos": F.lit(100 * tx).cast("long"), "sequence": k}
+    first = o.select(*(v.alias(n) for n, v in place(1).items()), F.lit("insert").alias("operation"), k.alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("total"))
+    op = F.when((k % 3 != 0) & (k % 5 == 0), "delete").otherwise("update")
+    there = F.when((k % 3 != 0) & (k % 5 == 0), "unavailable")
+    second = o.select(
+        *(v.alias(n) for n, v in place(2).items()), op.alias("operation"), F.when(k % 3 == 0, k + 10_000_000).otherwise(k).alias("id"), k.alias("old_id"),
+        F.lit(None).cast("string").alias("status"), F.coalesce(there, F.lit("unchanged")).alias("presence_status"), F.when(k % 3 != 0, F.col("o_totalprice") + 1).alias("total"), F.coalesce(there, F.when(k % 3 == 0, "unchanged").otherwise("value")).alias("presence_total"),
+    )
+    return first, second
+
+
+_AFTER = "SELECT CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey + 10000000 ELSE o_orderkey END AS id, o_orderstatus AS status, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice ELSE o_totalprice + 1 END AS total FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 5 <> 0"
+
+
+@query(_AFTER)
+def route_apply(spark, sf_dir):
+    """Inserts, their delivery again, and moves, deletes and updates with unchanged columns, through a route."""
+    route = _orders_route(spark)
+    first, second = _order_changes(spark, sf_dir)
+    assert [route.apply(b) for b in (first, first, second, second)] == ["applied", "already_applied", "applied", "already_applied"]
+    return route.table.read().select("id", "status", "total")
+
+
+@query(_AFTER)
+def snapshot_start(spark, sf_dir):
+    """A snapshot and its position in one commit; changes up to it are in it already, later ones follow."""
+    route = _orders_route(spark)
+    first, second = _order_changes(spark, sf_dir)
+    route.snapshot(first, (1, 100))
+    assert [route.apply(b) for b in (first, second)] == ["already_applied", "applied"]
+    return route.table.read().select("id", "status", "total")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scan, assembly, projection and replay in one: the last live row of each user."""
     return replay_latest_state(spark, sf_dir)

@@ -13,18 +13,14 @@ _PAYLOAD = ["type", "change_count", "database", "operation", "schema", "table",
 
 
 def _parsed(lines: DataFrame) -> DataFrame:
-    record = F.from_json("value", _text_schema())
+    # A datum's ``value`` is any JSON; the schema keeps it as its text.
+    record = F.from_json("value", model.RECORD)
     unknown = F.size(F.array_except(F.json_object_keys("value"), F.array(*map(F.lit, _TOP)))) > 0
     unknown |= F.size(F.array_except(F.json_object_keys(F.get_json_object("value", "$.payload")), F.array(*map(F.lit, _PAYLOAD)))) > 0
     out = lines.select("*", record.alias("r"), F.coalesce(unknown, F.lit(True)).alias("unknown_fields"), F.octet_length("value").alias("bytes"))
     return out.select(*[c for c in lines.columns if c != "value"], "bytes", "unknown_fields", "r.*").withColumn("source", _source())
 
 
-def _text_schema():
-    """The record schema; a datum's ``value`` is any JSON, kept as its text."""
-    return model.RECORD
-
-
 def _source() -> Column:
     s = F.col("source")
     return F.struct(s["kind"].alias("kind"), s["version"].alias("version"), F.coalesce(s["id"], s["server_uuid"]).alias("id"))

@@ -176,7 +176,7 @@ class Route:
         rows = self._moved(target, fresh, keys, order)
         cursor = max((head["top"]["file_no"], head["top"]["pos"]), self.observed or (0, 0))
         top = head["top"]
-        after = {"cursor": list(cursor), "prefix": top["prefix"], "last_transaction_id": str(top["tx_id"]), "last_sequence": top["sequence"], "applied_transactions": cp["applied_transactions"] + head["txs"], "applied_rows": cp["applied_rows"] + head["n"], "revision": cp["revision"] + 1}
+        after = {"cursor": list(cursor), "prefix": top["prefix"], "last_transaction_id": str(top["tx_id"]), "last_sequence": top["sequence"], "applied_transactions": cp["applied_transactions"] + head["txs"], "applied_rows": cp["applied_rows"] + head["n"], "revision": cp["revision"] + 1, "phase": "incremental"}
         self.table.commit(rows, after, m["version"] if m else None, touched if m else None)
         self.observed = None
         return "applied"
@@ -201,7 +201,10 @@ class Route:
             rest = target.join(comp.withColumnRenamed("node", "__n"), name == F.col("__n"), "left_anti")
             parts = parts.unionByName(held.select("component", F.lit(0).alias("kind"), *(F.lit(0).cast("long").alias(o) for o in order), F.lit("insert").alias("operation"), *self.key, *(F.col(k).alias(f"old_{k}") for k in self.key), *self.columns, *(F.lit("value").alias(f"presence_{c}") for c in self.columns)))
         kinds = ", ".join(f"`{n}` {fresh.schema[n].dataType.simpleString()}" for n in [*self.key, *self.columns, *order])
-        done = storage.settle(parts.groupBy("component").applyInPandas(apply._replay(self.key, self.columns, self.strict), f"{kinds}, rule_code string"))
+        # A replay takes any number of whole components; some thousand rows at a time, unless one has more.
+        parts = storage.settle(parts)
+        groups = max(1, -(-parts.count() // 5000))
+        done = storage.settle(parts.groupBy(F.pmod(F.xxhash64("component"), F.lit(groups)).alias("g")).applyInPandas(apply._replay(self.key, self.columns, self.strict), f"{kinds}, rule_code string"))
         self._refuse(done.filter("rule_code is not null").orderBy(*order))
         return self._stay(rest, free, order).unionByName(done.select(*self.key, *self.columns))
 
@@ -247,6 +250,25 @@ class Route:
                 self.observed = max(self.observed or (0, 0), tuple(at))
         return done
 
+    def snapshot(self, rows: DataFrame, cursor: tuple[int, int], prefix: str = "") -> int:
+        """Starts an empty target with a consistent snapshot: rows and the position they were read at are one commit, behind
+        which changes go on. A null or repeated key, or a target that has rows, is an error."""
+        from .. import storage
+
+        if self.table.manifest() is not None:
+            raise ValueError("target_apply.constraint_failed: the target isn't empty")
+        rows = storage.settle(rows.select(*self.key, *self.columns))
+        null = F.lit(False)
+        for k in self.key:
+            null |= F.col(k).isNull()
+        self._refuse(rows.filter(null).select(F.lit("snapshot_key_missing").alias("rule_code")))
+        twice = rows.groupBy(*self.key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        self._refuse(twice.select(F.lit("duplicate_key").alias("rule_code")))
+        n = rows.count()
+        cp = self.checkpoint() | {"cursor": list(cursor), "prefix": prefix, "applied_rows": n, "revision": 1, "phase": "incremental"}
+        self.table.commit(rows, cp, None)
+        return n
+
     def resolve(self, tx_id: str, cursor: tuple[int, int]) -> str:
         """What became of a commit whose answer was lost."""
         cp = self.checkpoint()
