@@ -36,7 +36,7 @@ text are read, so other columns may have any names.
 from __future__ import annotations
 
 import math
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +47,7 @@ from . import graph, shared
 from .text import Words, by_slice, combine, lists, mix
 
 SPARE = 2
+ROUNDS = 4  # parts in which cells are counted and sets are compared
 
 
 def ladder(most: int = 1 << 40) -> np.ndarray:
@@ -171,35 +172,49 @@ def _measure(percent: int):
 
 
 def _measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b, linked, n, diff for pairs (a, b, region); with region, a is b's pivot."""
-    left = sets.select(F.col("rep").alias("a"), F.col("set").alias("set_a"))
+    """a, b, linked, n, diff for pairs (a, b, region); with region, a is b's pivot. Sets travel in ROUNDS parts of the
+    pairs, one after the other, which bounds the disk that they take; of the first sides only those that pairs have."""
+    pairs = shared.settle(pairs, "pairs")
+    left = shared.settle(sets.join(pairs.select(F.col("a").alias("rep")).distinct(), "rep", "left_semi").select(F.col("rep").alias("a"), F.col("set").alias("set_a")), "left")
     right = sets.select(F.col("rep").alias("b"), F.col("set").alias("set_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "region", "set_a", "set_b")
-    return shared.settle(both.mapInArrow(_measure(percent), "a long, b long, linked boolean, n long, diff array<long>"), "measured")
+    parts = []
+    for i in range(ROUNDS):
+        turn = F.pmod(F.col("b"), F.lit(ROUNDS)) == i
+        both = pairs.filter(turn).join(left, "a").join(right.filter(turn), "b").select("a", "b", "region", "set_a", "set_b")
+        parts.append(shared.settle(both.mapInArrow(_measure(percent), "a long, b long, linked boolean, n long, diff array<long>"), "measured"))
+    shared.drop(pairs.sparkSession, left, pairs)
+    return reduce(DataFrame.union, parts)
 
 
 def _components(links: DataFrame) -> DataFrame:
     return shared.settle(graph.components(links.select("a", "b")).withColumnRenamed("node", "rep"), "components")
 
 
-def _within_regions(first: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+def _within_regions(star: DataFrame, first: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of members of a region that may link though not both do with its pivot."""
-    named = first.select(F.col("a").alias("pivot"), F.col("b").alias("rep"), (~F.col("linked")).alias("far"), "n", "diff")
-    named = named.join(comp, "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
-    named = shared.settle(named.withColumn("size", F.size("diff")), "region")
+    named = first.select(F.col("a").alias("pivot"), F.col("b").alias("rep"), (~F.col("linked")).alias("far"), "n").join(star.filter("region").select(F.col("a").alias("pivot"), F.col("b").alias("rep")), ["pivot", "rep"])
+    named = shared.settle(named.join(comp, "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component"), "region")
     # A region whose members all link with its pivot, or are one component, is settled.
-    live = named.groupBy("pivot").agg(F.max("far").alias("far"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("far and c0 != c1").select("pivot")
-    spread = named.join(shared.settle(live, "live"), "pivot").select("pivot", "rep", "far", "n", "c", "size", F.explode("diff").alias("element"))
-    often = spread.groupBy("pivot", "element").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
-    met = spread.join(shared.settle(often, "often"), ["pivot", "element"])
-    # Elements of one member alone come first in its order; they only take up places.
-    per = met.groupBy("pivot", "rep", "far", "n", "c", "size").agg(F.sort_array(F.collect_list(F.struct("often", "element"))).alias("order"))
-    per = per.withColumn("alone", F.col("size") - F.size("order"))
-    place = F.col("alone") + F.col("i")
-    # Beyond the radius a partner shares all but n * (1 - t) / t elements or more, within it more than t / (1 + t) of them.
-    most = F.when(F.col("far"), F.least(F.col("size"), F.floor((100 - percent) * F.col("n") / percent) + 1)).otherwise(F.col("size") - F.floor(percent * F.col("size") / (100 + percent)))
-    rows = per.select("pivot", "rep", "far", "n", "c", "size", "alone", F.posexplode("order").alias("i", "o")).withColumn("place", place).filter(F.col("place") < most)
-    rows = shared.settle(rows.select("pivot", F.col("o.element").alias("element"), "rep", "far", "n", "c", "size", "place"), "places")
+    live = shared.settle(named.groupBy("pivot").agg(F.max("far").alias("far"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("far and c0 != c1").select("pivot"), "live")
+    # Only the others' members need their differences.
+    asked = named.join(live, "pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b"), F.lit(True).alias("region"))
+    diffs = _measured(asked, sets, percent).select(F.col("a").alias("pivot"), F.col("b").alias("rep"), "diff")
+    parts = []
+    for i in range(ROUNDS):  # regions don't depend on each other
+        mine = diffs.filter(F.pmod(F.col("pivot"), F.lit(ROUNDS)) == i)
+        spread = mine.select("pivot", "rep", F.explode("diff").alias("element"))
+        often = spread.groupBy("pivot", "element").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
+        met = spread.join(shared.settle(often, "often"), ["pivot", "element"])
+        # Elements of one member alone come first in its order; they only take up places.
+        per = met.groupBy("pivot", "rep").agg(F.sort_array(F.collect_list(F.struct("often", "element"))).alias("order"))
+        per = per.join(named, ["pivot", "rep"]).join(mine.select("pivot", "rep", F.size("diff").alias("size")), ["pivot", "rep"])
+        per = per.withColumn("alone", F.col("size") - F.size("order"))
+        place = F.col("alone") + F.col("i")
+        # Beyond the radius a partner shares all but n * (1 - t) / t elements or more, within it more than t / (1 + t) of them.
+        most = F.when(F.col("far"), F.least(F.col("size"), F.floor((100 - percent) * F.col("n") / percent) + 1)).otherwise(F.col("size") - F.floor(percent * F.col("size") / (100 + percent)))
+        rows = per.select("pivot", "rep", "far", "n", "c", "size", "alone", F.posexplode("order").alias("i", "o")).withColumn("place", place).filter(F.col("place") < most)
+        parts.append(shared.settle(rows.select("pivot", F.col("o.element").alias("element"), "rep", "far", "n", "c", "size", "place"), "places"))
+    rows = reduce(DataFrame.union, parts)
     x = rows.select("pivot", "element", *(F.col(c).alias(f"{c}_a") for c in ("rep", "far", "n", "c", "size", "place")))
     y = rows.select("pivot", "element", *(F.col(c).alias(f"{c}_b") for c in ("rep", "far", "n", "c", "size", "place")))
     room = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
@@ -229,9 +244,13 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
 def _joined(docs: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
     rows = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     prints = shared.settle(rows.mapInArrow(_prints(k, percent), "id long, n long, rep long, sigs array<long>"), "prints")
-    spread = prints.select(F.explode("sigs").alias("cell"), "rep")
-    cells = shared.settle(spread.groupBy("cell").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo != hi").select("cell"), "cells")
-    members = shared.settle(spread.join(cells, "cell").select("cell", "rep").distinct(), "members")
+    parts = []
+    for i in range(ROUNDS):
+        # The signatures of a part, so that no more of them than that are on disk for a shuffle at a time.
+        spread = prints.select(F.explode(F.filter("sigs", lambda c: F.pmod(c, F.lit(ROUNDS)) == i)).alias("cell"), "rep")  # noqa: B023
+        cells = shared.settle(spread.groupBy("cell").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo != hi").select("cell"), "cells")
+        parts.append(shared.settle(spread.join(cells, "cell").select("cell", "rep").distinct(), "members"))
+    members = reduce(DataFrame.union, parts)
     ids = shared.settle(prints.select("id", "n", "rep"), "ids")
     shared.drop(docs.sparkSession, prints)
     # One row's text for each distinct set that shares a cell.
@@ -243,10 +262,11 @@ def _joined(docs: DataFrame, key: str, text: str, k: int, percent: int) -> DataF
     pivots = members.groupBy("cell").agg(F.min("rep").alias("lo"), F.count(F.lit(1)).alias("n"))
     star = members.join(shared.settle(pivots, "pivots"), "cell").filter("rep != lo")
     star = star.groupBy(F.col("lo").alias("a"), F.col("rep").alias("b")).agg((F.max("n") > 2).alias("region"))
-    first = _measured(star, sets, percent)
+    star = shared.settle(star, "star")
+    first = _measured(star.withColumn("region", F.lit(False)), sets, percent)
     links = first.filter("linked").select("a", "b")
     comp = _components(links)
-    more = _measured(_within_regions(first.filter("diff is not null"), comp, percent), sets, percent).filter("linked").select("a", "b")
+    more = _measured(_within_regions(star, first, comp, sets, percent), sets, percent).filter("linked").select("a", "b")
     if not more.isEmpty():
         comp = _components(links.union(more))
     # A component by set hashes becomes the smallest id of its documents.
