@@ -124,6 +124,18 @@ def test_near_join_of_other_thresholds(spark, k, percent):
     assert len(links) > 30 and got == {i: (len(s[i]), comp[i]) for i in s}
 
 
+def test_near_join_of_overlapping_regions(spark):
+    """A cloud around one text, most of it beyond the radius of whichever member is a pivot, so that its regions hold the same members."""
+    texts = [edited(1000 + i, BASES[6], 2 + i % 5) for i in range(160)]
+    grams = lambda t: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if (w := words(t)) else set()
+    s = {i: grams(t) for i, t in enumerate(texts)}
+    links = [(a, b) for b in s for a in range(b) if 100 * len(s[a] & s[b]) >= 80 * len(s[a] | s[b])]
+    comp = roots(s, links)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_components(frame(spark, texts)).collect()}
+    assert got == {i: comp[i] for i in s}
+    assert 10 < len(links) and 10 < len(set(comp.values()))
+
+
 def test_sub_spaces_leave_few_sets_out():
     r = np.random.default_rng(2)
     for percent in (80, 90):

@@ -196,8 +196,13 @@ def _within_regions(star: DataFrame, first: DataFrame, comp: DataFrame, sets: Da
     named = shared.settle(named.join(comp, "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component"), "region")
     # A region whose members all link with its pivot, or are one component, is settled.
     live = shared.settle(named.groupBy("pivot").agg(F.max("far").alias("far"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("far and c0 != c1").select("pivot"), "live")
-    # Only the others' members need their differences.
-    asked = named.join(live, "pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b"), F.lit(True).alias("region"))
+    # Only the others' members need their differences. Regions overlap; a pair is left to the first live one that holds both
+    # (in a settled one they are one component), so each member knows its regions before this one, no more than its cells.
+    inside = named.join(live, "pivot")
+    before = inside.groupBy("rep").agg(F.collect_set("pivot").alias("all"))
+    inside = inside.join(before, "rep").withColumn("before", F.filter("all", lambda p: p < F.col("pivot"))).drop("all")
+    inside = shared.settle(inside, "inside")
+    asked = inside.select(F.col("pivot").alias("a"), F.col("rep").alias("b"), F.lit(True).alias("region"))
     diffs = _measured(asked, sets, percent).select(F.col("a").alias("pivot"), F.col("b").alias("rep"), "diff")
     parts = []
     for i in range(ROUNDS):  # regions don't depend on each other
@@ -207,19 +212,19 @@ def _within_regions(star: DataFrame, first: DataFrame, comp: DataFrame, sets: Da
         met = spread.join(shared.settle(often, "often"), ["pivot", "element"])
         # Elements of one member alone come first in its order; they only take up places.
         per = met.groupBy("pivot", "rep").agg(F.sort_array(F.collect_list(F.struct("often", "element"))).alias("order"))
-        per = per.join(named, ["pivot", "rep"]).join(mine.select("pivot", "rep", F.size("diff").alias("size")), ["pivot", "rep"])
+        per = per.join(inside, ["pivot", "rep"]).join(mine.select("pivot", "rep", F.size("diff").alias("size")), ["pivot", "rep"])
         per = per.withColumn("alone", F.col("size") - F.size("order"))
         place = F.col("alone") + F.col("i")
         # Beyond the radius a partner shares all but n * (1 - t) / t elements or more, within it more than t / (1 + t) of them.
         most = F.when(F.col("far"), F.least(F.col("size"), F.floor((100 - percent) * F.col("n") / percent) + 1)).otherwise(F.col("size") - F.floor(percent * F.col("size") / (100 + percent)))
-        rows = per.select("pivot", "rep", "far", "n", "c", "size", "alone", F.posexplode("order").alias("i", "o")).withColumn("place", place).filter(F.col("place") < most)
-        parts.append(shared.settle(rows.select("pivot", F.col("o.element").alias("element"), "rep", "far", "n", "c", "size", "place"), "places"))
+        rows = per.select("pivot", "rep", "far", "n", "c", "before", "size", "alone", F.posexplode("order").alias("i", "o")).withColumn("place", place).filter(F.col("place") < most)
+        parts.append(shared.settle(rows.select("pivot", F.col("o.element").alias("element"), "rep", "far", "n", "c", "before", "size", "place"), "places"))
     rows = reduce(DataFrame.union, parts)
-    x = rows.select("pivot", "element", *(F.col(c).alias(f"{c}_a") for c in ("rep", "far", "n", "c", "size", "place")))
-    y = rows.select("pivot", "element", *(F.col(c).alias(f"{c}_b") for c in ("rep", "far", "n", "c", "size", "place")))
+    x = rows.select("pivot", "element", *(F.col(c).alias(f"{c}_a") for c in ("rep", "far", "n", "c", "before", "size", "place")))
+    y = rows.select("pivot", "element", *(F.col(c).alias(f"{c}_b") for c in ("rep", "far", "n", "c", "before", "size", "place")))
     room = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
     needed = F.col("size_a") + F.col("size_b") - F.floor((100 - percent) * (F.col("n_a") + F.col("n_b")) / (100 + percent))
-    may = (F.col("rep_a") < F.col("rep_b")) & (F.col("far_a") | F.col("far_b")) & (F.col("c_a") != F.col("c_b")) & (2 * room >= needed)
+    may = (F.col("rep_a") < F.col("rep_b")) & (F.col("far_a") | F.col("far_b")) & (F.col("c_a") != F.col("c_b")) & (2 * room >= needed) & ~F.arrays_overlap("before_a", "before_b")
     return x.join(y, ["pivot", "element"]).filter(may).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), F.lit(False).alias("region")).distinct()
 
 
