@@ -318,3 +318,14 @@ def test_a_common_phrase_beside_a_near_copy(before):
     assert [f[:4] for f in passages.verify(a, b, anchors, 5, 50, 0.8)] == [want]
     pair = passages.Pair(a, b, 5)
     assert pair.similarity(0, len(a), 0, len(b)) < 0.8 <= pair.similarity(*want)
+
+
+def test_every_near_copy_meets(spark):
+    """One edit in the middle of 50 words leaves runs of 25 and 24 words and a similarity of 41 / 51."""
+    texts = []
+    for i in range(400):
+        p = prose(500 + i, 50, 10**6).split()
+        texts += [f"{prose(3 * i + 10000, 20, 10**6)} {' '.join(x)} {prose(3 * i + 50000 + n, 20, 10**6)}" for n, x in enumerate((p, p[:25] + ["edit"] + p[26:]))]
+        texts[-1] = f"{prose(i + 90000, 20, 10**6)} " + texts[-1].split(" ", 20)[20]
+    got = {r["doc_id"] for r in passages.repeated_passages(frame(spark, texts)).collect()}
+    assert got == set(range(1, 800, 2))
