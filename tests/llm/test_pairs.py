@@ -320,6 +320,18 @@ def test_a_common_phrase_beside_a_near_copy(before):
     assert pair.similarity(0, len(a), 0, len(b)) < 0.8 <= pair.similarity(*want)
 
 
+def test_near_copies_beside_smaller_documents_that_hold_a_part(spark):
+    """Two copies of a passage, one with an edit, and two smaller documents that hold a part of it that is no passage."""
+    texts, want = [], set()
+    for i in range(30):
+        p = prose(700 + i, 60, 10**6).split()
+        for n, x in enumerate((p[:36], p[:36], p, p[:40] + ["edit"] + p[41:])):
+            texts.append(f"{prose(10000 + 10 * i + n, 30, 10**6)} {' '.join(x)} {prose(20000 + 10 * i + n, 30, 10**6)}")
+        want.add((4 * i + 3, 4 * i + 2))
+    got = {(r["doc_id"], r["of_doc_id"]) for r in passages.repeated_passages(frame(spark, texts)).collect()}
+    assert got == want
+
+
 def test_every_near_copy_meets(spark):
     """One edit in the middle of 50 words leaves runs of 25 and 24 words and a similarity of 41 / 51."""
     texts = []
@@ -329,3 +341,12 @@ def test_every_near_copy_meets(spark):
         texts[-1] = f"{prose(i + 90000, 20, 10**6)} " + texts[-1].split(" ", 20)[20]
     got = {r["doc_id"] for r in passages.repeated_passages(frame(spark, texts)).collect()}
     assert got == set(range(1, 800, 2))
+
+
+def test_a_settled_member_is_the_partner_of_an_open_one(spark):
+    """A and C link, C and B link, A and B don't: B has its row with C."""
+    p = prose(1, 60, 10**6).split()
+    c, b = p[:30] + ["x"] + p[31:], p[:30] + ["x"] + p[31:45] + ["y"] + p[46:]
+    texts = [f"{prose(10 + n, 40, 10**6)} {' '.join(t)} {prose(20 + n, 40, 10**6)}" for n, t in enumerate((p, c, b))]
+    got = {(r["doc_id"], r["of_doc_id"]) for r in passages.repeated_passages(frame(spark, texts)).collect()}
+    assert got == {(1, 0), (2, 1)}
