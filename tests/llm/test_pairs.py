@@ -1,5 +1,6 @@
 """Operators on pairs against brute force, with nulls, copies, empty tables and hot groups."""
 
+import os
 import random
 from collections import defaultdict
 
@@ -350,3 +351,13 @@ def test_a_settled_member_is_the_partner_of_an_open_one(spark):
     texts = [f"{prose(10 + n, 40, 10**6)} {' '.join(t)} {prose(20 + n, 40, 10**6)}" for n, t in enumerate((p, c, b))]
     got = {(r["doc_id"], r["of_doc_id"]) for r in passages.repeated_passages(frame(spark, texts)).collect()}
     assert got == {(1, 0), (2, 1)}
+
+
+def test_exact_topk_in_rounds_of_queries(spark):
+    """Rounds give what one gives, and leave no entries or lists of theirs behind."""
+    rows, df = vectors(spark, 3)
+    df = df.withColumn("vec_id", F.when(F.col("vec_id") < 150, F.col("vec_id") * 25).otherwise(F.col("vec_id") * 50 + 7))
+    whole = sorted(map(tuple, topk.exact_topk(df, F.col("vec_id") % 50 == 0).collect()))
+    three = topk.TopK(df, F.col("vec_id") % 50 == 0, 5, 2, "vec_id", "embedding", 64, 8, 20)
+    assert three.rounds == 4 and sorted(map(tuple, three.run().collect())) == whole and len(whole) == 75 * 5
+    assert not any(os.path.exists(t.settled_at.removeprefix("file:")) for t in (three.listed, three.cutoff, three.shipped))
