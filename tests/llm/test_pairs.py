@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.common import ODD, SCHEMA, empty, frame, prose, words
-from tidelog.llm import graph, jaccard, near_vectors, passages, topk
+from tidelog.llm import graph, jaccard, near_vectors, passages, shared, topk
 
 
 def roots(nodes, links):
@@ -361,3 +361,33 @@ def test_exact_topk_in_rounds_of_queries(spark):
     three = topk.TopK(df, F.col("vec_id") % 50 == 0, 5, 2, "vec_id", "embedding", 64, 8, 20)
     assert three.rounds == 4 and sorted(map(tuple, three.run().collect())) == whole and len(whole) == 75 * 5
     assert not any(os.path.exists(t.settled_at.removeprefix("file:")) for t in (three.listed, three.cutoff, three.shipped))
+
+
+def test_regions_are_joined_in_rounds_of_bounded_size(spark, monkeypatch):
+    """A round measures about a fourth as many members as there are sets, and leaves nothing but its pairs."""
+    monkeypatch.setattr(jaccard, "FEW", 400)
+    texts = [edited(1000 + i, BASES[6], 2 + i % 5) for i in range(160)]
+    rounds, kept = [], shared.settle
+
+    def settle(df, tag="t"):
+        out = kept(df, tag)
+        if tag in ("measured", "places", "near"):
+            rounds.append((tag, out, out.count()))
+        return out
+
+    monkeypatch.setattr(shared, "settle", settle)
+    measured = jaccard._measured
+
+    def whole(pairs, sets, percent, *least):
+        asked.append(pairs.filter("region").count())
+        return measured(pairs, sets, percent, *least)
+
+    asked = []
+    monkeypatch.setattr(jaccard, "_measured", whole)
+    drops = []
+    drop = shared.drop
+    monkeypatch.setattr(shared, "drop", lambda s, *t: (drops.extend(t), drop(s, *t)))
+    jaccard.near_components(frame(spark, texts))
+    assert sum(n > 0 for n in asked) > 1
+    places = [t for tag, t, _ in rounds if tag == "places"]
+    assert len(places) > 1 and all(any(t is d for d in drops) for t in places)

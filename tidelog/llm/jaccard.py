@@ -47,7 +47,8 @@ from . import graph, shared
 from .text import Words, by_slice, combine, lists, mix
 
 SPARE = 2
-ROUNDS = 4  # parts in which cells are counted and sets are compared
+ROUNDS = 4  # parts in which cells are counted, and at least in which sets are compared
+FEW = 50_000  # sets that are never worth a round less
 
 
 def ladder(most: int = 1 << 40) -> np.ndarray:
@@ -171,19 +172,22 @@ def _measure(percent: int):
     return run
 
 
-def _measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b, linked, n, diff for pairs (a, b, region); with region, a is b's pivot. Sets travel in ROUNDS parts of the
-    pairs, one after the other, which bounds the disk that they take; of the first sides only those that pairs have."""
+def _measured(pairs: DataFrame, sets: DataFrame, percent: int, least: int = ROUNDS) -> DataFrame:
+    """a, b, linked, n, diff for pairs (a, b, region); with region, a is b's pivot. Sets travel in parts of the
+    pairs, one after the other, of no more pairs than there are sets, which bounds the disk that they take; of the first sides only those that pairs have."""
     pairs = shared.settle(pairs, "pairs")
+    turns = max(least, -(-pairs.count() // max(FEW, sets.count())))
     left = shared.settle(sets.join(pairs.select(F.col("a").alias("rep")).distinct(), "rep", "left_semi").select(F.col("rep").alias("a"), F.col("set").alias("set_a")), "left")
     right = sets.select(F.col("rep").alias("b"), F.col("set").alias("set_b"))
     parts = []
-    for i in range(ROUNDS):
-        turn = F.pmod(F.col("b"), F.lit(ROUNDS)) == i
+    for i in range(turns):
+        turn = F.pmod(F.col("b"), F.lit(turns)) == i
         both = pairs.filter(turn).join(left, "a").join(right.filter(turn), "b").select("a", "b", "region", "set_a", "set_b")
         parts.append(shared.settle(both.mapInArrow(_measure(percent), "a long, b long, linked boolean, n long, diff array<long>"), "measured"))
     shared.drop(pairs.sparkSession, left, pairs)
-    return reduce(DataFrame.union, parts)
+    out = reduce(DataFrame.union, parts)
+    out.settled_parts = parts
+    return out
 
 
 def _components(links: DataFrame) -> DataFrame:
@@ -202,30 +206,39 @@ def _within_regions(star: DataFrame, first: DataFrame, comp: DataFrame, sets: Da
     before = inside.groupBy("rep").agg(F.collect_set("pivot").alias("all"))
     inside = inside.join(before, "rep").withColumn("before", F.filter("all", lambda p: p < F.col("pivot"))).drop("all")
     inside = shared.settle(inside, "inside")
+    members = shared.settle(sets.join(inside.select("rep").union(inside.select("pivot")).distinct(), "rep", "left_semi"), "inside_sets")
+    rounds = max(1, -(-4 * inside.count() // max(FEW, sets.count())))
+    # Regions don't depend on each other; a round has differences of a fourth as many members on disk as there are sets.
+    parts = [_shared_parts(inside.filter(F.pmod(F.xxhash64("pivot"), F.lit(rounds)) == i), members, percent) for i in range(rounds)]
+    return reduce(DataFrame.union, parts).select("a", "b", F.lit(False).alias("region")).distinct()
+
+
+def _shared_parts(inside: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of these regions that share enough of their differences to link."""
     asked = inside.select(F.col("pivot").alias("a"), F.col("rep").alias("b"), F.lit(True).alias("region"))
-    diffs = _measured(asked, sets, percent).select(F.col("a").alias("pivot"), F.col("b").alias("rep"), "diff")
-    parts = []
-    for i in range(ROUNDS):  # regions don't depend on each other
-        mine = diffs.filter(F.pmod(F.col("pivot"), F.lit(ROUNDS)) == i)
-        spread = mine.select("pivot", "rep", F.explode("diff").alias("element"))
-        often = spread.groupBy("pivot", "element").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
-        met = spread.join(shared.settle(often, "often"), ["pivot", "element"])
-        # Elements of one member alone come first in its order; they only take up places.
-        per = met.groupBy("pivot", "rep").agg(F.sort_array(F.collect_list(F.struct("often", "element"))).alias("order"))
-        per = per.join(inside, ["pivot", "rep"]).join(mine.select("pivot", "rep", F.size("diff").alias("size")), ["pivot", "rep"])
-        per = per.withColumn("alone", F.col("size") - F.size("order"))
-        place = F.col("alone") + F.col("i")
-        # Beyond the radius a partner shares all but n * (1 - t) / t elements or more, within it more than t / (1 + t) of them.
-        most = F.when(F.col("far"), F.least(F.col("size"), F.floor((100 - percent) * F.col("n") / percent) + 1)).otherwise(F.col("size") - F.floor(percent * F.col("size") / (100 + percent)))
-        rows = per.select("pivot", "rep", "far", "n", "c", "before", "size", "alone", F.posexplode("order").alias("i", "o")).withColumn("place", place).filter(F.col("place") < most)
-        parts.append(shared.settle(rows.select("pivot", F.col("o.element").alias("element"), "rep", "far", "n", "c", "before", "size", "place"), "places"))
-    rows = reduce(DataFrame.union, parts)
+    measured = _measured(asked, sets, percent, 1)
+    diffs = measured.select(F.col("a").alias("pivot"), F.col("b").alias("rep"), "diff")
+    spread = diffs.select("pivot", "rep", F.explode("diff").alias("element"))
+    often = spread.groupBy("pivot", "element").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
+    often = shared.settle(often, "often")
+    met = spread.join(often, ["pivot", "element"])
+    # Elements of one member alone come first in its order; they only take up places.
+    per = met.groupBy("pivot", "rep").agg(F.sort_array(F.collect_list(F.struct("often", "element"))).alias("order"))
+    per = per.join(inside, ["pivot", "rep"]).join(diffs.select("pivot", "rep", F.size("diff").alias("size")), ["pivot", "rep"])
+    per = per.withColumn("alone", F.col("size") - F.size("order"))
+    place = F.col("alone") + F.col("i")
+    # Beyond the radius a partner shares all but n * (1 - t) / t elements or more, within it more than t / (1 + t) of them.
+    most = F.when(F.col("far"), F.least(F.col("size"), F.floor((100 - percent) * F.col("n") / percent) + 1)).otherwise(F.col("size") - F.floor(percent * F.col("size") / (100 + percent)))
+    rows = per.select("pivot", "rep", "far", "n", "c", "before", "size", "alone", F.posexplode("order").alias("i", "o")).withColumn("place", place).filter(F.col("place") < most)
+    rows = shared.settle(rows.select("pivot", F.col("o.element").alias("element"), "rep", "far", "n", "c", "before", "size", "place"), "places")
     x = rows.select("pivot", "element", *(F.col(c).alias(f"{c}_a") for c in ("rep", "far", "n", "c", "before", "size", "place")))
     y = rows.select("pivot", "element", *(F.col(c).alias(f"{c}_b") for c in ("rep", "far", "n", "c", "before", "size", "place")))
     room = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
     needed = F.col("size_a") + F.col("size_b") - F.floor((100 - percent) * (F.col("n_a") + F.col("n_b")) / (100 + percent))
     may = (F.col("rep_a") < F.col("rep_b")) & (F.col("far_a") | F.col("far_b")) & (F.col("c_a") != F.col("c_b")) & (2 * room >= needed) & ~F.arrays_overlap("before_a", "before_b")
-    return x.join(y, ["pivot", "element"]).filter(may).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), F.lit(False).alias("region")).distinct()
+    out = shared.settle(x.join(y, ["pivot", "element"]).filter(may).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct(), "near")
+    shared.drop(inside.sparkSession, *measured.settled_parts, often, rows)
+    return out
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3, percent: int = 90) -> DataFrame:
