@@ -315,3 +315,17 @@ def test_words_after_an_iban(number, after):
     t = f"to {number}{after}"
     got = [t[a:b] for k, a, b, _ in pii.find(t) if k == "iban"]
     assert got == [number] + [after.strip()] * after.startswith(" DE")
+
+
+def test_an_automaton_takes_few_bytes_an_arc():
+    """Lists and a dictionary of a chunk's arcs took an executor's memory."""
+    import tracemalloc
+
+    seq, first = lm.sequences(pa.array([prose(i, 300, 20_000) for i in range(200)]))
+    by_order = lm.grams(seq, first, 2)
+    counts = [np.unique(g[there], return_counts=True)[1].astype(np.uint64) for g, there in by_order]
+    tracemalloc.start()
+    auto, word = lm.machine(by_order, counts, 60_200, 20_000, 20.0)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 100 * len(auto.weight)

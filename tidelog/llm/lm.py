@@ -134,6 +134,25 @@ def _answer(table: pa.Table) -> pa.Table:
     return pa.table({k: pa.array(v, kinds[k]) for k, v in out.items()})
 
 
+class Arcs:
+    """Numbers of arcs by their keys, state << 32 | word, which are sorted when one is first asked for."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.order = keys, None
+
+    def get(self, key: int) -> int | None:
+        if self.order is None:
+            self.order = np.argsort(self.keys)
+            self.keys = self.keys[self.order]
+        i = int(np.searchsorted(self.keys, key))
+        return int(self.order[i]) if i < len(self.keys) and self.keys[i] == key else None
+
+    def __getitem__(self, key: int) -> int:
+        if (at := self.get(key)) is None:
+            raise KeyError(key)
+        return at
+
+
 class Automaton:
     """The states, arcs and failure arcs that a chunk's texts can reach.
 
@@ -145,7 +164,8 @@ class Automaton:
         self.floor = float(np.log(tokens + words + 1.0))
         order, states = len(levels), 1
         self.failure, self.backoff = [np.zeros(1, np.int64)], [np.zeros(1)]
-        keys, weights, targets = [], [], []
+        depths, arcs, keys, weights, targets = [np.zeros(1, np.int8)], 0, [], [], []
+        self.taken = []  # for each level, the arc that reads the n-gram's last word after its history, or -1
         state_of = logp = below = None
         for n, (count, word, suffix, history) in enumerate(levels, 1):
             count = count.astype(np.float64)
@@ -161,41 +181,52 @@ class Automaton:
                 real = np.flatnonzero(count > 0)
                 self.failure.append(lead[real])
                 self.backoff.append(np.log(mu) - np.log(count[real] + mu))
+                depths.append(np.full(len(real), n, np.int8))
                 lead = lead.copy()
                 lead[real] = states + np.arange(len(real))
                 states += len(real)
+            taken = np.full(len(count), -1, np.int64)
+            taken[there] = arcs + np.arange(np.count_nonzero(there))
+            arcs += np.count_nonzero(there)
+            self.taken.append(taken)
             keys.append((source << 32 | word)[there])
             weights.append(logp[there])
             targets.append(lead[there])
             state_of, below = lead, count
         self.states = states
-        self.failure, self.backoff = np.concatenate(self.failure).tolist(), np.concatenate(self.backoff).tolist()
-        self.weight, self.target = np.concatenate(weights).tolist(), np.concatenate(targets).tolist()
-        self.arc = dict(zip(np.concatenate(keys).tolist(), range(len(self.weight)), strict=True))
+        # Arrays read through memoryviews: a chunk has as many arcs as words, and lists of them take ten times the memory.
+        self.depth, self.failure, self.backoff, self.weight, self.target = (memoryview(np.concatenate(x)) for x in (depths, self.failure, self.backoff, weights, targets))
+        self.arc = Arcs(np.concatenate(keys))
 
     def step(self, state: int, word: int) -> tuple[int, float]:
         """The state after a word, and the word's natural log-probability."""
-        (weight, state) = self.run(state, [word])
-        return state, weight
-
-    def run(self, state: int, text: list[int]) -> tuple[float, int]:
-        """Reads words from a state on; the log-probability of them all, and the state behind them."""
-        arc, weight, target, failure, backoff = self.arc.get, self.weight, self.target, self.failure, self.backoff
+        total, at = 0.0, self.arc.get(state << 32 | word)
+        while at is None:
+            total += self.backoff[state]
+            state = self.failure[state]
+            at = self.arc.get(state << 32 | word)
+        return self.target[at], total + self.weight[at]
+
+    def run(self, state: int, start: int, end: int, arcs: list[memoryview]) -> tuple[float, int]:
+        """Reads the words at start..end - 1 from a state on; the log-probability of them all, and the state behind them.
+        ``arcs[d]`` has the arc that a state of d words has at each place, or -1."""
+        depth, weight, target, failure, backoff = self.depth, self.weight, self.target, self.failure, self.backoff
         total = 0.0
-        for word in text:
-            at = arc(state << 32 | word)
-            while at is None:
+        for i in range(start, end):
+            at = arcs[depth[state]][i]
+            while at < 0:
                 total += backoff[state]
                 state = failure[state]
-                at = arc(state << 32 | word)
+                at = arcs[depth[state]][i]
             total += weight[at]
             state = target[at]
         return total, state
 
 
 def machine(by_order: list[tuple[np.ndarray, np.ndarray]], counts: list[np.ndarray], tokens: int, words: int, mu: float) -> tuple[Automaton, np.ndarray]:
-    """The automaton of a chunk's n-grams, and its texts as numbers of words. ``counts`` go by ascending n-gram."""
-    levels, number = [], None
+    """The automaton of a chunk's n-grams, with the arcs of each length of state at each place, and its texts as numbers of
+    words. ``counts`` go by ascending n-gram."""
+    levels, number, numbers = [], None, []
     for (g, there), count in zip(by_order, counts, strict=True):
         at = np.flatnonzero(there)
         uniq, first, of = np.unique(g[at], return_index=True, return_inverse=True)
@@ -203,12 +234,15 @@ def machine(by_order: list[tuple[np.ndarray, np.ndarray]], counts: list[np.ndarr
         before = number
         number = np.full(len(g), -1, np.int64)
         number[at] = of
+        numbers.append(number)
         if before is None:
             word, none = number, np.zeros(len(uniq), np.int64)
             levels.append((count, word[place], none, none))
         else:
             levels.append((count, word[place], before[place], before[place - 1]))
-    return Automaton(levels, tokens, words, mu), word
+    auto = Automaton(levels, tokens, words, mu)
+    auto.places = [memoryview(np.append(taken, -1)[n]) for taken, n in zip(auto.taken, numbers, strict=True)]
+    return auto, word
 
 
 def _score(order: int, tokens: int, words: int, mu: float):
@@ -230,9 +264,8 @@ def _score(order: int, tokens: int, words: int, mu: float):
         known = sums((c > 0).astype(float)).astype(np.int64)
         score = []
         for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-            text = word[a:b].tolist()
-            start = auto.target[auto.arc[text[0]]]
-            score.append(auto.run(start, text[1:])[0] / LN10)
+            start = auto.target[auto.places[0][a]]
+            score.append(auto.run(start, a + 1, b, auto.places)[0] / LN10)
         n = docs.num_rows
         return pa.table({"key": docs.column("key"), "held_out": docs.column("held_out"), "n_tokens": pa.array(np.diff(first) - 1, pa.int64()), "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array([tokens] * n, pa.int64()), "base_score": pa.array(base), "score": pa.array(score, pa.float64())})
 
