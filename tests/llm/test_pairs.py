@@ -391,3 +391,29 @@ def test_regions_are_joined_in_rounds_of_bounded_size(spark, monkeypatch):
     assert sum(n > 0 for n in asked) > 1
     places = [t for tag, t, _ in rounds if tag == "places"]
     assert len(places) > 1 and all(any(t is d for d in drops) for t in places)
+
+
+def test_documents_of_repeated_lines_meet_once():
+    """Places of one line in two documents make pairs by the square; a pair's passages are those of all its places."""
+    from collections import Counter
+
+    r = __import__("random").Random(3)
+    lines = [prose(40 + i, 26, 10**6) for i in range(4)]
+    shared = prose(7, 55, 10**6)
+    texts = [" ".join([*(f"{r.choice(lines)} {prose(1000 * n + i, 12, 10**6)}" for i in range(40)), shared if n else "", *(f"{r.choice(lines)} {prose(5000 * n + i, 12, 10**6)}" for i in range(40))]) for n in range(3)]
+    ids = {w: n for n, w in enumerate(dict.fromkeys(" ".join(texts).split()))}
+    a, b, c = (np.array([ids[w] for w in t.split()], np.uint64) for t in (texts[2], texts[1], texts[0]))
+    asked, plain = Counter(), passages.Pair._similarity
+
+    def counted(pair, *where):
+        asked[where] += 1
+        return plain(pair, *where)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(passages.Pair, "_similarity", counted)
+        centres = np.arange(len(a) - 11)
+        assert [f[1] - f[0] >= 55 for f in passages.meet(a, b, centres, 5, 50, 0.8)] == [True]
+        assert passages.meet(a, b, centres, 5, 50, 0.8, most=50) == passages.meet(a, b, centres, 5, 50, 0.8)
+        asked.clear()
+        assert passages.meet(a, c, centres, 5, 50, 0.8) == []
+        assert not asked or max(asked.values()) == 1
