@@ -143,3 +143,19 @@ def test_columns_of_any_name(spark):
     rows = spark.createDataFrame([(1, "a", "b", "c", "http://h.x/", "<p>x")], "page_id long, host string, blocks string, `row` string, url string, html string")
     (r,) = html_text.extract(rows, ["page_id", "host", "blocks", "row"]).collect()
     assert tuple(r) == (1, "a", "b", "c", "x", 1)
+
+
+def test_settled_texts_take_little_disk(spark):
+    """Blocks and texts are on disk together: four fifths of a plain Parquet table's bytes at most."""
+    import os
+
+    from tidelog.llm import shared
+
+    r = random.Random(1)
+    pages = spark.createDataFrame([(" ".join(f"w{r.randrange(3000)}" for _ in range(2000)),) for _ in range(50)], "text string").coalesce(1)
+    size = lambda path: sum(os.path.getsize(os.path.join(path, f)) for f in os.listdir(path) if f.endswith(".parquet"))
+    with shared.scratch(spark):
+        settled = size(shared.settle(pages).settled_at.removeprefix("file:"))
+    plain = shared.folder(spark).removeprefix("file:")
+    pages.write.parquet(plain)
+    assert settled < 0.8 * size(plain)
