@@ -417,3 +417,23 @@ def test_documents_of_repeated_lines_meet_once():
         asked.clear()
         assert passages.meet(a, c, centres, 5, 50, 0.8) == []
         assert not asked or max(asked.values()) == 1
+
+
+def test_texts_of_a_join_are_shuffled_in_parts(spark, monkeypatch):
+    """All texts at once were on disk for one shuffle, beside all sets."""
+    from tidelog.llm import shared
+
+    sets, plain = [], shared.settle
+
+    def settle(df, tag="t"):
+        out = plain(df, tag)
+        if tag == "sets":
+            sets.append(out.count())
+        return out
+
+    monkeypatch.setattr(shared, "settle", settle)
+    monkeypatch.setattr(jaccard, "FEW", 50)
+    texts = [edited(i, prose(i // 2, 60, 5000), i % 2) for i in range(200)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_components(frame(spark, texts)).collect()}
+    assert got == {i: i - i % 2 for i in range(200)}
+    assert len(sets) > 1 and max(sets) < 0.6 * sum(sets)

@@ -47,8 +47,8 @@ from . import graph, shared
 from .text import Words, by_slice, combine, lists, mix
 
 SPARE = 2
-ROUNDS = 4  # parts in which cells are counted, and at least in which sets are compared
-FEW = 50_000  # sets that are never worth a round less
+ROUNDS = 4  # parts in which cells are counted and texts are read, and at least in which sets are compared
+FEW = 50_000  # sets, or rows, that are never worth a round less
 
 
 def ladder(most: int = 1 << 40) -> np.ndarray:
@@ -274,9 +274,14 @@ def _joined(docs: DataFrame, key: str, text: str, k: int, percent: int) -> DataF
     # One row's text for each distinct set that shares a cell.
     heads = ids.filter("n > 0").groupBy("rep").agg(F.min("id").alias("head"))
     needed = shared.settle(heads.join(members.select("rep").distinct(), "rep", "left_semi").withColumnRenamed("head", "id"), "needed")
-    # The list of ids grows with the corpus, so it is never broadcast.
-    texts = rows.withColumn("h", F.xxhash64("text")).join(needed.hint("merge"), "id").dropDuplicates(["id", "h"])
-    sets = shared.settle(texts.select("rep", "text").mapInArrow(_sets(k), "rep long, set binary"), "sets")
+    # The list of ids grows with the corpus, so it is never broadcast; the texts meet it in parts, so that no more than one is on
+    # disk for a shuffle at a time.
+    parts, turns = [], max(1, min(ROUNDS, ids.count() // FEW))
+    for i in range(turns):
+        turn = F.pmod(F.xxhash64("id"), F.lit(turns)) == i
+        texts = rows.filter(turn).withColumn("h", F.xxhash64("text")).join(needed.filter(turn).hint("merge"), "id").dropDuplicates(["id", "h"])
+        parts.append(shared.settle(texts.select("rep", "text").mapInArrow(_sets(k), "rep long, set binary"), "sets"))
+    sets = reduce(DataFrame.union, parts)
     pivots = members.groupBy("cell").agg(F.min("rep").alias("lo"), F.count(F.lit(1)).alias("n"))
     star = members.join(shared.settle(pivots, "pivots"), "cell").filter("rep != lo")
     star = star.groupBy(F.col("lo").alias("a"), F.col("rep").alias("b")).agg((F.max("n") > 2).alias("region"))
