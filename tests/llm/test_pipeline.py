@@ -44,3 +44,20 @@ def test_near_copies_below_nine_tenths_go(spark, sf_dir):
     near = [f"new{i}" if i % 55 == 20 else w for i, w in enumerate(text)]
     docs = frame(spark, [" ".join(text), " ".join(near), prose(8, 400, 3000)])
     assert sorted(r["doc_id"] for r in dict(corpus_pipeline.STAGES)["distinct"](spark, docs, sf_dir).collect()) == [0, 2]
+
+
+def test_batches_of_long_texts_are_bounded_in_bytes(spark):
+    """2000 rows of long texts in one batch took an executor's memory."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from tidelog.llm import shared
+
+    def rows(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    texts = spark.range(0, 48, 1, 1).select(F.repeat(F.lit("word "), 200_000).alias("text"))
+    with shared.scratch(spark):
+        sizes = [r["n"] for r in shared.settle(texts.mapInArrow(rows, "n long")).collect()]
+    assert sum(sizes) == 48 and max(sizes) < 24
