@@ -653,8 +653,11 @@ def planned_conversion(spark, sf_dir):
     asked = planner.plan_table(wide, narrow, entries)
     plans = planner.plan_table(wide, narrow, entries, confirmed={p.digest for p in asked})
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_extendedprice") * 10).cast("decimal(12,2)").alias("p"), (F.col("l_partkey") * 100).alias("k"), F.concat("l_linestatus", "l_returnflag").alias("s"))
-    bad = planner.compile_plan(rows, plans).select(F.explode("conversion_failures").alias("f"))
-    return bad.groupBy("f.column", "f.code").agg(F.count(F.lit(1)).alias("n"))
+    bad = planner.compile_plan(rows, plans).select(F.inline("conversion_failures")).withColumn("n", F.lit(1))
+    # A narrower column that loses nothing counts 0.
+    codes = {"p": "decimal_overflow", "k": "integer_overflow", "s": "text_length_overflow"}
+    none = spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.lit(f"target_capability.{code}").alias("code"), F.lit(0).alias("n")) for c, code in codes.items()))))
+    return bad.union(none).groupBy("column", "code").agg(F.sum("n").alias("n"))
 
 
 @query("SELECT l_returnflag, SUM(l_orderkey)::BIGINT AS total, NULL::VARCHAR AS rule_code FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1 UNION ALL SELECT DISTINCT l_returnflag, NULL::BIGINT, 'integer_overflow' FROM lineitem WHERE l_returnflag = 'R'")
