@@ -419,6 +419,38 @@ def test_documents_of_repeated_lines_meet_once():
         assert not asked or max(asked.values()) == 1
 
 
+def test_runs_that_nothing_continues_are_not_extended(monkeypatch):
+    """A line of 30 words, 40 times in two texts among other words, makes 1600 runs and no passage."""
+    line, asked = prose(3, 30, 10**6), []
+    texts = [" ".join(f"{line} {prose(1000 * n + i, 30, 10**6)}" for i in range(40)) for n in (1, 2)]
+    ids = {w: n for n, w in enumerate(dict.fromkeys(" ".join(texts).split()))}
+    a, b = (np.array([ids[w] for w in t.split()], np.uint64) for t in texts)
+    plain = passages.extend
+    monkeypatch.setattr(passages, "extend", lambda *x: asked.append(x) or plain(*x))
+    c, d = (x.ravel() for x in np.meshgrid(np.arange(40) * 60, np.arange(40) * 60))
+    out, covered = [], np.zeros(len(a), bool)
+    passages._extended(passages.Pair(a, b, 5), a, b, c, d - c, 50, 0.8, covered, out)
+    assert not out and not asked
+    # With the words after it, a line is a passage up to the end of the next line.
+    b[1230:1260] = a[630:660]
+    b[1245] = 10**9
+    passages._extended(passages.Pair(a, b, 5), a, b, c, d - c, 50, 0.8, covered, out)
+    assert [x[:4] for x in out] == [(600, 690, 1200, 1290)] and 0 < len(asked) < 100
+
+
+def test_similarities_of_all_ranges_from_a_start():
+    """Against sets, on texts of few words, and asked for in any order."""
+    r = np.random.default_rng(5)
+    for _ in range(30):
+        a, b = (r.integers(0, 3, r.integers(20, 120)).astype(np.uint64) for _ in range(2))
+        pair, grams = passages.Pair(a, b, 3), lambda w: {tuple(w[i : i + 3].tolist()) for i in range(len(w) - 2)}
+        ends = sorted({(int(y), int(y) + int(r.integers(-3, 3))) for y in r.integers(8, min(len(a), len(b)) - 3, 6)})
+        ends = [(y, f) for n, (y, f) in enumerate(ends) if all(f > g for _, g in ends[:n])]
+        for x, t, n in [(0, 2, 0), (3, 0, 0), (0, 2, -1), (3, 0, -1)]:
+            want = [len(p & q) / max(1, len(p | q)) for y, f in ends[n:] for p, q in [(grams(a[x:y]), grams(b[t:f]))]]
+            assert pair.similarities(x, t, ends[n:]).tolist() == want
+
+
 def test_texts_of_a_join_are_shuffled_in_parts(spark, monkeypatch):
     """All texts at once were on disk for one shuffle, beside all sets."""
     from tidelog.llm import shared
